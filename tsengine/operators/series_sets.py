@@ -115,5 +115,4 @@ def export_columns(df: DataFrame, values: str = "values", ids: Sequence[str] = (
     The width, one number, is the only thing found out by an action.
     """
     width = df.agg(F.coalesce(F.max(F.size(values)), F.lit(0))).first()[0]
-    cells = [F.get(F.col(values), F.lit(i)).alias(f"{prefix}{i}") for i in range(width)]
-    return df.select(*ids, *cells)
+    return df.selectExpr(*[f"`{c}`" for c in ids], *[f"get(`{values}`, {i}) AS `{prefix}{i}`" for i in range(width)])

@@ -28,11 +28,14 @@ ragged AS (SELECT vec_id AS series_id, {_pick(GROUP_NAMES)} AS grp, {_pick(GROUP
                   {_pick(GROUP_HORIZON)} AS horizon, 40+vec_id%25 AS len, j AS pos, v FROM e WHERE j < 40+vec_id%25)"""
 
 
-def _sum(name: str, keep: str = "TRUE", pos: str = "pos", digits: int = 5) -> str:
+SIX = (6, 6)  # text cells have six decimals: coarser rounding would meet ties
+
+
+def _sum(name: str, keep: str = "TRUE", pos: str = "pos", digits: tuple[int, int] = (5, 4)) -> str:
     """Digest figures over the rows that satisfy ``keep``; zero rows give zeros."""
     return (
-        f"(count(*) FILTER ({keep}))::INT AS {name}_n, round(coalesce(sum(v) FILTER ({keep}),0),5)+0.0 AS {name}_sum, "
-        f"round(coalesce(sum(({pos}+1)*v) FILTER ({keep}),0),4)+0.0 AS {name}_weighted"
+        f"(count(*) FILTER ({keep}))::INT AS {name}_n, round(coalesce(sum(v) FILTER ({keep}),0),{digits[0]})+0.0 AS {name}_sum, "
+        f"round(coalesce(sum(({pos}+1)*v) FILTER ({keep}),0),{digits[1]})+0.0 AS {name}_weighted"
     )
 
 
@@ -43,9 +46,9 @@ def _land(spark, folder, keep=None):
     return path
 
 
-@query("scan_series_rows", f"WITH {_CELLS} SELECT 'S' || vec_id AS series_id, {_sum('values')} FROM cells GROUP BY vec_id")
+@query("scan_series_rows", f"WITH {_CELLS} SELECT 'S' || vec_id AS series_id, {_sum('values', digits=SIX)} FROM cells GROUP BY vec_id")
 def scan_series_rows(spark, folder):
-    return readers.series_rows(spark, _land(spark, folder)).select("series_id", *digest("values"))
+    return readers.series_rows(spark, _land(spark, folder)).select("series_id", *digest("values", SIX))
 
 
 @query("compact_series", f"WITH {_CELLS} SELECT 'S' || vec_id AS series_id, pos::INT AS pos, round(v,6)+0.0 AS v FROM cells")
@@ -80,7 +83,7 @@ def load_info(spark, folder):
 @query(
     "info_series_join",
     f"""WITH {_CELLS}, {_INFO},
-        s AS (SELECT 'S' || vec_id AS series_id, {_sum('values', 'vec_id%3<>0 OR pos<5')} FROM cells GROUP BY vec_id)
+        s AS (SELECT 'S' || vec_id AS series_id, {_sum('values', 'vec_id%3<>0 OR pos<5', digits=SIX)} FROM cells GROUP BY vec_id)
         SELECT series_id, grp, frequency, horizon, coalesce(values_n,0) AS values_n, coalesce(values_sum,0) AS values_sum,
                coalesce(values_weighted,0) AS values_weighted, info.series_id IS NULL AS unknown
         FROM info FULL JOIN s USING (series_id)""",
@@ -92,7 +95,7 @@ def info_series_join(spark, folder):
         "series_id", F.slice("values", 1, 5).alias("values"), F.lit(1).alias("file_ord"), "row_ord"
     )
     joined = series_sets.attach_info(first.unionByName(again), _info_table(spark, folder))
-    return joined.select("series_id", "grp", "frequency", "horizon", *digest("values"), F.col("ord")["unknown"].alias("unknown"))
+    return joined.select("series_id", "grp", "frequency", "horizon", *digest("values", SIX), F.col("ord")["unknown"].alias("unknown"))
 
 
 @query(
@@ -110,7 +113,7 @@ _SHEETS = ["M3Year", "M3Quart", "M3Month", "M3Other"]
 @query(
     "scan_grouped_sheets",
     f"""WITH {_CELLS} SELECT 'N' || vec_id AS series_id, ['M3Year','M3Quart','M3Month','M3Other'][vec_id%4+1] AS grp,
-        (vec_id%4)::INT AS grp_ord, [6,8,18,8][vec_id%4+1] AS horizon, {_sum('values')} FROM cells GROUP BY vec_id""",
+        (vec_id%4)::INT AS grp_ord, [6,8,18,8][vec_id%4+1] AS horizon, {_sum('values', digits=SIX)} FROM cells GROUP BY vec_id""",
 )
 def scan_grouped_sheets(spark, folder):
     raw = series_file(spark, folder).withColumn("_id", F.substring("V1", 2, 20).cast("bigint"))
@@ -124,7 +127,7 @@ def scan_grouped_sheets(spark, folder):
         cells = [F.col(f"V{k + 2}").alias(str(k + 1)) for k in range(64)]
         raw.filter(F.col("_id") % 4 == i).select(*head, *cells).write.option("header", True).csv(path)
         landed.append((group, path))
-    return readers.grouped_sheets(spark, landed).select("series_id", "grp", "grp_ord", "horizon", *digest("values"))
+    return readers.grouped_sheets(spark, landed).select("series_id", "grp", "grp_ord", "horizon", *digest("values", SIX))
 
 
 @query("series_length", f"WITH {_RAGGED} SELECT series_id, any_value(len)::INT AS n FROM ragged GROUP BY 1")

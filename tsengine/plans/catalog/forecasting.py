@@ -44,18 +44,18 @@ def evaluate_long_horizon(spark, folder):
 
 @query(
     "align_forecasts",
-    f"{_H} SELECT channel, window_id, step, round(pred,6)+0.0 AS pred, round(true,6)+0.0 AS true FROM w",
+    f"{_H} SELECT channel, window_id, step, round(pred,6)+0.0 AS pred, round(truth,6)+0.0 AS truth FROM w",
 )
 def align_forecasts(spark, folder):
     both = evaluate.last_value_forecasts(hourly_wide(spark, folder), KEY, EVENT_TYPES, "test", SPEC)
     aligned = evaluate.align(both.drop("true"), both.drop("pred"), _STEP)
-    return aligned.select("channel", "window_id", "step", r("pred").alias("pred"), r("true").alias("true"))
+    return aligned.select("channel", "window_id", "step", r("pred").alias("pred"), r("true").alias("truth"))
 
 
 _PAIRS = sql.steps("train", 1, 1, name="pairs")
-_AR = """ar AS (SELECT series_id, coalesce(regr_slope(true, pred), 0) AS a,
-        coalesce(regr_intercept(true, pred), avg(true)) AS b FROM pairs GROUP BY 1)"""
-_BY_SERIES = "round(avg(abs(p-true)),5)+0.0 AS mae, round(avg((p-true)*(p-true)),5)+0.0 AS mse"
+_AR = """ar AS (SELECT series_id, coalesce(regr_slope(truth, pred), 0) AS a,
+        coalesce(regr_intercept(truth, pred), avg(truth)) AS b FROM pairs GROUP BY 1)"""
+_BY_SERIES = "round(avg(abs(p-truth)),5)+0.0 AS mae, round(avg((p-truth)*(p-truth)),5)+0.0 AS mse"
 
 
 def _score(df, digits=5):
@@ -66,7 +66,7 @@ def _score(df, digits=5):
 @query(
     "forecast_recursive",
     f"""WITH {sql.USERS}, {sql.SCALED}, {_PAIRS}, {_AR}, {sql.steps('test', 24, 12)},
-        f AS (SELECT series_id, step, true, pow(a,step)*pred + b*CASE WHEN a=1 THEN step ELSE (1-pow(a,step))/(1-a) END AS p
+        f AS (SELECT series_id, step, truth, pow(a,step)*pred + b*CASE WHEN a=1 THEN step ELSE (1-pow(a,step))/(1-a) END AS p
               FROM w JOIN ar USING (series_id))
         SELECT series_id, step, {_BY_SERIES} FROM f GROUP BY 1, 2""",
 )
@@ -77,9 +77,9 @@ def forecast_recursive(spark, folder):
 @query(
     "forecast_direct_one_lag",
     f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('train', 1, 12, name='pairs')}, {sql.steps('test', 24, 12)},
-        lag AS (SELECT series_id, step, coalesce(regr_slope(true, pred),0) AS a, coalesce(regr_intercept(true, pred), avg(true)) AS b
+        lag AS (SELECT series_id, step, coalesce(regr_slope(truth, pred),0) AS a, coalesce(regr_intercept(truth, pred), avg(truth)) AS b
                 FROM pairs GROUP BY 1, 2),
-        f AS (SELECT series_id, step, true, a*pred+b AS p FROM w JOIN lag USING (series_id, step))
+        f AS (SELECT series_id, step, truth, a*pred+b AS p FROM w JOIN lag USING (series_id, step))
         SELECT series_id, step, {_BY_SERIES} FROM f GROUP BY 1, 2""",
 )
 def forecast_direct_one_lag(spark, folder):
@@ -100,7 +100,7 @@ def forecast_direct(spark, folder):
     "score_windows",
     f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('test', 24, 12)}, {sql.cells('test', 24, 12, 16, 8, 'sc', 'c8')},
         m AS (SELECT series_id, window_id, avg(v) AS p FROM c8 GROUP BY 1, 2),
-        f AS (SELECT series_id, step, true, p FROM w JOIN m USING (series_id, window_id))
+        f AS (SELECT series_id, step, truth, p FROM w JOIN m USING (series_id, window_id))
         SELECT series_id, step, {_BY_SERIES} FROM f GROUP BY 1, 2""",
 )
 def score_windows(spark, folder):
@@ -116,9 +116,9 @@ def score_windows(spark, folder):
 @query(
     "forecast_sigma",
     f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('train', 24, 12, name='tr')}, {sql.steps('test', 24, 12)},
-        g AS (SELECT series_id, step, sqrt(avg(pow(true-pred,2))) AS sigma FROM tr GROUP BY 1, 2)
+        g AS (SELECT series_id, step, sqrt(avg(pow(truth-pred,2))) AS sigma FROM tr GROUP BY 1, 2)
         SELECT series_id, step, round(any_value(sigma),6)+0.0 AS sigma, count(*) AS n,
-               round(avg(CASE WHEN sigma > 0 THEN ln(sigma)+0.5*pow((true-pred)/sigma,2) END),5)+0.0 AS nll
+               round(avg(CASE WHEN sigma > 0 THEN ln(sigma)+0.5*pow((truth-pred)/sigma,2) END),5)+0.0 AS nll
         FROM w JOIN g USING (series_id, step) GROUP BY 1, 2""",
 )
 def forecast_sigma(spark, folder):
@@ -135,24 +135,24 @@ def forecast_sigma(spark, folder):
     f"""WITH {sql.USERS}, t AS (SELECT series_id, rn, n, v, avg(v) OVER (PARTITION BY series_id ORDER BY rn
               ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS trend FROM users),
         p AS (SELECT series_id, rn%24 AS phase, avg(v-trend) AS season FROM t WHERE rn < {sql.NT} GROUP BY 1, 2)
-        SELECT series_id, rn, round(v,6)+0.0 AS v, round(trend,6)+0.0 AS trend, round(coalesce(season,0),6)+0.0 AS season,
-               round(v-trend-coalesce(season,0),6)+0.0 AS rest
+        SELECT series_id, rn, round(v,8)+0.0 AS v, round(trend,8)+0.0 AS trend, round(coalesce(season,0),8)+0.0 AS season,
+               round(v-trend-coalesce(season,0),8)+0.0 AS rest
         FROM t LEFT JOIN p ON t.series_id=p.series_id AND t.rn%24=p.phase""".replace(
-        "SELECT series_id, rn, round(v,6)", "SELECT t.series_id, rn, round(v,6)"
+        "SELECT series_id, rn, round(v,8)", "SELECT t.series_id, rn, round(v,8)"
     ),
 )
 def trend_season(spark, folder):
     parts = forecasts.trend_season(user_hourly(spark, folder), KEY, "v", period=24, size=128)
-    return parts.select("series_id", "rn", *[r(c).alias(c) for c in ("v", "trend", "season", "rest")])
+    return parts.select("series_id", "rn", *[r(c, 8).alias(c) for c in ("v", "trend", "season", "rest")])
 
 
 _CANDIDATES = f"""
 ctx AS (SELECT series_id, split, window_id, avg(v) AS mean FROM cc GROUP BY 1, 2, 3),
 lagged AS (SELECT w.*, m.mean, s.v AS seasonal FROM w JOIN ctx m USING (series_id, split, window_id)
            JOIN sc s ON s.series_id=w.series_id AND s.rn=w.last_rn+w.step-24),
-cand AS (SELECT split, window_id, series_id, 'last' AS candidate, pred, true FROM lagged
-         UNION ALL SELECT split, window_id, series_id, 'mean', mean, true FROM lagged
-         UNION ALL SELECT split, window_id, series_id, 'seasonal', seasonal, true FROM lagged)"""
+cand AS (SELECT split, window_id, series_id, 'last' AS candidate, pred, truth FROM lagged
+         UNION ALL SELECT split, window_id, series_id, 'mean', mean, truth FROM lagged
+         UNION ALL SELECT split, window_id, series_id, 'seasonal', seasonal, truth FROM lagged)"""
 
 
 def _both(split: str) -> str:
@@ -170,7 +170,7 @@ def _both(split: str) -> str:
     f"""WITH {sql.USERS}, {sql.SCALED}, {_both('val')}, {_both('test')},
         w AS (SELECT * FROM x_val UNION ALL SELECT * FROM x_test),
         cc AS (SELECT *, 'val' AS split FROM c_val UNION ALL SELECT *, 'test' AS split FROM c_test), {_CANDIDATES},
-        b AS (SELECT candidate, series_id, window_id//32 AS batch, avg(pow(pred-true,2)) AS l FROM cand WHERE split='val' GROUP BY ALL),
+        b AS (SELECT candidate, series_id, window_id//32 AS batch, avg(pow(pred-truth,2)) AS l FROM cand WHERE split='val' GROUP BY ALL),
         best AS (SELECT candidate, avg(l) AS val_loss FROM b GROUP BY 1 ORDER BY 2 LIMIT 1)
         SELECT candidate, round(any_value(val_loss),5)+0.0 AS val_loss, {_ALL} FROM cand JOIN best USING (candidate)
         WHERE split='test' GROUP BY 1""",

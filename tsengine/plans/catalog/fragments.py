@@ -53,10 +53,10 @@ def bounds(split: str, context: int, alias: str = "") -> tuple[str, str]:
 
 
 def steps(split: str, context: int, horizon: int, source: str = "sc", name: str = "w") -> str:
-    """One row per window and step: last context value ``pred`` and truth ``true``."""
+    """One row per window and step: last context value ``pred`` and truth ``truth``."""
     low, high = bounds(split, context, "a.")
     return f"""
-{name} AS (SELECT a.series_id, a.channel, a.rn-{context}+1-{low} AS window_id, (b.rn-a.rn)::INT AS step, a.v AS pred, b.v AS true
+{name} AS (SELECT a.series_id, a.channel, a.rn-{context}+1-{low} AS window_id, (b.rn-a.rn)::INT AS step, a.v AS pred, b.v AS truth
       FROM {source} a JOIN {source} b ON a.series_id=b.series_id AND a.channel=b.channel
        AND b.rn BETWEEN a.rn+1 AND a.rn+{horizon}
       WHERE a.rn-{context}+1 >= {low} AND a.rn+{horizon} < {high})"""

@@ -71,12 +71,12 @@ def early_stop_epoch_delta(spark, folder):
 @query(
     "best_candidate",
     f"""WITH {_HISTORY}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY loss, epoch DESC) AS k FROM h)
-        SELECT run_id, epoch AS best_epoch, round(loss,6)+0.0 AS best_loss, 'epoch-' || epoch AS params FROM o WHERE k=1""",
+        SELECT run_id, epoch AS best_epoch, round(loss,8)+0.0 AS best_loss, 'epoch-' || epoch AS params FROM o WHERE k=1""",
 )
 def best_candidate(spark, folder):
     history = training_log.epoch_loss(loss_log(spark, folder)).withColumn("params", F.concat(F.lit("epoch-"), "epoch"))
     best = training_log.best_candidate(history, keep=["params"])
-    return best.select("run_id", "best_epoch", r("best_loss").alias("best_loss"), "params")
+    return best.select("run_id", "best_epoch", r("best_loss", 8).alias("best_loss"), "params")
 
 
 def _datasets(spark, folder):
@@ -135,7 +135,7 @@ def pending_runs(spark, folder):
 
 @query(
     "save_forecasts",
-    f"{_W} SELECT 'user' || series_id AS run_id, window_id, step, round(pred,6)+0.0 AS pred, round(true,6)+0.0 AS true "
+    f"{_W} SELECT 'user' || series_id AS run_id, window_id, step, round(pred,6)+0.0 AS pred, round(truth,6)+0.0 AS truth "
     "FROM w WHERE step IN (1, 12)",
 )
 def save_forecasts(spark, folder):
@@ -145,7 +145,7 @@ def save_forecasts(spark, folder):
     named = made.withColumn("member", F.concat(F.lit("user"), "series_id"))
     writers.save_forecasts(named.withColumn("run_id", F.pmod(F.xxhash64("series_id"), F.lit(16))), path)
     back = writers.load_forecasts(spark, path)
-    return back.select(F.col("member").alias("run_id"), "window_id", "step", r("pred").alias("pred"), r("true").alias("true"))
+    return back.select(F.col("member").alias("run_id"), "window_id", "step", r("pred").alias("pred"), r("true").alias("truth"))
 
 
 @query("append_results", f"{_W} SELECT 'user' || series_id || '_' || half AS run_id, {_ALL} FROM w, (SELECT unnest([1,2]) AS half) GROUP BY series_id, half")

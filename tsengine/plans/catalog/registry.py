@@ -29,14 +29,14 @@ def r(value: Column | str, digits: int = 6) -> Column:
     return F.round(column, digits) + 0.0
 
 
-def digest(array: str) -> list[Column]:
+def digest(array: str, digits: tuple[int, int] = (5, 4)) -> list[Column]:
     """Length, sum and position-weighted sum of an array, to compare without arrays."""
     a = F.col(array)
     total = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
     weighted = F.aggregate(
         F.transform(a, lambda v, i: v * (i + 1)), F.lit(0.0), lambda acc, v: acc + v
     )
-    return [F.size(a).alias(f"{array}_n"), r(total, 5).alias(f"{array}_sum"), r(weighted, 4).alias(f"{array}_weighted")]
+    return [F.size(a).alias(f"{array}_n"), r(total, digits[0]).alias(f"{array}_sum"), r(weighted, digits[1]).alias(f"{array}_weighted")]
 
 
 def digest_sql(name: str, value: str = "v", pos: str = "pos") -> str:

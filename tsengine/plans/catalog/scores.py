@@ -14,14 +14,14 @@ from tsengine.plans.tables import EVENT_TYPES, KEY, hourly_wide, table, user_hou
 _W = f"WITH {sql.USERS}, {sql.SCALED}, {sql.steps('test', 24, 12)}"
 _H = f"WITH {sql.HOURLY_LONG}, {sql.SCALED}, {sql.steps('test', 24, 12)}"
 FIVE = ["mae", "mse", "rmse", "mape", "mspe"]
-_REL = "CASE WHEN true=0 THEN CASE WHEN pred=0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END ELSE abs((pred-true)/true) END"
+_REL = "CASE WHEN truth=0 THEN CASE WHEN pred=0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END ELSE abs((pred-truth)/truth) END"
 _SQL = {
-    "mae": "avg(abs(pred-true))",
-    "mse": "avg((pred-true)*(pred-true))",
-    "rmse": "sqrt(avg((pred-true)*(pred-true)))",
+    "mae": "avg(abs(pred-truth))",
+    "mse": "avg((pred-truth)*(pred-truth))",
+    "rmse": "sqrt(avg((pred-truth)*(pred-truth)))",
     "mape": f"avg({_REL})",
     "mspe": f"avg(pow({_REL},2))",
-    "rse": "sqrt(sum((pred-true)*(pred-true)))/sqrt(var_pop(true)*count(*))",
+    "rse": "sqrt(sum((pred-truth)*(pred-truth)))/sqrt(var_pop(truth)*count(*))",
 }
 _ALL = ", ".join(f"round({_SQL[m]},4)+0.0 AS {m}" for m in FIVE)
 
@@ -48,8 +48,8 @@ for _name in [*FIVE, "rse"]:
 
 @query(
     "metric_corr",
-    f"""{_H}, m AS (SELECT *, avg(pred) OVER (PARTITION BY step, channel) AS mp, avg(true) OVER (PARTITION BY step, channel) AS mt FROM w),
-        c AS (SELECT step, channel, sum((true-mt)*(pred-mp)) / sqrt(sum(pow(true-mt,2)*pow(pred-mp,2))) AS u FROM m GROUP BY 1, 2)
+    f"""{_H}, m AS (SELECT *, avg(pred) OVER (PARTITION BY step, channel) AS mp, avg(truth) OVER (PARTITION BY step, channel) AS mt FROM w),
+        c AS (SELECT step, channel, sum((truth-mt)*(pred-mp)) / sqrt(sum(pow(truth-mt,2)*pow(pred-mp,2))) AS u FROM m GROUP BY 1, 2)
         SELECT step, round(avg(u),5)+0.0 AS corr FROM c GROUP BY 1""",
 )
 def metric_corr(spark, folder):
@@ -70,8 +70,8 @@ def metric_bundle_rollup(spark, folder):
 @query(
     "metric_zero_truth",
     f"""WITH {sql.USERS}, {sql.steps('test', 24, 12, 'plong')}
-        SELECT series_id, round(avg(CASE WHEN true<>0 THEN abs((pred-true)/true) END),4)+0.0 AS mape,
-               round(avg(CASE WHEN true<>0 THEN pow((pred-true)/true,2) END),4)+0.0 AS mspe FROM w GROUP BY 1""",
+        SELECT series_id, round(avg(CASE WHEN truth<>0 THEN abs((pred-truth)/truth) END),4)+0.0 AS mape,
+               round(avg(CASE WHEN truth<>0 THEN pow((pred-truth)/truth,2) END),4)+0.0 AS mspe FROM w GROUP BY 1""",
 )
 def metric_zero_truth(spark, folder):
     """Unscaled values have many zeros; here they are left out."""
@@ -83,7 +83,7 @@ def metric_zero_truth(spark, folder):
 @query(
     "batch_mean_loss",
     f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('val', 24, 12)},
-        b AS (SELECT series_id, window_id//32 AS batch, avg((pred-true)*(pred-true)) AS l FROM w GROUP BY 1, 2)
+        b AS (SELECT series_id, window_id//32 AS batch, avg((pred-truth)*(pred-truth)) AS l FROM w GROUP BY 1, 2)
         SELECT series_id, round(avg(l),5)+0.0 AS loss FROM b GROUP BY 1""",
 )
 def batch_mean_loss(spark, folder):
@@ -97,8 +97,8 @@ def batch_mean_loss(spark, folder):
 )
 def accuracy(spark, folder):
     events = table(spark, folder, "events")
-    pred, true = (F.col("event_type") == "error").cast("int"), (F.col("value") > 10).cast("int")
-    return events.groupBy(F.col("user_id").alias("series_id")).agg(r(metrics.accuracy(pred, true)).alias("accuracy"))
+    pred, truth = (F.col("event_type") == "error").cast("int"), (F.col("value") > 10).cast("int")
+    return events.groupBy(F.col("user_id").alias("series_id")).agg(r(metrics.accuracy(pred, truth)).alias("accuracy"))
 
 
 _NORMAL = "(SELECT user_id AS series_id, value AS y, event_id%7 AS mu, 1+event_id%3 AS sigma FROM events)"
@@ -117,7 +117,7 @@ def gaussian_nll(spark, folder):
     )
 
 
-@query("recon_sse", f"{_W} SELECT series_id, round(sum((pred-true)*(pred-true)),3)+0.0 AS sse FROM w GROUP BY 1")
+@query("recon_sse", f"{_W} SELECT series_id, round(sum((pred-truth)*(pred-truth)),3)+0.0 AS sse FROM w GROUP BY 1")
 def recon_sse(spark, folder):
     sse = metrics.recon_sse(F.col("pred"), F.col("true"))
     return naive(spark, folder).groupBy("series_id").agg(r(sse, 3).alias("sse"))
@@ -147,7 +147,7 @@ def latents(spark, folder):
     f"""{_H}, z AS (SELECT vec_id, unnest(embedding)::DOUBLE AS m, generate_subscripts(embedding,1) AS j FROM embeddings),
         p AS (SELECT a.m AS mu, b.m AS lv FROM z a JOIN z b ON a.vec_id=b.vec_id AND b.j=65-a.j),
         k AS (SELECT 0.5*(-0.5)*sum(1+lv-mu*mu-exp(lv)) AS kl FROM p),
-        f AS (SELECT avg(ln(1.5)+0.5*pow((true-pred)/1.5,2)) AS nll, sum((pred-true)*(pred-true)) AS sse FROM w)
+        f AS (SELECT avg(ln(1.5)+0.5*pow((truth-pred)/1.5,2)) AS nll, sum((pred-truth)*(pred-truth)) AS sse FROM w)
         SELECT round(nll,5)+0.0 AS nll, round(sse,3)+0.0 AS sse, round(kl,3)+0.0 AS kl, round(nll+sse+kl,3)+0.0 AS loss FROM f, k""",
 )
 def combined_loss(spark, folder):
@@ -158,10 +158,10 @@ def combined_loss(spark, folder):
 
 @query(
     "epoch_loss",
-    """SELECT user_id AS run_id, day(ts)::INT AS epoch, round(avg(value),6)+0.0 AS loss FROM events GROUP BY 1, 2""",
+    """SELECT user_id AS run_id, day(ts)::INT AS epoch, round(avg(value),8)+0.0 AS loss FROM events GROUP BY 1, 2""",
 )
 def epoch_loss(spark, folder):
     from tsengine.operators.training_log import epoch_loss as mean_loss
     from tsengine.plans.tables import loss_log
 
-    return mean_loss(loss_log(spark, folder)).select("run_id", "epoch", r("loss").alias("loss"))
+    return mean_loss(loss_log(spark, folder)).select("run_id", "epoch", r("loss", 8).alias("loss"))

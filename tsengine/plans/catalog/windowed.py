@@ -215,9 +215,9 @@ def plot_frames(spark, folder):
 @query(
     "moving_frame",
     f"""WITH {sql.USERS} SELECT series_id, rn, round(avg(v) OVER (PARTITION BY series_id ORDER BY rn
-        ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING),6)+0.0 AS trend FROM users""",
+        ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING),8)+0.0 AS trend FROM users""",
 )
 def moving_frame(spark, folder):
     from tsengine.operators.forecasts import trend
 
-    return trend(user_hourly(spark, folder), KEY, "v", 25, size=128).select("series_id", "rn", r("trend").alias("trend"))
+    return trend(user_hourly(spark, folder), KEY, "v", 25, size=128).select("series_id", "rn", r("trend", 8).alias("trend"))

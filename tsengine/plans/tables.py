@@ -72,26 +72,19 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _text_cells() -> list:
-    """Cells of a series-per-row file: some empty, some not numbers, ragged on the right."""
-    cells = []
-    for i in range(64):
-        value = F.round(F.get("x", F.lit(i)), 6).cast("string")
-        cell = (
-            F.when(F.lit(i) >= 40 + F.col("series_id") % 25, F.lit(None))
-            .when((F.col("series_id") + i) % 17 == 0, F.lit("x"))
-            .when((F.col("series_id") + i) % 13 == 0, F.lit(None))
-            .when((F.col("series_id") + i) % 29 == 0, F.lit("nan"))
-            .otherwise(value)
-        )
-        cells.append(cell)
-    return cells
+def _text_cell(i: int) -> str:
+    """Cell of a series-per-row file: some empty, some not numbers, ragged on the right."""
+    place = f"(series_id + {i})"
+    return (
+        f"CASE WHEN {i} >= 40 + series_id % 25 THEN NULL WHEN {place} % 17 = 0 THEN 'x' WHEN {place} % 13 = 0 THEN NULL "
+        f"WHEN {place} % 29 = 0 THEN 'nan' ELSE CAST(round(get(x, {i}), 6) AS STRING) END"
+    )
 
 
 def series_file(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors as a series-per-row table of text: ``V1`` is the id, ``V2`` on are cells."""
-    named = [c.alias(f"V{i + 2}") for i, c in enumerate(_text_cells())]
-    return vectors(spark, folder).select(F.concat(F.lit("S"), F.col("series_id")).alias("V1"), *named)
+    cells = [f"{_text_cell(i)} AS V{i + 2}" for i in range(64)]
+    return vectors(spark, folder).selectExpr("'S' || series_id AS V1", *cells)
 
 
 def ragged(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # Call-site capture slows down plan building by far more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

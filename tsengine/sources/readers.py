@@ -57,7 +57,7 @@ def series_rows(spark: SparkSession, path: str, file_ord: int = 0) -> DataFrame:
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     return raw.select(
         F.col(f"`{names[0]}`").alias("series_id"),
-        coerce_values(F.array(*[F.col(f"`{c}`") for c in names[1:]])).alias("values"),
+        coerce_values(F.array(*[f"`{c}`" for c in names[1:]])).alias("values"),
         F.lit(file_ord).alias("file_ord"),
         place.alias("row_ord"),
     )
@@ -113,7 +113,7 @@ def grouped_sheets(spark: SparkSession, sheets: Sequence[tuple[str, str]]) -> Da
             F.lit(group).alias("grp"),
             F.lit(order).alias("grp_ord"),
             F.trim("NF").try_cast("int").alias("horizon"),
-            coerce_values(F.array(*[F.col(f"`{c}`") for c in names[SHEET_COLUMNS:]])).alias("values"),
+            coerce_values(F.array(*[f"`{c}`" for c in names[SHEET_COLUMNS:]])).alias("values"),
         )
 
     return reduce(DataFrame.unionByName, [sheet(i, g, p) for i, (g, p) in enumerate(sheets)])
