@@ -50,11 +50,6 @@ def array_mean(x: Column) -> Column:
     return total / F.nullif(F.size(x), F.lit(0))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays of doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def missing(v: Column) -> Column:
     """True for NULL and NaN."""
     return v.isNull() | F.isnan(v)

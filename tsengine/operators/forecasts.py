@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tsengine.functions.numeric import array_mean, dot
+from tsengine.functions.numeric import array_mean
 from tsengine.operators.chunks import SIZE, is_home, join_facts, with_halo
 from tsengine.operators.splits import part_sizes
 from tsengine.operators.windows import at, piece, steps
@@ -71,18 +71,24 @@ def ar1_fit(windows: DataFrame, keys: Sequence[str], value: str = "v") -> DataFr
     )
 
 
-def roll_out(last: Column, coefficients: Column, intercept: Column, horizon: int) -> Column:
-    """Predict one step, append it, repeat: array of ``horizon`` values.
+def roll_out(fitted: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """Recursive AR(1): arrays ``slope`` and ``intercept`` for the steps 1..horizon.
 
-    ``last`` holds the p most recent values, oldest first, like ``coefficients``.
+    Predict, append, repeat is linear in the last value, so the recursion runs
+    once per series and not once per window.
     """
-    p = F.size(coefficients)
+    a, b = F.col("slope"), F.col("intercept")
 
     def extend(known: Column, _: Column) -> Column:
-        following = dot(F.slice(known, -p, p), coefficients) + intercept
+        last = F.element_at(known, -1)
+        following = F.struct((last["a"] * a).alias("a"), (last["b"] * a + b).alias("b"))
         return F.concat(known, F.array(following))
 
-    return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), last, extend), p + 1, F.lit(horizon))
+    start = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")))
+    path = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, extend), 2, horizon)
+    return fitted.withColumn("_path", path).select(
+        *keys, F.col("_path")["a"].alias("slope"), F.col("_path")["b"].alias("intercept")
+    )
 
 
 def lag_fit(windows: DataFrame, keys: Sequence[str], horizon: int, value: str = "v") -> DataFrame:

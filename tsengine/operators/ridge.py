@@ -8,29 +8,44 @@ numbers, are a model of fixed size and travel in the task closure.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tsengine.operators.chunks import SIZE
 from tsengine.operators.instance_norm import EPS
 
-BLOCK = 2048  # windows handled at once inside a task
-
-
-def _windows(row, context: int, horizon: int, size: int, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and values of the windows that begin in a chunk."""
-    v = np.asarray(row[value], dtype="float64")
-    length = context + horizon
-    low = max(row["chunk"] * size, row["base"])
-    high = min(row["chunk"] * size + size - 1, row["base"] + len(v) - length)
-    if high < low:
-        return np.empty(0, dtype="int64"), np.empty((0, length))
-    view = np.lib.stride_tricks.sliding_window_view(v, length)
-    return np.arange(low, high + 1), view[low - row["base"] : high - row["base"] + 1]
+BLOCK = 4096  # windows handled at once inside a task
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _window_blocks(batch: pa.RecordBatch, length: int, size: int, value: str) -> Iterator[Block]:
+    """Row numbers, starts and values of the windows of a batch of chunks, in blocks."""
+    lists = batch.column(value)
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    chunk, base = batch.column("chunk").to_numpy(), batch.column("base").to_numpy()
+    low = np.maximum(chunk * size, base)
+    high = np.minimum(chunk * size + size - 1, base + np.diff(offsets) - length)
+    held: list[Block] = []
+    count = 0
+    for i in np.flatnonzero(high >= low):
+        view = np.lib.stride_tricks.sliding_window_view(flat[offsets[i] : offsets[i + 1]], length)
+        view = view[low[i] - base[i] : high[i] - base[i] + 1]
+        for at in range(0, len(view), BLOCK):
+            part = view[at : at + BLOCK]
+            first = low[i] + at
+            held.append((np.full(len(part), i), np.arange(first, first + len(part)), part))
+            count += len(part)
+            if count >= BLOCK:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, count = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _normalise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,6 +54,12 @@ def _normalise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (x - mean) / scale, mean, scale
 
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    rows, width = values.shape
+    offsets = np.arange(0, (rows + 1) * width, width, dtype="int32")
+    return pa.ListArray.from_arrays(offsets, np.ascontiguousarray(values).ravel())
+
+
 def score(
     chunks: DataFrame,
     fn: Callable[[np.ndarray], np.ndarray],
@@ -48,7 +69,6 @@ def score(
     value: str = "v",
     first: str | None = None,
     size: int = SIZE,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Apply a user's forecaster to every window: ``window_id``, ``pred`` and ``true`` arrays.
 
@@ -56,29 +76,32 @@ def score(
     chunks stay where they are; no window is shuffled.
     """
     names = list(keep)
-    fields = [f for f in chunks.select(*names).schema.fields]
+    fields = list(chunks.select(*names).schema.fields)
+    lists = ArrayType(DoubleType())
     schema = StructType(
-        [*fields, StructField("window_id", LongType()), StructField("pred", ArrayType(DoubleType())),
-         StructField("true", ArrayType(DoubleType()))]
-    )
+        [*fields, StructField("window_id", LongType()), StructField("pred", lists), StructField("true", lists)]
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                starts, windows = _windows(row, context, horizon, size, value)
-                for i in range(0, len(starts), block):
-                    part = windows[i : i + block]
-                    forecast = np.asarray(fn(part[:, :context]), dtype="float64")
-                    if forecast.shape != (len(part), horizon):
-                        raise ValueError(f"forecaster gave shape {forecast.shape}, not {(len(part), horizon)}")
-                    out = {name: [row[name]] * len(part) for name in names}
-                    out["window_id"] = starts[i : i + block] - (row[first] if first else 0)
-                    out["pred"] = list(forecast)
-                    out["true"] = list(part[:, context:])
-                    yield pd.DataFrame(out)
+            for rows, starts, windows in _window_blocks(batch, context + horizon, size, value):
+                forecast = np.asarray(fn(windows[:, :context]), dtype="float64")
+                if forecast.shape != (len(rows), horizon):
+                    raise ValueError(f"forecaster gave shape {forecast.shape}, not {(len(rows), horizon)}")
+                index = pa.array(rows)
+                origin = batch.column(first).to_numpy()[rows] if first else 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(name).take(index) for name in names],
+                        pa.array(starts - origin, pa.int64()),
+                        _lists(forecast),
+                        _lists(windows[:, context:]),
+                    ],
+                    names=[*names, "window_id", "pred", "true"],
+                )
 
     columns = [*names, "chunk", "base", value] + ([first] if first and first not in names else [])
-    return chunks.select(*columns).mapInPandas(run, schema)
+    return chunks.select(*columns).mapInArrow(run, schema)
 
 
 def unpack(scored: DataFrame) -> DataFrame:
@@ -109,27 +132,42 @@ class Ridge:
     def transform(self, chunks: DataFrame, keep: Sequence[str], **options) -> DataFrame:
         return unpack(score(chunks, self.predict, self.context, self.horizon, keep, **options))
 
+    def rolled_out(self, horizon: int) -> Ridge:
+        """Recursive forecast of a one-step model: predict, append, repeat.
+
+        Each step is linear in the context, so the recursion is done once on the
+        coefficients and not on every window.
+        """
+        if self.horizon != 1:
+            raise ValueError("only a one-step model can be rolled out")
+        known = np.vstack([np.eye(self.context), np.zeros((1, self.context))])  # last row: constants
+        step = self.weights[:, 0]
+        for _ in range(horizon):
+            following = known[:, -self.context :] @ step
+            following[-1] += self.intercept[0]
+            known = np.column_stack([known, following])
+        made = known[:, self.context :]
+        return replace(self, horizon=horizon, weights=made[:-1], intercept=made[-1])
+
 
 def partial_sums(
     chunks: DataFrame, context: int, horizon: int, normalised: bool = True, value: str = "v", size: int = SIZE
 ) -> DataFrame:
-    """Per task: rows i of [X 1]'[X 1 Y], each a fixed-size array, and a salt by task."""
+    """Per task: rows i of [X 1]'[X 1 Y], each a fixed-size array."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((context + 1, context + 1 + horizon))
         for batch in batches:
-            for row in batch.to_dict("records"):
-                _, windows = _windows(row, context, horizon, size, value)
-                for i in range(0, len(windows), BLOCK):
-                    x, y = windows[i : i + BLOCK, :context], windows[i : i + BLOCK, context:]
-                    if normalised:
-                        x, mean, scale = _normalise(x)
-                        y = (y - mean) / scale
-                    design = np.hstack([x, np.ones((len(x), 1))])
-                    total += design.T @ np.hstack([design, y])
-        yield pd.DataFrame({"i": np.arange(context + 1), "sums": list(total)})
-
-    return chunks.select("chunk", "base", value).mapInPandas(run, "i long, sums array<double>")
+            for _, _, windows in _window_blocks(batch, context + horizon, size, value):
+                x, y = windows[:, :context], windows[:, context:]
+                if normalised:
+                    x, mean, scale = _normalise(x)
+                    y = (y - mean) / scale
+                design = np.hstack([x, np.ones((len(x), 1))])
+                total += design.T @ np.hstack([design, y])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(context + 1)), _lists(total)], names=["i", "sums"])
+
+    return chunks.select("chunk", "base", value).mapInArrow(run, "i long, sums array<double>")
 
 
 def _add_up(parts: DataFrame, by: Sequence[str]) -> DataFrame:

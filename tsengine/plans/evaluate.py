@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tsengine.operators import chunks, forecasts, metrics, scaling, windows
-from tsengine.plans.prepare import Spec, split_windows
+from tsengine.plans.prepare import Spec, split_chunks, split_windows
 
 
 def last_value_forecasts(
@@ -67,52 +68,44 @@ def select_forecaster(
     return tested.join(F.broadcast(best), "candidate")  # best is one row by construction
 
 
-def ar1_forecasts(
-    panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec, recursive: bool = True
+def _with_facts(
+    panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec, stats: DataFrame | None, facts: DataFrame
 ) -> DataFrame:
-    """AR(1) per series, fitted on its training rows, rolled out over each window of ``split``."""
-    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
-    pair = Spec(1, 0, 1, spec.train, spec.test, spec.scale, None, spec.batch, spec.size)
-    fitted = forecasts.ar1_fit(split_windows(panel, keys, [channel], "train", pair, stats=stats), keys)
-    indexed = _with_facts(panel, keys, channel, split, spec, stats, fitted)
-    path = forecasts.roll_out(
-        F.array(windows.at(spec.context)), F.array("slope"), F.col("intercept"), spec.horizon
-    )
-    rolled = indexed.withColumn("_path", path)
-    stepped = windows.steps(rolled, spec.horizon)
-    return stepped.select(
-        *keys, "channel", "window_id", "step",
-        F.element_at("_path", F.col("step")).alias("pred"),
-        windows.at(spec.context, ahead=F.col("step")).alias("true"),
-    )
-
-
-def _with_facts(panel, keys, channel, split, spec, stats, facts) -> DataFrame:
     """Windows of a split with per-series facts attached chunk by chunk."""
-    from tsengine.plans.prepare import split_chunks
-
     arrays = split_chunks(panel, keys, [channel], split, spec, stats=stats)
     lengths = panel.groupBy(*keys).agg(F.max("n").alias("n"))
     joined = chunks.join_facts(arrays, facts.join(lengths, list(keys)), keys, spec.size)
     return windows.starts(joined, spec.length, spec.size, first="first")
 
 
-def lag_forecasts(panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec) -> DataFrame:
-    """Direct one-lag forecasts: each step has its own coefficients per series."""
-    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
-    ahead = Spec(1, 0, spec.horizon, spec.train, spec.test, spec.scale, None, spec.batch, spec.size)
-    fitted = forecasts.lag_fit(split_windows(panel, keys, [channel], "train", ahead, stats=stats), keys, spec.horizon)
-    arrays = forecasts.by_step(fitted, keys, ["slope", "intercept"], spec.horizon)
-    indexed = _with_facts(panel, keys, channel, split, spec, stats, arrays)
-    stepped = windows.steps(indexed, spec.horizon)
+def _linear(indexed: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
+    """Forecast slope[h] * last value + intercept[h] for every step h."""
     pick = lambda c: F.element_at(c, F.col("step"))
-    return stepped.select(
+    return windows.steps(indexed, spec.horizon).select(
         *keys, "channel", "window_id", "step",
         (pick("slope") * windows.at(spec.context) + pick("intercept")).alias("pred"),
         windows.at(spec.context, ahead=F.col("step")).alias("true"),
     )
 
 
+def ar1_forecasts(panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec) -> DataFrame:
+    """AR(1) per series, fitted on its training rows, rolled out over each window of ``split``."""
+    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
+    pair = replace(spec, context=1, label=0, horizon=1)
+    fitted = forecasts.ar1_fit(split_windows(panel, keys, [channel], "train", pair, stats=stats), keys)
+    path = forecasts.roll_out(fitted, keys, spec.horizon)
+    return _linear(_with_facts(panel, keys, channel, split, spec, stats, path), keys, spec)
+
+
+def lag_forecasts(panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec) -> DataFrame:
+    """Direct one-lag forecasts: each step has its own coefficients per series."""
+    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
+    ahead = replace(spec, context=1, label=0)
+    fitted = forecasts.lag_fit(split_windows(panel, keys, [channel], "train", ahead, stats=stats), keys, spec.horizon)
+    arrays = forecasts.by_step(fitted, keys, ["slope", "intercept"], spec.horizon)
+    return _linear(_with_facts(panel, keys, channel, split, spec, stats, arrays), keys, spec)
+
+
 def last_value_with_sigma(panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec) -> DataFrame:
     """Last-value forecasts with a standard deviation per series and step, learnt on train windows."""
     stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
