@@ -55,17 +55,19 @@ def closed_form(
 def ar1_fit(windows: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     """Per series least squares v[t+1] = slope * v[t] + intercept.
 
-    ``windows`` are made with context 1 and horizon 1. A constant series gets
-    slope 0 and its own level.
+    ``windows`` are made with context 1 and horizon 1 and carry ``n``. A constant
+    series gets slope 0 and its own level.
     """
     x, y = at(1, value, 0), at(1, value, 1)
-    fitted = windows.select(*keys, x.alias("x"), y.alias("y")).groupBy(*keys).agg(
+    fitted = windows.select(*keys, "n", x.alias("x"), y.alias("y")).groupBy(*keys).agg(
+        F.max("n").alias("n"),
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.avg("y").alias("level"),
     )
     return fitted.select(
         *keys,
+        "n",
         F.coalesce("slope", F.lit(0.0)).alias("slope"),
         F.coalesce("intercept", "level").alias("intercept"),
     )
@@ -87,7 +89,7 @@ def roll_out(fitted: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
     start = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")))
     path = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, extend), 2, horizon)
     return fitted.withColumn("_path", path).select(
-        *keys, F.col("_path")["a"].alias("slope"), F.col("_path")["b"].alias("intercept")
+        *keys, "n", F.col("_path")["a"].alias("slope"), F.col("_path")["b"].alias("intercept")
     )
 
 
@@ -97,15 +99,17 @@ def lag_fit(windows: DataFrame, keys: Sequence[str], horizon: int, value: str =
     One aggregation over (series, step), combined before the shuffle.
     """
     pairs = steps(windows, horizon).select(
-        *keys, "step", at(1, value, 0).alias("x"), at(1, value, F.col("step")).alias("y")
+        *keys, "n", "step", at(1, value, 0).alias("x"), at(1, value, F.col("step")).alias("y")
     )
     fitted = pairs.groupBy(*keys, "step").agg(
+        F.max("n").alias("n"),
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.avg("y").alias("level"),
     )
     return fitted.select(
         *keys,
+        "n",
         "step",
         F.coalesce("slope", F.lit(0.0)).alias("slope"),
         F.coalesce("intercept", "level").alias("intercept"),
@@ -118,15 +122,15 @@ def by_step(facts: DataFrame, keys: Sequence[str], columns: Sequence[str], horiz
     return (
         facts.filter(F.col("step") <= horizon)
         .groupBy(*keys)
-        .agg(gathered.alias("_facts"))
-        .select(*keys, *[F.col("_facts")[c].alias(c) for c in columns])
+        .agg(F.max("n").alias("n"), gathered.alias("_facts"))
+        .select(*keys, "n", *[F.col("_facts")[c].alias(c) for c in columns])
     )
 
 
 def residual_sigma(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Root mean squared residual per series and step; positive unless the fit is exact."""
     e = F.col("true") - F.col("pred")
-    return forecasts.groupBy(*keys, "step").agg(F.sqrt(F.avg(e * e)).alias("sigma"))
+    return forecasts.groupBy(*keys, "step").agg(F.max("n").alias("n"), F.sqrt(F.avg(e * e)).alias("sigma"))
 
 
 def trend(

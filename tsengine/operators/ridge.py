@@ -7,18 +7,23 @@ numbers, are a model of fixed size and travel in the task closure.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tsengine.operators.chunks import SIZE
 from tsengine.operators.instance_norm import EPS
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 4096  # windows handled at once inside a task
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
 

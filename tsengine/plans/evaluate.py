@@ -73,8 +73,7 @@ def _with_facts(
 ) -> DataFrame:
     """Windows of a split with per-series facts attached chunk by chunk."""
     arrays = split_chunks(panel, keys, [channel], split, spec, stats=stats)
-    lengths = panel.groupBy(*keys).agg(F.max("n").alias("n"))
-    joined = chunks.join_facts(arrays, facts.join(lengths, list(keys)), keys, spec.size)
+    joined = chunks.join_facts(arrays, facts, keys, spec.size)
     return windows.starts(joined, spec.length, spec.size, first="first")
 
 
@@ -109,7 +108,8 @@ def lag_forecasts(panel: DataFrame, keys: Sequence[str], channel: str, split: st
 def last_value_with_sigma(panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec) -> DataFrame:
     """Last-value forecasts with a standard deviation per series and step, learnt on train windows."""
     stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
-    learnt = forecasts.residual_sigma(last_value_forecasts(panel, keys, [channel], "train", spec, stats), keys)
+    seen = split_windows(panel, keys, [channel], "train", spec, stats=stats).drop("first")
+    learnt = forecasts.residual_sigma(forecasts.last_value(seen, spec.context, spec.horizon), keys)
     arrays = forecasts.by_step(learnt, keys, ["sigma"], spec.horizon)
     indexed = _with_facts(panel, keys, channel, split, spec, stats, arrays)
     stepped = windows.steps(indexed, spec.horizon)
