@@ -19,17 +19,24 @@ _PLAIN = [("factor", "fc"), ("embed", "eb"), ("distil", "dt")]
 _TAIL = [("des", ""), ("itr", "")]
 
 
-def _text(value: Column | str | int | float | bool) -> Column:
-    return value.cast("string") if isinstance(value, Column) else F.lit(str(value))
-
-
-def run_key(config: dict, variational: bool = True) -> Column:
-    """Run name made of the configuration in a fixed order; two variants by model kind.
-
-    Values of ``config`` are columns or plain Python values.
-    """
+def _fields(config: dict, variational: bool) -> list[tuple[str, str]]:
     fields = _HEAD + (_VARIATIONAL if variational else _PLAIN) + _TAIL
     lacking = [name for name, _ in fields if name not in config]
     if lacking:
         raise ValueError(f"run key needs {', '.join(lacking)}")
-    return F.concat_ws("_", *[F.concat(F.lit(prefix), _text(config[name])) for name, prefix in fields])
+    return fields
+
+
+def run_name(config: dict, variational: bool = True) -> str:
+    """Run name of one configuration of plain values, its fields in a fixed order."""
+    return "_".join(f"{prefix}{config[name]}" for name, prefix in _fields(config, variational))
+
+
+def run_key(config: dict, variational: bool = True) -> Column:
+    """The same as a column; values of ``config`` are columns or plain values."""
+
+    def text(value) -> Column:
+        return value.cast("string") if isinstance(value, Column) else F.lit(str(value))
+
+    parts = [F.concat(F.lit(prefix), text(config[name])) for name, prefix in _fields(config, variational)]
+    return F.concat_ws("_", *parts)

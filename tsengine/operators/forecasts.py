@@ -145,26 +145,34 @@ def trend(
     return haloed.withColumn("trend", F.avg(value).over(frame)).filter(is_home(size))
 
 
-def trend_season(
+def seasons(
     df: DataFrame, keys: Sequence[str], value: str, period: int, width: int = 25, train: float = 0.7, size: int = SIZE
 ) -> DataFrame:
-    """Additive parts of every row: trend, season (mean detrended value of the phase), rest.
+    """Per series: array ``season`` of ``period`` mean detrended values, learnt on the training rows.
 
-    The season is learnt on the training rows. It goes back as one array of
-    ``period`` values per chunk. A phase that never occurs there has season 0.
+    A phase that never occurs there has 0.
     """
     trended = trend(df, keys, value, width, size)
     n_train, _, _ = part_sizes(F.col("n"), train)
     phases = (
         trended.filter(F.col("rn") < n_train)
-        .groupBy(*keys, (F.col("rn") % period).alias("_phase"))
-        .agg(F.avg(F.col(value) - F.col("trend")).alias("_mean"), F.max("n").alias("n"))
-    )
-    seasons = phases.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_phase", "_mean"))).alias("_season")
+        .groupBy(*keys, (F.col("rn") % period).alias("phase"))
+        .agg(F.avg(F.col(value) - F.col("trend")).alias("mean"), F.max("n").alias("n"))
     )
-    joined = join_facts(trended, seasons, keys, size)
-    season = F.coalesce(F.try_element_at(F.col("_season"), F.col("rn") % period), F.lit(0.0))
+    cells = [F.coalesce(F.max(F.when(F.col("phase") == i, F.col("mean"))), F.lit(0.0)) for i in range(period)]
+    return phases.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*cells).alias("season"))
+
+
+def trend_season(
+    df: DataFrame, keys: Sequence[str], value: str, period: int, width: int = 25, train: float = 0.7, size: int = SIZE
+) -> DataFrame:
+    """Additive parts of every row: trend, season of its phase, rest.
+
+    The season goes to the rows as one array per chunk.
+    """
+    learnt = seasons(df, keys, value, period, width, train, size).withColumnRenamed("season", "_season")
+    joined = join_facts(trend(df, keys, value, width, size), learnt, keys, size)
+    season = F.element_at("_season", (F.col("rn") % period + 1).cast("int"))
     return joined.select(
         *keys,
         "rn",

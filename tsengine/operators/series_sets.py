@@ -27,8 +27,8 @@ def group_meta(spark: SparkSession) -> DataFrame:
 
 
 def attach_meta(df: DataFrame, meta: DataFrame) -> DataFrame:
-    """Look up horizon and frequency by group; the ten-row table is broadcast."""
-    return df.join(F.broadcast(meta), "grp", "left")
+    """Look up horizon and frequency by group; Spark broadcasts the table when its size allows."""
+    return df.join(meta, "grp", "left")
 
 
 def compact(values: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsengine.operators import series_sets
+from tsengine.plans import competition
 from tsengine.plans.catalog.registry import digest, query, r
 from tsengine.plans.tables import GROUP_FREQUENCY, GROUP_HORIZON, GROUP_NAMES, ragged, series_file, vectors
 from tsengine.session import scratch_path
@@ -58,7 +59,7 @@ def compact_series(spark, folder):
     return made.select("series_id", F.posexplode("values").alias("pos", "v")).select("series_id", "pos", r("v").alias("v"))
 
 
-def _info_table(spark, folder):
+def _land_info(spark, folder):
     """Info rows for nine of ten ids, and for some ids that have no series."""
     rows = ragged(spark, folder).select(
         F.concat(F.when(F.col("series_id") % 10 == 9, "N").otherwise("S"), "series_id").alias("M4id"),
@@ -68,7 +69,7 @@ def _info_table(spark, folder):
     )
     path = scratch_path(spark, "info")
     rows.select("M4id", F.lit("note").alias("category"), "Frequency", "Horizon", "SP").write.option("header", True).csv(path)
-    return readers.info(spark, path)
+    return path
 
 
 _INFO = f"""info AS (SELECT CASE WHEN vec_id%10=9 THEN 'N' ELSE 'S' END || vec_id AS series_id, {_pick(GROUP_NAMES)} AS grp,
@@ -77,7 +78,7 @@ _INFO = f"""info AS (SELECT CASE WHEN vec_id%10=9 THEN 'N' ELSE 'S' END || vec_i
 
 @query("load_info", f"WITH {_INFO} SELECT * FROM info")
 def load_info(spark, folder):
-    return _info_table(spark, folder).drop("info_ord")
+    return readers.info(spark, _land_info(spark, folder)).drop("info_ord")
 
 
 @query(
@@ -94,7 +95,7 @@ def info_series_join(spark, folder):
     again = first.filter(F.substring("series_id", 2, 20).cast("bigint") % 3 == 0).select(
         "series_id", F.slice("values", 1, 5).alias("values"), F.lit(1).alias("file_ord"), "row_ord"
     )
-    joined = series_sets.attach_info(first.unionByName(again), _info_table(spark, folder))
+    joined = series_sets.attach_info(first.unionByName(again), readers.info(spark, _land_info(spark, folder)))
     return joined.select("series_id", "grp", "frequency", "horizon", *digest("values", SIX), F.col("ord")["unknown"].alias("unknown"))
 
 
@@ -116,6 +117,12 @@ _SHEETS = ["M3Year", "M3Quart", "M3Month", "M3Other"]
         (vec_id%4)::INT AS grp_ord, [6,8,18,8][vec_id%4+1] AS horizon, {_sum('values', digits=SIX)} FROM cells GROUP BY vec_id""",
 )
 def scan_grouped_sheets(spark, folder):
+    landed = _land_sheets(spark, folder)
+    return readers.grouped_sheets(spark, landed).select("series_id", "grp", "grp_ord", "horizon", *digest("values", SIX))
+
+
+def _land_sheets(spark, folder):
+    """The series file as four sheets, one per group."""
     raw = series_file(spark, folder).withColumn("_id", F.substring("V1", 2, 20).cast("bigint"))
     horizons = {g: h for g, h, _ in series_sets.GROUPS}
     landed = []
@@ -127,7 +134,39 @@ def scan_grouped_sheets(spark, folder):
         cells = [F.col(f"V{k + 2}").alias(str(k + 1)) for k in range(64)]
         raw.filter(F.col("_id") % 4 == i).select(*head, *cells).write.option("header", True).csv(path)
         landed.append((group, path))
-    return readers.grouped_sheets(spark, landed).select("series_id", "grp", "grp_ord", "horizon", *digest("values", SIX))
+    return landed
+
+
+@query(
+    "build_grouped_collection",
+    f"""WITH {_CELLS}, g AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS len, [6,8,18,8][vec_id%4+1] AS h FROM cells)
+        SELECT 'N' || vec_id AS series_id, ['M3Year','M3Quart','M3Month','M3Other'][vec_id%4+1] AS grp, any_value(h) AS horizon,
+        {_sum('train', 'pos < len-2*h', digits=SIX)}, {_sum('test', 'pos >= len-h', '(pos-len+h)', SIX)}
+        FROM g WHERE len > h GROUP BY vec_id""",
+)
+def build_grouped_collection(spark, folder):
+    """Sheets to cache; the train part is read back as the subset without another horizon."""
+    cache = competition.build_grouped(spark, _land_sheets(spark, folder), scratch_path(spark, "grouped"))
+    train = competition.training_subset(writers.load_series_cache(spark, cache)).withColumnRenamed("values", "train")
+    test = writers.load_series_cache(spark, cache, training=False).select("series_id", F.col("values").alias("test"))
+    return train.join(test, "series_id").select("series_id", "grp", "horizon", *digest("train", SIX), *digest("test", SIX))
+
+
+@query(
+    "build_indexed_collection",
+    f"""WITH {_CELLS}, {_INFO}, s AS (SELECT 'S' || vec_id AS series_id, {_sum('values', digits=SIX)} FROM cells WHERE vec_id%2=0 GROUP BY vec_id),
+        t AS (SELECT 'S' || vec_id AS series_id, {_sum('values', digits=SIX)} FROM cells WHERE vec_id%2=1 GROUP BY vec_id),
+        b AS (SELECT 'train' AS part, series_id, grp, horizon, values_n, values_sum, values_weighted FROM info FULL JOIN s USING (series_id)
+              UNION ALL SELECT 'test', series_id, grp, horizon, values_n, values_sum, values_weighted FROM info FULL JOIN t USING (series_id))
+        SELECT part, series_id, grp, horizon, coalesce(values_n,0) AS values_n, coalesce(values_sum,0) AS values_sum,
+               coalesce(values_weighted,0) AS values_weighted FROM b""",
+)
+def build_indexed_collection(spark, folder):
+    """Even ids as the train files, odd ones as the test files."""
+    number = F.substring("V1", 2, 20).cast("bigint")
+    train, test = (_land(spark, folder, number % 2 == k) for k in (0, 1))
+    cache = competition.build_indexed(spark, _land_info(spark, folder), [train], [test], scratch_path(spark, "indexed"))
+    return spark.read.parquet(cache).select("part", "series_id", "grp", "horizon", *digest("values", SIX))
 
 
 @query("series_length", f"WITH {_RAGGED} SELECT series_id, any_value(len)::INT AS n FROM ragged GROUP BY 1")

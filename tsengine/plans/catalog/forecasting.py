@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tsengine.operators import forecasts, metrics, ridge
-from tsengine.plans import evaluate
+from tsengine.plans import evaluate, experiment
 from tsengine.plans.catalog import fragments as sql
 from tsengine.plans.catalog.registry import query, r
 from tsengine.plans.catalog.scores import _ALL, FIVE, _H, _W, naive
 from tsengine.plans.catalog.windowed import SPEC
 from tsengine.plans.prepare import split_chunks
 from tsengine.plans.tables import EVENT_TYPES, KEY, hourly_wide, user_hourly
+from tsengine.session import scratch_path
 
 _STEP = ["series_id", "channel", "window_id", "step"]
 
@@ -42,6 +43,26 @@ def evaluate_long_horizon(spark, folder):
     return scored.select(*[r(m, 4).alias(m) for m in FIVE])
 
 
+def _experiment(model, features):
+    def run(spark, folder):
+        path = scratch_path(spark, "wide")
+        hourly_wide(spark, folder).select("date", *EVENT_TYPES).write.option("header", True).csv(path)
+        config = experiment.Config(
+            model_id="events", model=model, features=features, target="view", seq_len=24, label_len=12, pred_len=12
+        )
+        out = scratch_path(spark, "experiment")
+        experiment.run(spark, path, config, out)
+        again = experiment.run(spark, path, config, out)  # finds the results and runs nothing
+        return again.select(*[r(m, 4).alias(m) for m in FIVE])
+
+    return run
+
+
+query("experiment_last_value", f"{_H} SELECT {_ALL} FROM w")(_experiment("last", "M"))
+query("experiment_target_only", f"{_H} SELECT {_ALL} FROM w WHERE channel='view'")(_experiment("last", "MS"))
+query("experiment_ridge")(_experiment("ridge", "M"))
+
+
 @query(
     "align_forecasts",
     f"{_H} SELECT channel, window_id, step, round(pred,6)+0.0 AS pred, round(truth,6)+0.0 AS truth FROM w",
@@ -146,6 +167,32 @@ def trend_season(spark, folder):
     return parts.select("series_id", "rn", *[r(c, 8).alias(c) for c in ("v", "trend", "season", "rest")])
 
 
+_SEASONS = f"""t AS (SELECT *, avg(v) OVER (PARTITION BY series_id ORDER BY rn
+              ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS trend FROM sc),
+        p AS (SELECT series_id, rn%24 AS phase, avg(v-trend) AS season FROM t WHERE rn < {sql.NT} GROUP BY 1, 2)"""
+
+
+@query(
+    "forecast_trend_season",
+    f"""WITH {sql.USERS}, {sql.SCALED}, {_SEASONS}, {sql.cells('test', 24, 12, 11, 13, 'sc', 'c13')},
+        l AS (SELECT series_id, window_id, avg(v) AS trend FROM c13 GROUP BY 1, 2), {sql.steps('test', 24, 12)},
+        k AS (SELECT series_id, any_value(n) AS n FROM sc GROUP BY 1),
+        f AS (SELECT w.series_id, w.step, w.truth, l.trend, coalesce(p.season,0) AS season, l.trend+coalesce(p.season,0) AS p
+              FROM w JOIN l USING (series_id, window_id) JOIN k USING (series_id)
+              LEFT JOIN p ON p.series_id=w.series_id AND p.phase=(w.window_id+{sql.bounds('test', 24, 'k.')[0]}+23+w.step)%24)
+        SELECT series_id, step, round(avg(trend),5)+0.0 AS trend, round(avg(season),5)+0.0 AS season, {_BY_SERIES} FROM f GROUP BY 1, 2""",
+)
+def forecast_trend_season(spark, folder):
+    made = evaluate.trend_season_forecasts(user_hourly(spark, folder), KEY, "v", "test", SPEC, period=24)
+    p, t = F.col("pred"), F.col("true")
+    return made.groupBy("series_id", "step").agg(
+        r(F.avg("trend"), 5).alias("trend"),
+        r(F.avg("season"), 5).alias("season"),
+        r(metrics.mae(p, t), 5).alias("mae"),
+        r(metrics.mse(p, t), 5).alias("mse"),
+    )
+
+
 _CANDIDATES = f"""
 ctx AS (SELECT series_id, split, window_id, avg(v) AS mean FROM cc GROUP BY 1, 2, 3),
 lagged AS (SELECT w.*, m.mean, s.v AS seasonal FROM w JOIN ctx m USING (series_id, split, window_id)

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tsengine.functions.numeric import array_mean
 from tsengine.operators import chunks, forecasts, metrics, scaling, windows
 from tsengine.plans.prepare import Spec, split_chunks, split_windows
 
@@ -119,3 +120,25 @@ def last_value_with_sigma(panel: DataFrame, keys: Sequence[str], channel: str, s
         F.element_at("sigma", F.col("step")).alias("sigma"),
         windows.at(spec.context, ahead=F.col("step")).alias("true"),
     )
+
+
+def trend_season_forecasts(
+    panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec, period: int, width: int = 25
+) -> DataFrame:
+    """Forecast as trend + season: the level of the last ``width`` // 2 + 1 context values, and
+    the learnt season of each future row's phase. The two parts are given as well.
+    """
+    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
+    scaled = scaling.apply(panel, stats, keys, [channel], spec.size) if spec.scale else panel
+    learnt = forecasts.seasons(scaled, keys, channel, period, width, spec.train, spec.size)
+    indexed = _with_facts(panel, keys, channel, split, spec, stats, learnt)
+    recent = width // 2 + 1
+    level = indexed.withColumn("trend", array_mean(windows.piece("v", spec.context - recent, recent)))
+    stepped = windows.steps(level, spec.horizon)
+    phase = (F.col("start") + (spec.context - 1) + F.col("step")) % period
+    season = F.element_at("season", (phase + 1).cast("int"))
+    return stepped.select(
+        *keys, "channel", "window_id", "step", "trend", season.alias("season"),
+        (F.col("trend") + season).alias("pred"),
+        windows.at(spec.context, ahead=F.col("step")).alias("true"),
+    )

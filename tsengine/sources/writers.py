@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tsengine.operators.series_sets import export_columns
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
     except AnalysisException:
@@ -38,7 +38,7 @@ def cached_series(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], training: bool = True
 ) -> DataFrame:
     """Load the cache, building it first unless it is already there."""
-    if not _exists(spark, path):
+    if not table_exists(spark, path):
         save_series_cache(build(), path)
     return load_series_cache(spark, path, training)
 
@@ -49,8 +49,12 @@ def export_wide(df: DataFrame, path: str, values: str = "values", ids: tuple[str
 
 
 def save_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Predictions and truths in long form, one folder per run."""
-    forecasts.write.mode("append").partitionBy("run_id").parquet(path)
+    """Predictions and truths in long form, one folder per run.
+
+    Rebalancing gathers the small runs and splits the big ones, so that neither
+    many tiny files nor one hot task comes of it.
+    """
+    forecasts.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def load_forecasts(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
