@@ -36,7 +36,7 @@ def frame():
 
 @pytest.fixture(scope="module")
 def indexed(spark, frame):
-    return chunks.row_index(spark.createDataFrame(frame), KEYS, "ts", "day").cache()
+    return chunks.row_index(spark.createDataFrame(frame), KEYS, "ts").cache()
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_row_index(indexed, expected):
     pd.testing.assert_frame_equal(got, expected[["series_id", "rn", "n", "v"]], check_dtype=False)
 
 
-@pytest.mark.parametrize("block", ["hour", "month"])
+@pytest.mark.parametrize("block", ["hour", "month", ("month", "day"), ("month", "day", "hour"), ("day", "minute")])
 def test_row_index_of_one_long_series(spark, frame, block):
     one = panel.as_panel(spark.createDataFrame(frame[["ts", "v"]].drop_duplicates("ts")))
     got = chunks.row_index(one, KEYS, "ts", block).select("ts", "rn").toPandas().sort_values("ts")

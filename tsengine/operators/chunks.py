@@ -44,35 +44,49 @@ def explode_range(
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], order: str, block: str | Column = "day", rn: str = "rn", n: str = "n"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    block: str | Column | Sequence[str | Column] = ("day", "minute"),
+    rn: str = "rn",
+    n: str = "n",
 ) -> DataFrame:
     """Position ``rn`` (from 0) of each row in its series, and the series length ``n``.
 
-    Rows are numbered inside (series, block) and shifted by the rows of the
-    earlier blocks. ``block`` is a unit for ``date_trunc``, or any column that
-    grows with ``order``. Keys and order column must not be NULL.
+    Rows are numbered inside blocks and shifted by the rows of the earlier
+    blocks. ``block`` lists nested blocks, coarse to fine: units for
+    ``date_trunc``, or columns that grow with ``order``. Only the finest block
+    of a series is ever sorted in one task, so a series, a day or a burst may
+    hold any share of the rows. Offsets are summed level by level, over one row
+    per block. Keys and order column must not be NULL.
     """
-    by = F.date_trunc(block, F.col(order)) if isinstance(block, str) else block
-    blocked = df.withColumn("_block", by)
-    ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *keys,
-            "_block",
-            F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_offset"),
-            F.sum("_rows").over(Window.partitionBy(*keys)).alias(n),
-        )
-    )
-    local = blocked.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)))
+    given = [block] if isinstance(block, (str, Column)) else list(block)
+    levels = [f"_block{i}" for i in range(len(given))]
+    cut = [F.date_trunc(unit, F.col(order)) if isinstance(unit, str) else unit for unit in given]
+    blocked = df.withColumns(dict(zip(levels, cut)))
+    sizes = blocked.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _block_offsets(sizes, keys, levels, n).select(*keys, levels[-1], "_offset", n)
+    finest = [*keys, levels[-1]]
+    local = blocked.withColumn("_place", F.row_number().over(Window.partitionBy(*finest).orderBy(order)))
     return (
-        local.join(offsets, [*keys, "_block"])
+        local.join(offsets, finest)
         .withColumn(rn, F.col("_offset") + F.col("_place") - 1)
-        .drop("_block", "_place", "_offset")
+        .drop(*levels, "_place", "_offset")
     )
 
 
+def _block_offsets(sizes: DataFrame, keys: Sequence[str], levels: Sequence[str], n: str) -> DataFrame:
+    """Rows ahead of every block in its series (``_offset``), and rows of the series."""
+    outer = [*keys, *levels[:-1]]
+    ahead = Window.partitionBy(*outer).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+    if len(levels) == 1:
+        return inside.withColumn(n, F.sum("_rows").over(Window.partitionBy(*keys)))
+    totals = sizes.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
+    above = _block_offsets(totals, keys, levels[:-1], n).select(*outer, F.col("_offset").alias("_above"), n)
+    return inside.join(above, outer).withColumn("_offset", F.col("_offset") + F.col("_above"))
+
+
 def with_chunk(df: DataFrame, size: int = SIZE, rn: str = "rn") -> DataFrame:
     return df.withColumn("chunk", F.expr(f"`{rn}` div {size}"))
 

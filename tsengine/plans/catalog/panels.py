@@ -59,7 +59,7 @@ def long_wide_roundtrip(spark, folder):
 )
 def row_index(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", F.col("user_id").alias("series_id"), "ts")
-    return chunks.row_index(events, KEY, "ts", "day").select("event_id", "series_id", "rn", "n")
+    return chunks.row_index(events, KEY, "ts").select("event_id", "series_id", "rn", "n")
 
 
 @query(
@@ -68,7 +68,7 @@ def row_index(spark, folder):
 )
 def row_index_single_series(spark, folder):
     events = panel.as_panel(spark.read.parquet(f"{folder}/events.parquet").select("event_id", "ts"))
-    return chunks.row_index(events, KEY, "ts", "hour").select("event_id", "rn", "n")
+    return chunks.row_index(events, KEY, "ts", ("month", "hour")).select("event_id", "rn", "n")
 
 
 @query(

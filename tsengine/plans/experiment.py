@@ -15,8 +15,8 @@ from tsengine.sources import readers, writers
 
 KEY = ["series_id"]
 
-# Unit whose rows are numbered together, by the frequency of the data.
-BLOCKS = {"second": "hour", "minute": "day", "hour": "month", "day": "year", "business day": "year"}
+# Nested blocks whose rows are numbered together, by the frequency of the data.
+BLOCKS = {"second": ("day", "minute"), "minute": ("month", "hour"), "hour": ("year", "day"), "day": ("year", "month")}
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def run(spark: SparkSession, path: str, config: Config, out: str, format: str =
     wide = panel.feature_mode(readers.wide_series(spark, path, target=config.target, format=format), config.features, config.target)
     channels = panel.channels_of(wide)
     scored = windows.output_channels(channels, config.features)
-    block = BLOCKS.get(resolve(config.freq), "year")
+    block = BLOCKS.get(resolve(config.freq), ("year", "month"))
     indexed = chunks.row_index(panel.as_panel(wide), KEY, "date", block)
     made = forecast(indexed, channels, config, scored).withColumn("run_id", F.lit(config.run_id))
     writers.save_forecasts(made, f"{out}/forecasts")

@@ -42,7 +42,7 @@ def orders_daily(spark: SparkSession, folder: str) -> DataFrame:
 def user_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as irregular series per user, with position and length."""
     events = table(spark, folder, "events").select(F.col("user_id").alias("series_id"), "ts", "event_type", "value")
-    return chunks.row_index(events, KEY, "ts", "day")
+    return chunks.row_index(events, KEY, "ts")
 
 
 def anomaly_labels(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,14 +8,12 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Chunk arrays are wide rows, so Arrow batches are kept to few of them.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # Call-site capture slows down plan building by far more than planning itself.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
