@@ -108,6 +108,19 @@ def test_experiment_runs_once(spark, tmp_path, model):
     assert saved.count() == (80 - 12 + 1) * 12
 
 
+def test_experiment_refuses_repeated_dates(spark, tmp_path):
+    path = write(tmp_path / "d.csv", "date,OT", "2016-07-01 00:00:00,1", "2016-07-01 00:00:00,2")
+    with pytest.raises(ValueError, match="repeated"):
+        experiment.run(spark, path, experiment.Config(), str(tmp_path / "o"))
+
+
+def test_text_dates_in_parquet(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("2016-07-01 01:00:00", 1.0), ("soon", 2.0)], "date string, OT double").write.parquet(path)
+    rows = readers.wide_series(spark, path, format="parquet").orderBy("OT").collect()
+    assert [str(r["date"]) for r in rows] == ["2016-07-01 01:00:00", "None"]
+
+
 def test_stream_equals_batch(spark, tiny, tmp_path):
     events = spark.read.parquet(f"{tiny}/events.parquet")
     stats = scaling.fit(

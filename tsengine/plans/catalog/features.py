@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsengine.functions import calendar, encodings, numeric, text
+from tsengine.operators import instance_norm
 from tsengine.plans.catalog.registry import query, r
 from tsengine.plans.tables import table, vectors
 from tsengine.session import scratch_path
@@ -141,9 +142,7 @@ def softplus(spark, folder):
        FROM e a JOIN e b ON a.vec_id=b.vec_id AND b.j=65-a.j""",
 )
 def recompose(spark, folder):
-    from tsengine.operators.instance_norm import recompose as add
-
-    summed = vectors(spark, folder).select("series_id", F.posexplode(add(F.col("x"), F.reverse("x"))).alias("pos", "y"))
+    summed = vectors(spark, folder).select("series_id", F.posexplode(instance_norm.recompose(F.col("x"), F.reverse("x"))).alias("pos", "y"))
     return summed.select("series_id", "pos", r("y").alias("y"))
 
 

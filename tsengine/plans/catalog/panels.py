@@ -106,20 +106,20 @@ def position_range(spark, folder):
 
 @query(
     "scale_fit",
-    f"WITH {sql.HOURLY_LONG}, {sql.SCALED} SELECT channel, round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std FROM st",
+    f"WITH {sql.HOURLY_LONG}, {sql.SCALED} SELECT channel, round(m,8)+0.0 AS mean, round(s,8)+0.0 AS std FROM st",
 )
 def scale_fit(spark, folder):
     stats = scaling.fit(hourly_wide(spark, folder), KEY, EVENT_TYPES)
-    return scaling.long_stats(stats, KEY, EVENT_TYPES).select("channel", r("mean").alias("mean"), r("std").alias("std"))
+    return scaling.long_stats(stats, KEY, EVENT_TYPES).select("channel", r("mean", 8).alias("mean"), r("std", 8).alias("std"))
 
 
 @query(
     "scale_fit_panel",
-    f"WITH {sql.USERS}, {sql.SCALED} SELECT series_id, round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std FROM st",
+    f"WITH {sql.USERS}, {sql.SCALED} SELECT series_id, round(m,8)+0.0 AS mean, round(s,8)+0.0 AS std FROM st",
 )
 def scale_fit_panel(spark, folder):
     stats = scaling.fit(user_hourly(spark, folder), KEY, ["v"])
-    return stats.select("series_id", r("v_mean").alias("mean"), r("v_std").alias("std"))
+    return stats.select("series_id", r("v_mean", 8).alias("mean"), r("v_std", 8).alias("std"))
 
 
 @query("scale_transform", f"WITH {sql.USERS}, {sql.SCALED} SELECT series_id, rn, round(v,6)+0.0 AS v FROM sc")

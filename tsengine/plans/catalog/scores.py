@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsengine.operators import metrics, windows
+from tsengine.operators import metrics, training_log, windows
 from tsengine.plans import evaluate
 from tsengine.plans.catalog import fragments as sql
 from tsengine.plans.catalog.registry import query, r
 from tsengine.plans.catalog.windowed import SPEC
-from tsengine.plans.tables import EVENT_TYPES, KEY, hourly_wide, table, user_hourly
+from tsengine.plans.tables import EVENT_TYPES, KEY, hourly_wide, loss_log, table, user_hourly, vectors
 
 _W = f"WITH {sql.USERS}, {sql.SCALED}, {sql.steps('test', 24, 12)}"
 _H = f"WITH {sql.HOURLY_LONG}, {sql.SCALED}, {sql.steps('test', 24, 12)}"
@@ -135,8 +135,6 @@ def kl_gaussian(spark, folder):
 
 def latents(spark, folder):
     """Embeddings as latent means; the reversed vector serves as log variances."""
-    from tsengine.plans.tables import vectors
-
     pairs = F.arrays_zip(F.col("x").alias("m"), F.reverse("x").alias("lv"))
     flat = vectors(spark, folder).select("label", F.explode(pairs).alias("z"))
     return flat.select("label", F.col("z")["m"].alias("z_mu"), F.col("z")["lv"].alias("z_logvar"))
@@ -161,7 +159,4 @@ def combined_loss(spark, folder):
     """SELECT user_id AS run_id, day(ts)::INT AS epoch, round(avg(value),8)+0.0 AS loss FROM events GROUP BY 1, 2""",
 )
 def epoch_loss(spark, folder):
-    from tsengine.operators.training_log import epoch_loss as mean_loss
-    from tsengine.plans.tables import loss_log
-
-    return mean_loss(loss_log(spark, folder)).select("run_id", "epoch", r("loss", 8).alias("loss"))
+    return training_log.epoch_loss(loss_log(spark, folder)).select("run_id", "epoch", r("loss", 8).alias("loss"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsengine.operators import chunks, instance_norm, windows
+from tsengine.operators import chunks, forecasts, instance_norm, splits, windows
 from tsengine.plans.catalog import fragments as sql
 from tsengine.plans.catalog.registry import digest, digest_sql, query, r
-from tsengine.plans.prepare import Spec, prepare_split, split_windows
+from tsengine.plans.prepare import Spec, prepare_matrix, prepare_split, split_windows
 from tsengine.plans.tables import EVENT_TYPES, KEY, hourly_wide, user_hourly, vectors
 
 # Small windows so that every series of the test tables has some in each split.
@@ -45,7 +45,7 @@ def windows_xy(spark, folder):
 
 @query(
     "windows_single_series",
-    f"WITH {sql.HOURLY_LONG}, {_UNSCALED.replace('raw AS (', 'raw AS (')}, "
+    f"WITH {sql.HOURLY_LONG}, {_UNSCALED}, "
     + sql.cells("train", 24, 12, 0, 24, "raw", "cx")
     + f" SELECT {_IDS}, {digest_sql('x')} FROM cx GROUP BY ALL",
 )
@@ -83,6 +83,19 @@ def windows_marks(spark, folder):
     return hours.select(*ID, *digest("hour_x"), *digest("hour_y"))
 
 
+@query(
+    "windows_matrix",
+    f"WITH {sql.HOURLY_LONG}, {sql.SCALED}, {_two_digests('val')} "
+    f"SELECT *, window_id // 32 AS batch_id FROM dx JOIN dy USING ({_IDS})",
+)
+def windows_matrix(spark, folder):
+    """All channels of a window in one row, taken apart again for the comparison."""
+    made = prepare_matrix(hourly_wide(spark, folder), KEY, EVENT_TYPES, "val", SPEC, ts="date")
+    names = F.array(*[F.lit(c) for c in EVENT_TYPES])
+    rows = F.arrays_zip(names.alias("channel"), F.col("x"), F.col("y"))
+    return made.select("series_id", "window_id", "batch_id", F.inline(rows)).select(*ID, *digest("x"), *digest("y"), "batch_id")
+
+
 @query(
     "decoder_input",
     f"WITH {sql.USERS}, {sql.SCALED}, {sql.cells('test', 24, 12, 12, 12, 'sc', 'cd')} "
@@ -110,8 +123,6 @@ def target_slice(spark, folder):
     f"SELECT series_id, window_id // 24 AS window_id, {digest_sql('x')} FROM cx WHERE window_id % 24 = 0 GROUP BY 1, 2",
 )
 def strided_windows(spark, folder):
-    from tsengine.operators import splits
-
     part = splits.rows(user_hourly(spark, folder), "train", 0)
     made = chunks.chunked(part, KEY, ["v"], 128, after=SPEC.halo, constant=["first"])
     cut = windows.starts(made, SPEC.length, 128, first="first", stride=24)
@@ -218,6 +229,4 @@ def plot_frames(spark, folder):
         ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING),8)+0.0 AS trend FROM users""",
 )
 def moving_frame(spark, folder):
-    from tsengine.operators.forecasts import trend
-
-    return trend(user_hourly(spark, folder), KEY, "v", 25, size=128).select("series_id", "rn", r("trend", 8).alias("trend"))
+    return forecasts.trend(user_hourly(spark, folder), KEY, "v", 25, size=128).select("series_id", "rn", r("trend", 8).alias("trend"))

@@ -86,7 +86,8 @@ def forecast(df: DataFrame, channels: list[str], config: Config, scored: list[st
 def run(spark: SparkSession, path: str, config: Config, out: str, format: str = "csv") -> DataFrame:
     """Run one experiment unless its results exist; returns its row of the results table.
 
-    Forecasts are written once, and the metrics are read from that table.
+    Rows without a date and repeated dates are refused. Forecasts are written
+    once, and the metrics are read from that table.
     """
     results = f"{out}/results"
     mine = F.col("run_id") == config.run_id
@@ -98,7 +99,8 @@ def run(spark: SparkSession, path: str, config: Config, out: str, format: str =
     channels = panel.channels_of(wide)
     scored = windows.output_channels(channels, config.features)
     block = BLOCKS.get(resolve(config.freq), ("year", "month"))
-    indexed = chunks.row_index(panel.as_panel(wide), KEY, "date", block)
+    checked = panel.validate(panel.as_panel(wide), KEY, "date", channels)
+    indexed = chunks.row_index(checked, KEY, "date", block)
     made = forecast(indexed, channels, config, scored).withColumn("run_id", F.lit(config.run_id))
     writers.save_forecasts(made, f"{out}/forecasts")
     saved = writers.load_forecasts(spark, f"{out}/forecasts", config.run_id)

@@ -34,20 +34,19 @@ class Spec:
         return windows.halo(self.context, self.horizon)
 
 
-def split_chunks(
+def _split_arrays(
     panel: DataFrame,
     keys: Sequence[str],
     channels: Sequence[str],
     split: str,
     spec: Spec,
-    ts: str | None = None,
-    stats: DataFrame | None = None,
+    ts: str | None,
+    stats: DataFrame | None,
 ) -> DataFrame:
-    """Scaled chunk arrays of one split, one row per (series, chunk, channel).
+    """Scaled chunk arrays of one split, one row per (series, chunk) with an array per channel.
 
-    ``panel`` has ``rn`` and ``n``. The rows are shuffled once, by (series,
-    chunk): the statistics join and the chunk arrays share that partitioning.
-    With ``ts``, an array of time marks per row comes along as ``marks``.
+    The rows are shuffled once, by (series, chunk): the statistics join and the
+    arrays share that partitioning.
     """
     if spec.scale and stats is None:
         stats = scaling.fit(panel, keys, channels, spec.train)
@@ -60,8 +59,24 @@ def split_chunks(
     haloed = chunks.with_halo(part.select(*keys, "rn", "n", "first", *values), spec.size, after=spec.halo)
     if spec.scale:
         haloed = scaling.apply(haloed, stats, keys, channels, spec.size)
-    arrays = chunks.collect_chunks(haloed, keys, values, spec.size, constant=["n", "first"])
-    return chunks.by_channel(arrays, channels)
+    return chunks.collect_chunks(haloed, keys, values, spec.size, constant=["n", "first"])
+
+
+def split_chunks(
+    panel: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    split: str,
+    spec: Spec,
+    ts: str | None = None,
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """Scaled chunk arrays of one split, one row per (series, chunk, channel).
+
+    ``panel`` has ``rn`` and ``n``. With ``ts``, an array of time marks per row
+    comes along as ``marks``.
+    """
+    return chunks.by_channel(_split_arrays(panel, keys, channels, split, spec, ts, stats), channels)
 
 
 def split_windows(
@@ -91,3 +106,29 @@ def prepare_split(
     indexed = split_windows(panel, keys, channels, split, spec, ts, stats)
     cut = windows.contexts(indexed, spec.context, spec.label, spec.horizon, marks="marks" if ts else None)
     return cut.withColumn("batch_id", windows.batch_id(spec.batch)).drop("n", "first", "start")
+
+
+def prepare_matrix(
+    panel: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    split: str,
+    spec: Spec,
+    ts: str | None = None,
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """Samples with all channels in one row: ``x`` and ``y`` hold one array per channel, in order.
+
+    The time marks come once per window and not once per channel.
+    """
+    arrays = _split_arrays(panel, keys, channels, split, spec, ts, stats)
+    indexed = windows.starts(arrays, spec.length, spec.size, value=channels[0], first="first")
+    skip, length = spec.context - spec.label, spec.label + spec.horizon
+    cut = {
+        "x": F.array(*[windows.piece(c, 0, spec.context) for c in channels]),
+        "y": F.array(*[windows.piece(c, skip, length) for c in channels]),
+        "batch_id": windows.batch_id(spec.batch),
+    }
+    if ts:
+        cut |= {"x_mark": windows.piece("marks", 0, spec.context), "y_mark": windows.piece("marks", skip, length)}
+    return indexed.withColumns(cut).select(*keys, "window_id", *cut)

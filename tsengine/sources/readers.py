@@ -29,11 +29,14 @@ def wide_series(
     """One row per timestamp, one double column per channel.
 
     For CSV the header line gives the names (or ``columns`` does, which saves
-    reading it); a cell that is no number is NULL. Parquet keeps its own types.
+    reading it); a cell that is no number is NULL. Other formats keep their
+    types, but a text timestamp is parsed; one that cannot be is NULL.
     """
     if format != "csv":
         df = spark.read.format(format).load(path)
         names = df.columns
+        if dict(df.dtypes).get(ts) == "string":
+            df = df.withColumn(ts, F.col(ts).try_cast("timestamp_ntz"))
     else:
         names = list(columns) if columns else _header(spark, path)
         types = [TimestampNTZType() if c == ts else DoubleType() for c in names]
