@@ -64,7 +64,9 @@ def row_index(
     levels = [f"_block{i}" for i in range(len(given))]
     cut = [F.date_trunc(unit, F.col(order)) if isinstance(unit, str) else unit for unit in given]
     blocked = df.withColumns(dict(zip(levels, cut)))
-    sizes = blocked.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_rows"))
+    # Stated here, the joins below infer no further filters and share this aggregate.
+    placed = blocked.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, *levels)))
+    sizes = placed.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_rows"))
     offsets = _block_offsets(sizes, keys, levels, n).select(*keys, levels[-1], "_offset", n)
     finest = [*keys, levels[-1]]
     local = blocked.withColumn("_place", F.row_number().over(Window.partitionBy(*finest).orderBy(order)))

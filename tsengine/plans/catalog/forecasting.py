@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -117,6 +119,16 @@ def forecast_direct(spark, folder):
     return metrics.bundle(made, ["step"]).select("step", *[r(m, 4).alias(m) for m in FIVE])
 
 
+@query("forecast_recursive_ridge")
+def forecast_recursive_ridge(spark, folder):
+    """One-step ridge on 24 normalised lags, rolled out over the horizon; metrics per step."""
+    users = user_hourly(spark, folder)
+    one_step = replace(SPEC, horizon=1)
+    model = ridge.fit(split_chunks(users, KEY, ["v"], "train", one_step), 24, 1, penalty=1.0).rolled_out(12)
+    made = model.transform(split_chunks(users, KEY, ["v"], "test", SPEC), KEY, first="first")
+    return metrics.bundle(made, ["step"]).select("step", *[r(m, 4).alias(m) for m in FIVE])
+
+
 @query(
     "score_windows",
     f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('test', 24, 12)}, {sql.cells('test', 24, 12, 16, 8, 'sc', 'c8')},
