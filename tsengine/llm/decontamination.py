@@ -182,3 +182,11 @@ def contamination(docs: DataFrame, items: DataFrame, spec: Windows = Windows())
         (n_hit > 0).alias("contaminated"),
         items_of.alias("items"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, spec: Windows = Windows()) -> DataFrame:
+    """Rows of documents without a window of the benchmark, all columns."""
+    found = contamination(docs, items, spec).where("contaminated").select(*KEY).distinct()
+    bad = settle(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")), "contaminated")
+    hashed = docs.withColumn("_bad_id", F.col("doc_id")).withColumn("_bad_hash", F.xxhash64("text"))
+    return join_checked(hashed, bad, ["_bad_id", "_bad_hash"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -155,3 +155,45 @@ def taken(docs: DataFrame, plan: Plan = Plan(), seed: int = 17) -> DataFrame:
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
     return whole.select(*columns).unionByName(none.select(*columns))
+
+
+def mixed_documents(docs: DataFrame, plan: Plan = Plan(), seed: int = 17) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``.
+
+    A document comes as often as its most used block; a copy holds the words of the
+    blocks used that often, a line feed where others are left out. ``n_chars`` is
+    counted anew.
+    """
+    columns = docs.columns
+    keys = ["_mix_id", "_mix_hash"]
+    marked = docs.withColumn(keys[0], F.col("doc_id")).withColumn(keys[1], F.xxhash64("text", "source"))
+    narrow = marked.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col(keys[1]))
+    sizes = settle(narrow, "mix-sizes")
+    sources = settle(targets(sizes, plan), "mix-sources")
+    placed = settle(place(sizes, sources, plan), "mix-places")
+    times = draw(sources, plan, seed).groupBy("source_no", "index").agg(F.count("*").cast("int").alias("times"))
+    pieces = blocks(placed, plan).join(times, ["source_no", "index"])
+    piece = F.struct(F.col("first").cast("int").alias("first"), F.col("words").cast("int").alias("words"), "times")
+    taken_of = pieces.groupBy("source_no", "start").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    whole = placed.where("size > 0").join(taken_of, ["source_no", "start"])
+    # Identical rows share a key; each takes one of their places.
+    uses = whole.groupBy(F.col("doc_id").alias("_u_id"), F.col(keys[1]).alias("_u_hash")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "size", "pieces"))).alias("_uses")
+    )
+    same = Window.partitionBy(*keys).orderBy(F.lit(1))
+    numbered = marked.withColumn("_no", F.row_number().over(same))
+    met = numbered.join(uses, F.col(keys[0]).eqNullSafe(F.col("_u_id")) & (F.col(keys[1]) == F.col("_u_hash")))
+    use = met.where(F.col("_no") <= F.size("_uses")).withColumn("_use", F.element_at("_uses", F.col("_no")))
+    most = F.array_max(F.expr("transform(_use.pieces, p -> p.times)"))
+    copies = use.withColumn("_copy", F.explode(F.sequence(F.lit(1), most)))
+    chosen = copies.withColumn("_chosen", F.expr("filter(_use.pieces, p -> p.times >= _copy)"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    tokens = chosen.withColumn("_words", words).withColumn("_n", F.expr("aggregate(_chosen, 0, (a, p) -> a + p.words)"))
+    part = (
+        "ltrim(array_join(transform(_chosen, (p, i) -> concat(if(i > 0 AND _chosen[i - 1].first + _chosen[i - 1].words <> p.first,"
+        " '\\n', ''), array_join(slice(_words, p.first + 1, p.words), ''))), ''))"
+    )
+    text = F.when(F.col("_n") == F.col("_use.size"), F.col("text")).otherwise(F.expr(part))
+    mixed = tokens.withColumn("_mixed", text)
+    replaced = {"text": F.col("_mixed"), "n_chars": F.length("_mixed").cast("long")}
+    return mixed.select(*[replaced[c].alias(c) if c in replaced else F.col(f"`{c}`") for c in columns])
