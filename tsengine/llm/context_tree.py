@@ -13,7 +13,10 @@ estimates of all depths with these weights.
 The counts are those of all training documents. A context is a node of its own if
 it holds one part in ``2^share`` of the training bytes, so a depth has at most
 ``2^share`` nodes whatever the corpus; the others of a parent are one child. That is
-the bound of what is broadcast.
+the bound of what is broadcast. A first pass adds up contexts of each deep level in
+``2^(share + 2)`` hashed slots. A slot holds at least what each of its contexts does,
+so the second pass, which counts exactly, can leave out contexts whose slot is too
+small without losing a node.
 
 The baseline needs a count for each word of each text. The ``hot`` most frequent
 words (a fixed number) are looked up where the text is read; the rest, which are rare
@@ -28,8 +31,9 @@ beyond ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +50,10 @@ SIGNS = b",.-|#$%&*!'\"()/:;?"
 
 @dataclass(frozen=True)
 class Spec:
-    """``slab``: bytes coded at once; ``hot``: words looked up without a join."""
+    """``plain``: depth up to which all contexts are counted; ``slab``: bytes coded at once; ``hot``: words looked up without a join."""
 
-    depth: int = 6
+    depth: int = 8
+    plain: int = 4
     share: int = 18
     hot: int = 200_000
     slab: int = 4 << 20
@@ -95,17 +100,77 @@ def gram_codes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code, (before << 8) | data
 
 
-def slabs(texts: list[list[bytes]], size: int) -> Iterator[np.ndarray]:
-    run, held = [], 0
+def slabs(texts: Iterable[list[bytes]], size: int) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
+    """Byte strings of runs of texts, and the runs."""
+    run, parts, held = [], [], 0
     for words in texts:
-        part = byte_string(words)
-        run.append(part)
-        held += len(part)
+        run.append(words)
+        parts.append(byte_string(words))
+        held += len(parts[-1])
         if held >= size:
-            yield np.frombuffer(b"".join(run), np.uint8)
-            run, held = [], 0
+            yield np.frombuffer(b"".join(parts), np.uint8), run
+            run, parts, held = [], [], 0
     if run:
-        yield np.frombuffer(b"".join(run), np.uint8)
+        yield np.frombuffer(b"".join(parts), np.uint8), run
+
+
+def slots(code: np.ndarray, depth: int, share: int) -> np.ndarray:
+    """Slot of the context of ``depth`` classes in each gram code."""
+    context = ((code >> BITS) & ((1 << (BITS * depth)) - 1)).astype(np.uint64)
+    return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62 - share)).astype(np.int64)
+
+
+CHUNKS = 64
+
+
+def context_slots(texts: DataFrame, spec: Spec) -> tuple[dict[int, np.ndarray], int]:
+    """By depth the slots that may hold a node, and the number of bytes."""
+    size = 1 << (spec.share + 2)
+    part = size // CHUNKS
+    depths = range(spec.plain + 1, spec.depth + 1)
+
+    def rows_of(tables: dict[int, np.ndarray], total: int) -> pd.DataFrame:
+        made = []
+        for depth, table in tables.items():
+            for chunk in range(CHUNKS):
+                piece = table[chunk * part : (chunk + 1) * part]
+                if piece.any():
+                    made.append((depth, chunk, zlib.compress(piece.astype("<i8").tobytes(), 1)))
+        made.append((0, 0, zlib.compress(np.array([total], "<i8").tobytes(), 1)))
+        return pd.DataFrame(made, columns=["depth", "chunk", "counts"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, total = {d: np.zeros(size, np.int64) for d in depths}, 0
+        for batch in batches:
+            for data, _ in slabs(map(text_words, batch["text"]), spec.slab):
+                code, _ = gram_codes(data, spec.depth)
+                total += len(data)
+                for depth in depths:
+                    tables[depth] += np.bincount(slots(code, depth, spec.share), minlength=size)
+        yield rows_of(tables, total)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for depth, chunk, counts in zip(batch["depth"], batch["chunk"], batch["counts"]):
+                found = np.frombuffer(zlib.decompress(counts), "<i8")
+                key = (int(depth), int(chunk))
+                sums[key] = sums[key] + found if key in sums else found
+        made = [(d, c, zlib.compress(v.tobytes(), 1)) for (d, c), v in sums.items()]
+        yield pd.DataFrame(made, columns=["depth", "chunk", "counts"])
+
+    schema = "depth int, chunk int, counts binary"
+    parts = texts.select("text").mapInPandas(count, schema).repartition("depth", "chunk")
+    # Sums of fixed size: 2^(share + 2) numbers a depth.
+    found = parts.mapInPandas(add, schema).collect()
+    total = sum(int(np.frombuffer(zlib.decompress(r["counts"]), "<i8")[0]) for r in found if r["depth"] == 0)
+    least = max(2.0, total / 2**spec.share)
+    marks = {d: np.zeros(size, bool) for d in depths}
+    for row in found:
+        if row["depth"]:
+            counts = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
+            marks[row["depth"]][row["chunk"] * part : (row["chunk"] + 1) * part] = counts >= least
+    return marks, total
 
 
 class _Tally:
@@ -132,45 +197,57 @@ class _Tally:
             self.parts, self.loose = [], 0
         return self.codes, self.counts
 
-    def frames(self, kind: int, size: int = 100_000) -> Iterator[pd.DataFrame]:
-        codes, counts = self.merge()
-        for at in range(0, len(codes), size):
-            yield pd.DataFrame({"kind": kind, "code": codes[at : at + size], "n": counts[at : at + size]})
 
-
-def gram_counts(texts: DataFrame, spec: Spec) -> DataFrame:
-    """All grams of ``depth`` + 1 classes (kind 0), and all bytes by the class before (kind 1), with their counts."""
+def gram_counts(texts: DataFrame, marks: dict[int, np.ndarray], spec: Spec) -> DataFrame:
+    """Counts of grams, each at the deepest context that may be a node (``kind``: its depth), and of bytes by the class before (-1)."""
+    shared = texts.sparkSession.sparkContext.broadcast({d: np.packbits(m) for d, m in marks.items()})
+    shift, gram_bits = 56, 56
+    assert BITS * (spec.depth + 1) <= gram_bits and spec.depth < 64
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        allowed = {d: np.unpackbits(m).astype(bool) for d, m in shared.value.items()}
         grams, inner = _Tally(), np.zeros(SYMBOLS << 8, np.int64)
+
+        def frames(tally: _Tally, size: int = 100_000) -> Iterator[pd.DataFrame]:
+            codes, counts = tally.merge()
+            for at in range(0, len(codes), size):
+                keys = codes[at : at + size]
+                yield pd.DataFrame({"kind": keys >> shift, "code": keys & ((1 << shift) - 1), "n": counts[at : at + size]})
+
         for batch in batches:
-            for data in slabs([text_words(t) for t in batch["text"]], spec.slab):
+            for data, _ in slabs(map(text_words, batch["text"]), spec.slab):
                 code, within = gram_codes(data, spec.depth)
-                grams.add(code)
+                depth = np.full(len(code), spec.plain, np.int64)
+                for d in range(spec.plain + 1, spec.depth + 1):
+                    depth[(depth == d - 1) & allowed[d][slots(code, d, spec.share)]] = d
+                masks = (np.int64(1) << (BITS * (np.arange(spec.depth + 1) + 1))) - 1
+                grams.add((code & masks[depth]) | (depth << shift))
                 inner += np.bincount(within, minlength=len(inner))
-            if len(grams.merge()[0]) > 4_000_000:
-                yield from grams.frames(0)
+            if len(grams.codes) > 4_000_000:
+                yield from frames(grams)
                 grams = _Tally()
-        yield from grams.frames(0)
+        yield from frames(grams)
         seen = np.flatnonzero(inner)
-        yield pd.DataFrame({"kind": 1, "code": seen, "n": inner[seen]})
+        yield pd.DataFrame({"kind": -1, "code": seen, "n": inner[seen]})
 
     counted = texts.select("text").mapInPandas(count, "kind int, code long, n long")
     return counted.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def context_levels(grams: DataFrame, spec: Spec) -> tuple[list[pd.DataFrame], pd.DataFrame]:
+def context_levels(texts: DataFrame, spec: Spec) -> tuple[list[pd.DataFrame], pd.DataFrame]:
     """By depth the counts (``context``, ``symbol``, ``n``) of the contexts that are nodes, and the bytes within classes."""
-    grams = settle(grams, "grams")
-    inner = grams.where("kind = 1").select("code", "n").toPandas()  # at most 64 x 256 rows
-    level = grams.where("kind = 0").select("code", "n")
-    total = level.agg(F.sum("n")).first()[0] or 0
+    marks, total = context_slots(texts, spec)
     least = max(2.0, total / 2**spec.share)
+    grams = settle(gram_counts(texts, marks, spec), "grams")
+    inner = grams.where("kind = -1").select("code", "n").toPandas()  # at most 64 x 256 rows
     levels: list[pd.DataFrame] = []
+    level = None
     for depth in range(spec.depth, -1, -1):
-        if depth < spec.depth:
+        here = grams.where(F.col("kind") == depth).select("code", "n")
+        if level is not None:
             shorter = F.col("code").bitwiseAND(F.lit((1 << (BITS * (depth + 1))) - 1))
-            level = settle(level.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")), f"grams-{depth}")
+            here = here.unionByName(level.select(shorter.alias("code"), "n")).groupBy("code").agg(F.sum("n").alias("n"))
+        level = settle(here, f"grams-{depth}")
         context = F.shiftright("code", BITS).alias("context")
         symbol = F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol")
         nodes = level.select(context, F.struct(symbol, "n").alias("s"), "n").groupBy("context")
@@ -324,23 +401,22 @@ def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int,
         model, known = shared.value
         logs = {word: math.log10(c + 0.5) for word, c in known.items()}
         for batch in batches:
-            worded = [text_words(t) for t in batch["text"]]
-            sizes = np.array([len(byte_string(w)) for w in worded], np.int64)
-            marks = np.concatenate([model.score(data) for data in slabs(worded, spec.slab)]) if worded else np.empty(0)
-            scores = np.add.reduceat(marks, np.cumsum(sizes) - sizes) if worded else marks
-            rows = []
-            for words in worded:
-                found = list(map(logs.get, words))
-                rare = Counter(w for w, v in zip(words, found) if v is None)
-                known_here = len(words) - sum(rare.values())
-                total = math.fsum(v for v in found if v is not None) + math.log10(ends + 0.5)
-                listed = [w.decode("utf-8", "replace") for w in rare]
-                rows.append((len(words) + 1, known_here + (ends > 0), total, listed, list(rare.values())))
+            rows, scores = [], []
+            for data, texted in slabs(map(text_words, batch["text"]), spec.slab):
+                sizes = np.array([len(byte_string(w)) for w in texted], np.int64)
+                scores.append(np.add.reduceat(model.score(data), np.cumsum(sizes) - sizes))
+                for words in texted:
+                    found = list(map(logs.get, words))
+                    rare = Counter(w for w, v in zip(words, found) if v is None)
+                    known_here = len(words) - sum(rare.values())
+                    total = math.fsum(v for v in found if v is not None) + math.log10(ends + 0.5)
+                    listed = [w.decode("utf-8", "replace") for w in rare]
+                    rows.append((len(words) + 1, known_here + (ends > 0), total, listed, list(rare.values())))
             frame = pd.DataFrame(rows, columns=["n_tokens", "hot_known", "hot_logs", "rare", "rare_n"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None) if len(batch) else [])
-            frame.insert(1, "held_out", batch["held_out"].to_numpy(bool) if len(batch) else [])
-            frame.insert(5, "score", scores)
-            yield frame.astype({"doc_id": "Int64"})
+            frame["doc_id"] = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
+            frame["held_out"] = batch["held_out"].to_numpy(bool)
+            frame["score"] = np.concatenate(scores) if scores else np.empty(0)
+            yield frame.astype({"doc_id": "Int64"})[[c.split()[0] for c in ROWS.split(", ")]]
 
     return texts.select("doc_id", "held_out", "text").mapInPandas(run, ROWS)
 
@@ -358,7 +434,7 @@ def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held
     top = counts.orderBy(F.desc("c"), "word").limit(spec.hot).toPandas()
     hot = {w.encode("utf-8", "surrogatepass"): c for w, c in zip(top["word"], top["c"])}
 
-    tree = build_tree(*context_levels(gram_counts(training, spec), spec), spec.depth)
+    tree = build_tree(*context_levels(training, spec), spec.depth)
     rows = score_texts(texts, tree, hot, ends, spec).withColumn("row", F.monotonically_increasing_id())
     rows = settle(rows, "scores")
 
