@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tsengine.llm import context_tree, decontamination, host_rules, line_crf, mixing, near_duplicates, packing, toxicity, warc, wrappers
 from tsengine.llm.common import fold
+from tsengine.llm.oracles import ORACLES
 from tsengine.session import scratch_path
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -80,4 +83,3 @@ QUERIES = {
     "op9_revisits": op9_revisits,
     "op10_mix": op10_mix,
 }
-ORACLES: dict[str, str] = {}
