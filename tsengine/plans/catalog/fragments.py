@@ -62,6 +62,16 @@ def steps(split: str, context: int, horizon: int, source: str = "sc", name: str
       WHERE a.rn-{context}+1 >= {low} AND a.rn+{horizon} < {high})"""
 
 
+def single_steps(split: str, context: int, horizon: int, chosen: list[int], source: str = "sc", name: str = "w") -> str:
+    """``steps`` for a few steps: a join on equal positions."""
+    low, high = bounds(split, context, "a.")
+    return f"""
+a AS (SELECT *, unnest({chosen}) AS step FROM {source}),
+{name} AS (SELECT a.series_id, a.channel, a.rn-{context}+1-{low} AS window_id, a.step::INT AS step, a.v AS pred, b.v AS truth
+      FROM a JOIN {source} b ON a.series_id=b.series_id AND a.channel=b.channel AND b.rn = a.rn+a.step
+      WHERE a.rn-{context}+1 >= {low} AND a.rn+{horizon} < {high})"""
+
+
 def cells(split: str, context: int, horizon: int, skip: int, length: int, source: str = "sc", name: str = "c") -> str:
     """One row per window and position of the slice [skip, skip+length) of the window."""
     low, high = bounds(split, context, "a.")

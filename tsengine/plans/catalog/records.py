@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tsengine.functions import text
 from tsengine.operators import metrics, runs, training_log
 from tsengine.operators.anomaly import point_adjust as adjust
+from tsengine.plans.catalog import fragments as sql
 from tsengine.plans.catalog.registry import query, r
 from tsengine.plans.catalog.scores import FIVE, _ALL, _W, naive
 from tsengine.plans.tables import KEY, anomaly_labels, loss_log, table
@@ -135,8 +136,8 @@ def pending_runs(spark, folder):
 
 @query(
     "save_forecasts",
-    f"{_W} SELECT 'user' || series_id AS run_id, window_id, step, round(pred,6)+0.0 AS pred, round(truth,6)+0.0 AS truth "
-    "FROM w WHERE step IN (1, 12)",
+    f"WITH {sql.USERS}, {sql.SCALED}, {sql.single_steps('test', 24, 12, [1, 12])} SELECT 'user' || series_id AS run_id, "
+    "window_id, step, round(pred,6)+0.0 AS pred, round(truth,6)+0.0 AS truth FROM w",
 )
 def save_forecasts(spark, folder):
     """Written per run group, read back; the run id is the user, in 16 folders by hash."""

@@ -149,7 +149,7 @@ def assign_batches(spark, folder):
 
 @query(
     "shuffle_windows",
-    f"WITH {sql.USERS}, {sql.steps('train', 24, 12, 'plong')} SELECT series_id, window_id FROM w WHERE step=1",
+    f"WITH {sql.USERS}, {sql.single_steps('train', 24, 12, [1], 'plong')} SELECT series_id, window_id FROM w",
 )
 def shuffle_windows(spark, folder):
     """The order is pseudo-random; the check sees that each window comes exactly once."""
