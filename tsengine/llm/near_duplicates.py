@@ -7,7 +7,7 @@
 3. In each bucket a centre is compared with the other members: first by signature,
    then on the full shingle sets. Links are merged by alternating large-star and
    small-star. Buckets whose members are all connected are done; the others go on,
-   with twice as many centres each time, and only against members of other
+   with eight times as many centres each time, and only against members of other
    components, until every member has been a centre. So no bucket is capped, and a
    group of copies is never expanded into its pairs.
 
@@ -114,14 +114,22 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return settle(members.join(weights, "node"), "bucket-weights")
 
 
+GROWTH = 8
+
+
+def slices(number: int) -> int:
+    """Places of the hash order that are done after a round."""
+    return GROWTH**number - 1
+
+
 def centres(members: DataFrame, number: int) -> DataFrame:
-    """Centres of a round: first the heaviest member, then the members' slices of a hash order, doubling."""
+    """Centres of a round: first the heaviest member, then slices of a hash order of the members."""
     if number == 0:
         best = F.max(F.struct("weight", (-F.col("node")).alias("node"), "n_shingles", "comp")).alias("c")
         rows = members.groupBy("key").agg(best).select("key", (-F.col("c.node")).alias("node"), "c.n_shingles", "c.comp")
     else:
         place = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
-        low, high = 2 ** (number - 1) - 1, 2**number - 1
+        low, high = slices(number - 1), slices(number)
         rows = members.where((place >= low) & (place < high)).select("key", "node", "n_shingles", "comp")
     return rows.select(
         "key", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("comp").alias("comp_centre")
@@ -230,11 +238,12 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
             tried = pairs if tried is None else tried.unionByName(pairs)
             passed = settle(screen(pairs, nodes, spec), "screened")
             links = settle(confirm(passed, texts, spec), "links")
-            if labels is not None:
-                # Links between components, and what the components were made of.
-                links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-            found = connected(links)
-            labels = found.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            if not links.isEmpty():
+                if labels is not None:
+                    # Links between components, and what the components were made of.
+                    links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+                found = connected(links)
+                labels = found.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         members = members.drop("comp")
         if labels is not None:
             members = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -243,7 +252,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
         # Buckets go on while they hold two components and members that were no centre yet.
         open_ = members.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
         open_ = open_.where("_low <> _high").select("key")
-        left = members.where(F.col("m") > max(2, 2**number - 1)).join(open_, "key", "left_semi")
+        left = members.where(F.col("m") > max(2, slices(number))).join(open_, "key", "left_semi")
         members = settle(left, "open-buckets")
         if members.isEmpty():
             break

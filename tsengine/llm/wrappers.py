@@ -93,7 +93,7 @@ class Block:
 
 def parse(page: str | None) -> Block:
     """Tree of the block elements; inline elements leave their text, line breaks a blank."""
-    root = Block("", "")
+    root = Block("page", "page")
     stack, anchors = [root], 0
     for token in _TOKEN.finditer(page or ""):
         text = token["text"]
@@ -177,7 +177,7 @@ def _constant(a: int, b: int) -> int:
 def combine(a: Node, b: Node, siblings: bool = False) -> Node:
     """Alignment of two wrappers of the same element; siblings lie on the same pages."""
     pages = max(a.pages, b.pages) if siblings else a.pages + b.pages
-    made = Node(a.label, pages, a.many or b.many or siblings, a.chars + b.chars, a.links + b.links, 0, [])
+    made = Node(a.label, pages, a.many or b.many, a.chars + b.chars, a.links + b.links, 0, [])
     made.constant = _constant(a.constant, b.constant)
     made.children = align(a.children, b.children, siblings)
     return made
@@ -203,6 +203,7 @@ def fold_repeats(nodes: list[Node]) -> list[Node]:
             for unit_nodes in units[1:]:
                 merged = [combine(x, y, siblings=True) for x, y in zip(merged, unit_nodes)]
             if size == 1:
+                merged[0].many = True
                 out.append(merged[0])
             else:
                 out.append(Node("", max(n.pages for n in merged), True, 0, 0, 0, merged))
@@ -304,7 +305,7 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
         holds = [p for p in worth if worth[p] >= 0.7 * total]
         best = [max(holds, key=lambda p: (p.count(">"), p))] if holds else [min(worth, key=len)]
         # A container, not the one paragraph that is long.
-        while re.split(r"[.#@>]", best[0].rsplit(">", 1)[1], maxsplit=1)[0] in ("p", "li", "h1", "h2", "pre", "blockquote"):
+        while best[0].count(">") > 1 and re.split(r"[.#@]", best[0].rsplit(">", 1)[1], maxsplit=1)[0] in ("p", "li", "h1", "h2", "pre", "blockquote"):
             best = [best[0].rsplit(">", 1)[0]]
     below = {p: ns for p, ns in nodes.items() if any(p.startswith(b + ">") for b in best)}
     varied = any(n.constant == -1 for ns in below.values() for n in ns)
@@ -347,7 +348,9 @@ def extract(root: Block, rules: dict[str, list[str]]) -> str | None:
             walk(part, here, take)
             pieces.append(" ")
 
-    walk(root, "", False)
+    top = f">{root.label}"
+    met = top in containers
+    walk(root, top, met)
     return " ".join("".join(pieces).split()) if met else None
 
 
