@@ -84,19 +84,3 @@ def components(docs, k=4):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return [(d, len(s), find(d)) for d, s in sets]
-
-
-def packed_documents(rows, dtype):
-    """Tokens by piece: {(doc_id, piece): ids} of packed sequences."""
-    import numpy as np
-
-    out = {}
-    for row in rows:
-        ids = np.frombuffer(bytes(row["input_ids"]), dtype)
-        places = np.frombuffer(bytes(row["position_ids"]), "<u4")
-        ends = row["cu_seqlens"]
-        for a, b, doc, piece in zip(ends, ends[1:], row["doc_ids"], row["pieces"]):
-            assert list(places[a:b]) == list(range(b - a))
-            assert (doc, piece) not in out
-            out[doc, piece] = ids[a:b]
-    return out

@@ -31,6 +31,7 @@ beyond ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import math
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,10 +39,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tsengine.llm.common import fold, lower_ascii, settle, split_words
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BITS = 6
 SYMBOLS = 1 << BITS
 # Signs with a class of their own.
@@ -157,7 +162,8 @@ def context_slots(texts: DataFrame, spec: Spec) -> tuple[dict[int, np.ndarray],
                 key = (int(depth), int(chunk))
                 sums[key] = sums[key] + found if key in sums else found
         made = [(d, c, zlib.compress(v.tobytes(), 1)) for (d, c), v in sums.items()]
-        yield pd.DataFrame(made, columns=["depth", "chunk", "counts"])
+        if made:
+            yield pd.DataFrame(made, columns=["depth", "chunk", "counts"])
 
     schema = "depth int, chunk int, counts binary"
     parts = texts.select("text").mapInPandas(count, schema).repartition("depth", "chunk")
@@ -395,12 +401,15 @@ ROWS = (
 def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int, spec: Spec) -> DataFrame:
     """A row per text: code length, baseline of the frequent words, and the rare words that remain to be counted."""
     session = texts.sparkSession
-    shared = session.sparkContext.broadcast((tree, hot))
+    shared = session.sparkContext.broadcast((tree.child, tree.logs, tree.within, tree.depth, hot))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.value
+        *parts, known = shared.value
+        model = Tree(*parts)
         logs = {word: math.log10(c + 0.5) for word, c in known.items()}
         for batch in batches:
+            if not len(batch):
+                continue
             rows, scores = [], []
             for data, texted in slabs(map(text_words, batch["text"]), spec.slab):
                 sizes = np.array([len(byte_string(w)) for w in texted], np.int64)
@@ -415,7 +424,7 @@ def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int,
             frame = pd.DataFrame(rows, columns=["n_tokens", "hot_known", "hot_logs", "rare", "rare_n"])
             frame["doc_id"] = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             frame["held_out"] = batch["held_out"].to_numpy(bool)
-            frame["score"] = np.concatenate(scores) if scores else np.empty(0)
+            frame["score"] = np.concatenate(scores)
             yield frame.astype({"doc_id": "Int64"})[[c.split()[0] for c in ROWS.split(", ")]]
 
     return texts.select("doc_id", "held_out", "text").mapInPandas(run, ROWS)

@@ -24,16 +24,21 @@ beyond ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tsengine.llm.common import BROADCAST_ROWS, join_checked, settle
 from tsengine.llm.shingles import WordHashes, mix, shingle_set
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODES = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
 
@@ -72,6 +77,8 @@ def signatures(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         a, b = spec.hashes()
         known, numbers = WordHashes(), np.arange(spec.bands, dtype=np.uint64)
         for batch in batches:
+            if not len(batch):
+                continue
             rows = []
             for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 values = shingle_set(text, spec.shingle, known)

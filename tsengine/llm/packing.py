@@ -21,6 +21,7 @@ repeated rows are packed one by one; an empty table gives no rows; columns beyon
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +29,12 @@ import numpy as np
 import pandas as pd
 import regex
 import tiktoken
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the pattern that splits texts for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Between these two characters a text can be cut without changing its ids.
@@ -193,7 +197,8 @@ def segments(packed: DataFrame, spec: Spec = Spec()) -> DataFrame:
                 data = bytes(data)
                 for a, b, doc, piece in zip(ends, ends[1:], docs, pieces):
                     out.append((None if pd.isna(doc) else int(doc), int(piece), data[a * width : b * width]))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "ids"]).astype({"doc_id": "Int64"})
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "ids"]).astype({"doc_id": "Int64"})
 
     columns = packed.select("input_ids", "cu_seqlens", "doc_ids", "pieces")
     return columns.mapInPandas(cut, "doc_id long, piece int, ids binary")

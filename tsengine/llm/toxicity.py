@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,10 +30,14 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tsengine.llm.common import fold
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Letters that look like Latin ones, by the Latin letter.
 LOOK_ALIKES = {
     "a": "аαａ", "b": "ьｂ", "c": "сϲｃ", "d": "ԁｄ", "e": "еεｅ", "f": "ｆ", "g": "ɡｇ", "h": "һｈ", "i": "іιıｉ", "j": "јϳｊ",
@@ -143,7 +148,8 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
             for text, y in zip(batch["text"], batch["y"]):
                 sums[int(y > 0)].update(keys_of(text))
             keys = list(sums[0].keys() | sums[1].keys())
-            yield pd.DataFrame({"key": keys, "bad": [sums[1][k] for k in keys], "good": [sums[0][k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"key": keys, "bad": [sums[1][k] for k in keys], "good": [sums[0][k] for k in keys]})
 
     counted = rows.mapInPandas(count, "key string, bad long, good long")
     return counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))

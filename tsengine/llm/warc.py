@@ -14,13 +14,18 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsengine.llm.common import join_checked, settle
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 END = "\r\n"
 HTTP = END.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "", ""])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,6 +134,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
         for batch in batches:
             for data in batch["content"]:
                 frame = pd.DataFrame(_read_file(bytes(data), with_payload), columns=names, dtype=object)
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                if len(frame):
+                    yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     return files.mapInPandas(read, SCHEMA)

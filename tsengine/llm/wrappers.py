@@ -24,14 +24,19 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tsengine.llm.common import join_checked, settle
 
+# Task code travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements that make a block, hold nothing, or are no part of an article by their kind.
 BLOCKS = frozenset(
     "html head body main article section div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6"
@@ -314,7 +319,8 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
         label = path.rsplit(">", 1)[1]
         links, chars = sum(_links(n) for n in found), sum(_chars(n) for n in found)
         listed = re.split(r"[.#@]", label, maxsplit=1)[0] in ("ul", "ol", "div", "section") and chars and links > 0.7 * chars
-        fixed = varied and all(n.constant > 0 and n.pages >= 5 and not n.children for n in found)
+        title = label.startswith("h1")
+        fixed = varied and not title and all(n.constant > 0 and n.pages >= 5 and not n.children for n in found)
         if outside(label, True) or listed or fixed:
             barred.append(path)
     return {"in": best, "out": barred}
@@ -375,7 +381,8 @@ def infer(pages: DataFrame, buckets: int = 64) -> DataFrame:
             for host, page in zip(batch["host"], batch["html"]):
                 tree = tree_of(parse(page))
                 found[host] = combine(found[host], tree) if host in found else tree
-        yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(n.dump()) for n in found.values()]})
+        if found:
+            yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(n.dump()) for n in found.values()]})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         ordered = sorted(group["wrapper"])
