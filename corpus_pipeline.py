@@ -2,6 +2,14 @@
 
 Each stage is written and read again, so a lost executor costs no more than the work
 of the stage it was lost in.
+
+Defined results, for every stage: extra columns go along (the last returns its own
+columns); a NULL or empty text is neither toxic nor contaminated nor a near duplicate,
+has no words for the mix to take, and is the end id alone when packed; a row with a
+NULL id is judged by its text, and as a near duplicate goes if a row with an id is in
+its group; rows with the same id and text are one document for near duplicates and
+single rows elsewhere; a NULL source is a source of its own; an empty table stays
+empty.
 """
 
 from __future__ import annotations
