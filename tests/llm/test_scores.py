@@ -157,11 +157,15 @@ def prose(n=120, seed=3):
 
 def test_slots_lose_no_node(spark):
     texts, spec = prose(), ct.Spec(depth=6, plain=2, share=9)
-    got, inner = ct.context_levels(docs(spark, texts), spec)
-    wanted, wanted_inner = levels_of(texts, 6, lambda total: max(2.0, total / 2**9))
-    for a, b in zip(got, wanted):
-        assert sorted(map(tuple, a.to_numpy().tolist())) == sorted(map(tuple, b.to_numpy().tolist()))
-    assert len(wanted[6]) > 50 and sorted(map(tuple, inner.to_numpy().tolist())) == sorted(map(tuple, wanted_inner.to_numpy().tolist()))
+    nodes = ct.context_nodes(docs(spark, texts), spec)
+    got = sorted(map(tuple, nodes.collect()))
+    wanted, inner = levels_of(texts, 6, lambda total: max(2.0, total / 2**9))
+    rows = [(d, *row) for d, level in enumerate(wanted) for row in level.to_numpy().tolist()]
+    assert got == sorted(rows + [(-1, code, 0, n) for code, n in inner.to_numpy().tolist()])
+    assert len(wanted[6]) > 50
+    tree, plain = ct.fit_tree(nodes, spec), ct.build_tree(wanted, inner, 6)
+    assert all(np.array_equal(a, b) for a, b in zip(tree.keys, plain.keys)) and np.array_equal(tree.within, plain.within)
+    assert all(np.allclose(a, b) for a, b in zip(tree.logs, plain.logs))
 
 
 def plain_tree(levels, depth):
@@ -223,8 +227,9 @@ def test_tree_is_the_weighted_mixture():
     data = np.frombuffer(ct.byte_string(ct.text_words("there an éon qq zz")), np.uint8)
     code, within = ct.gram_codes(data, 3)
     wanted = [math.log10(probability(int(c) >> 6, int(c) & 63)) + tree.within.ravel()[w] for c, w in zip(code, within)]
-    assert tree.score(data) == pytest.approx(wanted, abs=1e-4)
-    assert np.power(10.0, tree.logs).sum(axis=1) == pytest.approx(np.ones(len(tree.logs)), abs=1e-3)
+    logs = np.concatenate(tree.logs)
+    assert tree.score(data, tree.children(), logs) == pytest.approx(wanted, abs=1e-4)
+    assert np.power(10.0, logs).sum(axis=1) == pytest.approx(np.ones(len(logs)), abs=1e-3)
 
 
 def test_log_kt():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsengine.session import scratch_path
 
@@ -16,6 +16,18 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
+#: Rows of texts that a Python task holds at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks of this session take texts in small batches; a setting that is smaller already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from tsengine.llm.common import fold, lower_ascii, settle, split_words
+from tsengine.llm.common import fold, lower_ascii, settle, small_batches, split_words
 
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -240,27 +240,52 @@ def gram_counts(texts: DataFrame, marks: dict[int, np.ndarray], spec: Spec) -> D
     return counted.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def context_levels(texts: DataFrame, spec: Spec) -> tuple[list[pd.DataFrame], pd.DataFrame]:
-    """By depth the counts (``context``, ``symbol``, ``n``) of the contexts that are nodes, and the bytes within classes."""
+def context_nodes(texts: DataFrame, spec: Spec) -> DataFrame:
+    """Counts of the contexts that are nodes: ``kind`` (depth), ``context``, ``symbol``, ``n``; bytes within classes at -1."""
     marks, total = context_slots(texts, spec)
     least = max(2.0, total / 2**spec.share)
     grams = settle(gram_counts(texts, marks, spec), "grams")
-    inner = grams.where("kind = -1").select("code", "n").toPandas()  # at most 64 x 256 rows
-    levels: list[pd.DataFrame] = []
-    level = None
-    for depth in range(spec.depth, -1, -1):
-        here = grams.where(F.col("kind") == depth).select("code", "n")
-        if level is not None:
-            shorter = F.col("code").bitwiseAND(F.lit((1 << (BITS * (depth + 1))) - 1))
-            here = here.unionByName(level.select(shorter.alias("code"), "n")).groupBy("code").agg(F.sum("n").alias("n"))
-        level = settle(here, f"grams-{depth}")
-        context = F.shiftright("code", BITS).alias("context")
-        symbol = F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol")
-        nodes = level.select(context, F.struct(symbol, "n").alias("s"), "n").groupBy("context")
-        nodes = nodes.agg(F.sum("n").alias("all"), F.collect_list("s").alias("symbols")).where(F.col("all") >= least)
-        # At most 2^share contexts of 64 symbols, by the threshold.
-        levels.append(nodes.select("context", F.inline("symbols")).toPandas())
-    return levels[::-1], inner
+    every = grams.where("kind >= 0").select(F.explode(F.sequence(F.lit(0), F.col("kind"))).alias("kind"), "code", "n")
+    ending = F.expr(f"code & (shiftleft(1L, {BITS} * (kind + 1)) - 1L)")
+    counts = every.groupBy("kind", ending.alias("code")).agg(F.sum("n").alias("n"))
+    symbol = F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol")
+    contexts = counts.select("kind", F.shiftright("code", BITS).alias("context"), F.struct(symbol, "n").alias("s"), "n")
+    contexts = contexts.groupBy("kind", "context").agg(F.sum("n").alias("all"), F.collect_list("s").alias("symbols"))
+    nodes = contexts.where(F.col("all") >= least).select("kind", "context", F.inline("symbols"))
+    inner = grams.where("kind = -1").select("kind", F.col("code").alias("context"), F.lit(0).alias("symbol"), "n")
+    return nodes.unionByName(inner)
+
+
+def fit_tree(nodes: DataFrame, spec: Spec) -> Tree:
+    """Weights and predictions, in one task: a depth has at most ``2^share`` contexts, by the threshold."""
+    depth = spec.depth
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b.astype({"symbol": np.uint8, "kind": np.int8}) for b in batches if len(b)]
+        if not rows:
+            return
+        table = pd.concat(rows)
+        levels = [table[table.kind == d] for d in range(depth + 1)]
+        keys, logs = weigh(levels, depth)
+        for d in range(depth + 1):
+            for part, at in enumerate(range(0, len(keys[d]), 2048)):
+                kept = slice(at, at + 2048)
+                yield pd.DataFrame({"kind": [d], "part": [part], "keys": [keys[d][kept].tobytes()], "logs": [logs[d][kept].tobytes()]})
+        inner = table[table.kind == -1].rename(columns={"context": "code"})
+        yield pd.DataFrame({"kind": [-1], "part": [0], "keys": [b""], "logs": [within_logs(inner).tobytes()]})
+
+    fitted = settle(nodes.repartition(1).mapInPandas(fit, "kind int, part int, keys binary, logs binary"), "tree")
+    found = fitted.toPandas().sort_values(["kind", "part"])
+    if not len(found):
+        empty = pd.DataFrame({"context": [], "symbol": [], "n": [], "code": []})
+        return build_tree([empty] * (depth + 1), empty, depth)
+    within = np.frombuffer(found[found.kind == -1].logs.iloc[0], np.float32).reshape(SYMBOLS, 256)
+    keys, logs = [], []
+    for d in range(depth + 1):
+        own = found[found.kind == d]
+        keys.append(np.frombuffer(b"".join(own["keys"]), np.int64))
+        logs.append(np.frombuffer(b"".join(own["logs"]), np.float32).reshape(-1, SYMBOLS))
+    return Tree(keys, logs, within, depth)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -301,97 +326,134 @@ def symbol_logs(one: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """``child[node, older class]`` (0: none); ``logs[node, class]`` and ``within[class before, byte]``: log10 probabilities."""
+    """By depth the sorted contexts and their log10 probabilities of the classes; ``within[class before, byte]``."""
 
-    child: np.ndarray
-    logs: np.ndarray
+    keys: list[np.ndarray]
+    logs: list[np.ndarray]
     within: np.ndarray
     depth: int
 
-    def score(self, data: np.ndarray) -> np.ndarray:
-        """Log10 probability of each byte of texts that begin after an end."""
+    def children(self) -> np.ndarray:
+        """``[node, older class]``: the node one class longer, 0 where there is none; nodes are numbered by depth."""
+        first = np.cumsum([0, *map(len, self.keys)])
+        child = np.zeros((first[-1], SYMBOLS), np.int32)
+        for d in range(1, self.depth + 1):
+            older = self.keys[d] >> (BITS * (d - 1))
+            child[first[d - 1] + parents_of(self.keys, d), older] = first[d] + np.arange(len(older))
+        return child
+
+    def score(self, data: np.ndarray, child: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Log10 probability of each byte of texts that begin after an end. ``logs``: of all depths in one."""
         code, within = gram_codes(data, self.depth)
         node = np.zeros(len(data), np.int64)
         alive = np.ones(len(data), bool)
         for back in range(1, self.depth + 1):
             older = (code >> (BITS * back)) & (SYMBOLS - 1)
-            found = self.child.ravel()[node * SYMBOLS + older]
+            found = child.ravel()[node * SYMBOLS + older]
             alive &= found > 0
             node = np.where(alive, found, node)
-        return self.logs.ravel()[node * SYMBOLS + (code & (SYMBOLS - 1))] + self.within.ravel()[within].astype(float)
-
-
-def build_tree(levels: list[pd.DataFrame], inner: pd.DataFrame, depth: int, block: int = 16_384) -> Tree:
-    """Weights from the deepest contexts up, mixed predictions from the root down."""
-    keys, counts = [], []
-    for level in levels:
-        key, which = np.unique(level["context"].to_numpy(np.int64), return_inverse=True)
-        table = np.zeros((max(len(key), 1 if not keys else 0), SYMBOLS), np.float32)
-        table[which, level["symbol"].to_numpy(int)] = level["n"].to_numpy()
-        keys.append(key if len(key) or keys else np.zeros(1, np.int64))
-        counts.append(table)
-    sizes = [len(k) for k in keys]
-    first = np.cumsum([0, *sizes])
-    parents = [np.zeros(sizes[0], np.int64)]
-    parents += [np.searchsorted(keys[d - 1], keys[d] & ((1 << (BITS * (d - 1))) - 1)) for d in range(1, depth + 1)]
-
-    own, rests = [None] * (depth + 1), [None] * (depth + 1)
-    below = None  # log weighted probabilities of the level below
+        return logs.ravel()[node * SYMBOLS + (code & (SYMBOLS - 1))] + self.within.ravel()[within].astype(float)
+
+
+def parents_of(keys: list[np.ndarray], depth: int) -> np.ndarray:
+    """Place of each context's parent, the context without its oldest class."""
+    return np.searchsorted(keys[depth - 1], keys[depth] & ((1 << (BITS * (depth - 1))) - 1))
+
+
+def weigh(levels: list[pd.DataFrame], depth: int, block: int = 8_192) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Contexts by depth, and their mixed predictions: weights from the deepest up, mixtures from the root down."""
+    keys = [np.unique(level["context"].to_numpy(np.int64)) for level in levels]
+    if not len(keys[0]):
+        keys[0] = np.zeros(1, np.int64)
+
+    def counts_of(d: int) -> np.ndarray:
+        table = np.zeros((len(keys[d]), SYMBOLS), np.float32)
+        if len(levels[d]):
+            which = np.searchsorted(keys[d], levels[d]["context"].to_numpy(np.int64))
+            table[which, levels[d]["symbol"].to_numpy(int)] = levels[d]["n"].to_numpy()
+        return table
+
+    def rest_of(d: int, counts: np.ndarray) -> np.ndarray:
+        """What no child of its own holds."""
+        rest = counts.astype(np.float64)
+        if d < depth and len(keys[d + 1]):
+            np.add.at(rest, parents_of(keys, d + 1), -counts_of(d + 1).astype(np.float64))
+        return np.maximum(rest, 0)
+
+    own: list[np.ndarray] = [np.empty(0)] * (depth + 1)
+    below = np.empty((0, SYMBOLS - 1))  # log weighted probabilities of the level below
     for d in range(depth, -1, -1):
-        rest = counts[d].astype(np.float64)
-        children = np.zeros((sizes[d], SYMBOLS - 1))
-        if d < depth and sizes[d + 1]:
-            np.add.at(rest, parents[d + 1], -counts[d + 1].astype(np.float64))
-            np.add.at(children, parents[d + 1], below)
-        weighted = np.empty((sizes[d], SYMBOLS - 1))
-        share = np.ones((sizes[d], SYMBOLS - 1), np.float32)
-        for at in range(0, sizes[d], block):
+        counts = counts_of(d)
+        rest, children = rest_of(d, counts), np.zeros((len(counts), SYMBOLS - 1))
+        if len(below):
+            np.add.at(children, parents_of(keys, d + 1), below)
+        below = np.empty((len(counts), SYMBOLS - 1))
+        own[d] = np.ones((len(counts), SYMBOLS - 1), np.float32)
+        for at in range(0, len(counts), block):
             rows = slice(at, at + block)
-            alone = log_kt(*decisions(counts[d][rows].astype(np.float64)))
+            alone = log_kt(*decisions(counts[rows].astype(np.float64)))
             if d == depth:
-                weighted[rows] = alone
+                below[rows] = alone
                 continue
-            split = children[rows] + log_kt(*decisions(np.maximum(rest[rows], 0)))
-            weighted[rows] = np.logaddexp(alone, split) + math.log(0.5)
-            share[rows] = np.exp(math.log(0.5) + alone - weighted[rows])
-        own[d], rests[d], below = share, rest.astype(np.float32), weighted
-
-    logs = np.empty((first[-1], SYMBOLS), np.float32)
-    child = np.zeros((first[-1], SYMBOLS), np.int32)
-    done, reach = None, None  # what the levels above have settled, and the weight they leave
+            split = children[rows] + log_kt(*decisions(rest[rows]))
+            below[rows] = np.logaddexp(alone, split) + math.log(0.5)
+            own[d][rows] = np.exp(math.log(0.5) + alone - below[rows])
+
+    logs = []
+    # What the depths above have settled, and the weight they leave.
+    done, reach = np.zeros((1, SYMBOLS - 1), np.float32), np.ones((1, SYMBOLS - 1), np.float32)
     for d in range(depth + 1):
-        done_here = np.zeros((sizes[d], SYMBOLS - 1), np.float32)
-        reach_here = np.ones((sizes[d], SYMBOLS - 1), np.float32)
-        for at in range(0, sizes[d], block):
+        counts = counts_of(d)
+        rest = rest_of(d, counts)
+        up = parents_of(keys, d) if d else np.zeros(len(counts), np.int64)
+        logs.append(np.empty((len(counts), SYMBOLS), np.float32))
+        done_here, reach_here = np.empty((len(counts), SYMBOLS - 1), np.float32), np.empty((len(counts), SYMBOLS - 1), np.float32)
+        for at in range(0, len(counts), block):
             rows = slice(at, at + block)
-            zeros, ones = decisions(counts[d][rows].astype(np.float64))
+            zeros, ones = decisions(counts[rows].astype(np.float64))
             estimate = (ones + 0.5) / (zeros + ones + 1)
-            settled = done[parents[d][rows]] if d else np.zeros_like(estimate)
-            left = reach[parents[d][rows]] if d else np.ones_like(estimate)
-            zeros, ones = decisions(np.maximum(rests[d][rows], 0).astype(np.float64))
-            others = (ones + 0.5) / (zeros + ones + 1)
-            share = own[d][rows]
-            final = settled + left * (share * estimate + (1 - share) * (others if d < depth else estimate))
-            logs[first[d] + at : first[d] + at + len(final)] = symbol_logs(final)
+            zeros, ones = decisions(rest[rows])
+            others = (ones + 0.5) / (zeros + ones + 1) if d < depth else estimate
+            settled, left, share = done[up[rows]], reach[up[rows]], own[d][rows]
+            logs[d][rows] = symbol_logs(settled + left * (share * estimate + (1 - share) * others))
             done_here[rows], reach_here[rows] = settled + left * share * estimate, left * (1 - share)
         done, reach = done_here, reach_here
-        if d:
-            older = keys[d] >> (BITS * (d - 1))
-            child[first[d - 1] + parents[d], older] = first[d] + np.arange(sizes[d])
+    return keys, logs
 
+
+def within_logs(inner: pd.DataFrame) -> np.ndarray:
+    """Log10 probabilities of a byte, given its class and the class before."""
     seen = np.zeros((SYMBOLS, 256))
     seen.ravel()[inner["code"].to_numpy(int)] = inner["n"].to_numpy()
     seen += 0.5
     members = np.zeros((256, SYMBOLS))
     members[np.arange(256), CLASSES] = 1
-    within = np.log10(seen / (seen @ members)[:, CLASSES])
-    return Tree(child, logs, within.astype(np.float32), depth)
+    return np.log10(seen / (seen @ members)[:, CLASSES]).astype(np.float32)
+
+
+def build_tree(levels: list[pd.DataFrame], inner: pd.DataFrame, depth: int) -> Tree:
+    return Tree(*weigh(levels, depth), within_logs(inner), depth)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(split_words(lower_ascii(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words, at most ``most``: all above the count that as many reach."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # sixteen rows per power of two
+    kept, least = 0, None
+    for row in sorted(sizes, key=lambda r: -r["step"]):
+        if kept + row["n"] > most:
+            break
+        kept, least = kept + row["n"], row["step"]
+    if least is None:
+        return {}
+    top = counts.where(step >= least).toPandas()
+    return {w.encode("utf-8", "surrogatepass"): c for w, c in zip(top["word"], top["c"])}
+
+
 ROWS = (
     "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_logs double, score double,"
     " rare array<string>, rare_n array<int>"
@@ -401,11 +463,12 @@ ROWS = (
 def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int, spec: Spec) -> DataFrame:
     """A row per text: code length, baseline of the frequent words, and the rare words that remain to be counted."""
     session = texts.sparkSession
-    shared = session.sparkContext.broadcast((tree.child, tree.logs, tree.within, tree.depth, hot))
+    shared = session.sparkContext.broadcast((tree.keys, tree.logs, tree.within, tree.depth, hot))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         *parts, known = shared.value
         model = Tree(*parts)
+        child, whole = model.children(), np.concatenate(model.logs)
         logs = {word: math.log10(c + 0.5) for word, c in known.items()}
         for batch in batches:
             if not len(batch):
@@ -413,7 +476,7 @@ def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int,
             rows, scores = [], []
             for data, texted in slabs(map(text_words, batch["text"]), spec.slab):
                 sizes = np.array([len(byte_string(w)) for w in texted], np.int64)
-                scores.append(np.add.reduceat(model.score(data), np.cumsum(sizes) - sizes))
+                scores.append(np.add.reduceat(model.score(data, child, whole), np.cumsum(sizes) - sizes))
                 for words in texted:
                     found = list(map(logs.get, words))
                     rare = Counter(w for w, v in zip(words, found) if v is None)
@@ -432,6 +495,7 @@ def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int,
 
 def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held: int = 1) -> DataFrame:
     """``score`` (log10 probability by the tree), ``base_score`` (by word counts) and what they rest on, per document."""
+    small_batches(docs.sparkSession)
     remainder = fold(F.col("doc_id"), modulus)
     texts = docs.select("doc_id", "text", F.coalesce(remainder == held, F.lit(True)).alias("held_out"))
     training = texts.where("NOT held_out")
@@ -440,10 +504,9 @@ def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = totals["n"] + ends, totals["v"] + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(spec.hot).toPandas()
-    hot = {w.encode("utf-8", "surrogatepass"): c for w, c in zip(top["word"], top["c"])}
+    hot = frequent_words(counts, spec.hot)
 
-    tree = build_tree(*context_levels(training, spec), spec.depth)
+    tree = fit_tree(context_nodes(training, spec), spec)
     rows = score_texts(texts, tree, hot, ends, spec).withColumn("row", F.monotonically_increasing_id())
     rows = settle(rows, "scores")
 
