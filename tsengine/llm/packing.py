@@ -32,6 +32,8 @@ import tiktoken
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from tsengine.llm.common import small_batches
+
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -174,6 +176,7 @@ def pack(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         if group:
             yield from pack_group(group, number, spec)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
 
 

@@ -13,7 +13,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Odd multipliers of 64-bit mixing.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tsengine.llm.common import fold
+from tsengine.llm.common import fold, small_batches
 
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -123,6 +123,7 @@ class Matcher:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int) -> DataFrame:
     """Texts and labels of at most ``sample`` labelled documents outside the held-out remainder."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     known = known.agg(F.max(label).cast("int").alias("y")).where(fold(F.col("doc_id"), modulus) != held)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "y")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tsengine.llm.common import join_checked, settle
+from tsengine.llm.common import join_checked, settle, small_batches
 
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -399,6 +399,7 @@ def infer(pages: DataFrame, buckets: int = 64) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of each page."""
+    small_batches(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
     @F.pandas_udf("string")
