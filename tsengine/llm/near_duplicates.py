@@ -4,15 +4,19 @@
    set. Documents with equal sets are one class from here on; a class of any size
    costs one row.
 2. Classes that agree in all rows of a band share a bucket.
-3. In each bucket a centre is compared with the other members: first by signature,
-   then on the full shingle sets. Links are merged by alternating large-star and
-   small-star. Buckets whose members are all connected are done; the others go on,
-   with eight times as many centres each time, and only against members of other
-   components, until every member has been a centre. So no bucket is capped, and a
-   group of copies is never expanded into its pairs.
-
-A pair at the threshold misses all bands with probability (1 - 0.8^6)^48 = 5e-7; a
-link passes the signature test with an error of five standard deviations.
+3. In each bucket a centre, the member with the most company, is compared with the
+   others: first by signature, then on the full shingle sets. Links are merged by
+   alternating large-star and small-star. Buckets whose members are all connected
+   are done. Others, say of documents that share a passage and no more, are split by
+   further minima into finer buckets that overlap, and these begin at the centre
+   again. In small ones of those all members become centres, against members of other
+   components; large ones are split again. What is still large after ``levels`` splits
+   goes on in rounds, until every member has been a centre. So no bucket is capped,
+   and a group of copies is never expanded into its pairs.
+
+A pair at the threshold misses all bands with probability (1 - 0.8^6)^48 = 5e-7, and
+1e-5 where all its buckets are split twice; a link passes the signature test with an
+error of five standard deviations.
 
 Defined results: NULL and empty texts, and texts of white space only, are linked
 with nothing and keep their own id; rows with the same id and text are one
@@ -33,7 +37,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from tsengine.llm.common import BROADCAST_ROWS, join_checked, settle
+from tsengine.llm.common import BROADCAST_ROWS, join_checked, settle, small_batches
 from tsengine.llm.shingles import WordHashes, mix, shingle_set
 
 # Task code travels with the job, so executors need not have the package installed.
@@ -44,7 +48,7 @@ NODES = "doc_id long, text_hash long, n_shingles long, set_key binary, bands arr
 
 @dataclass(frozen=True)
 class Spec:
-    """``percent``: of the union that links share; ``screen``: estimate below which a pair isn't looked at again."""
+    """``percent``: of the union that links share; ``screen``: estimate below which a pair isn't looked at again; ``split``: parts of a large bucket."""
 
     shingle: int = 4
     percent: int = 80
@@ -52,6 +56,8 @@ class Spec:
     rows: int = 6
     screen: float = 0.68
     seed: int = 1
+    levels: int = 5
+    split: int = 8
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Multipliers (odd) and offsets of the universal hashes x -> a x + b mod 2^32."""
@@ -108,24 +114,44 @@ def classes_of(signed: DataFrame) -> DataFrame:
     )
 
 
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Rows of buckets of two nodes or more, with the size ``m`` of the bucket."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+
+
 def bucket_members(nodes: DataFrame) -> DataFrame:
     """A row per node and bucket of two nodes or more: ``key``, ``node``, ``n_shingles``, ``m``, ``weight``.
 
     ``weight`` adds up the sizes of a node's buckets: the original of many edited
     copies has the largest in each of its buckets.
     """
-    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = settle(rows.join(shared, "key"), "bucket-members")
+    members = settle(shared_buckets(nodes.select("node", "n_shingles", F.explode("bands").alias("key"))), "bucket-members")
     weights = members.groupBy("node").agg(F.sum("m").alias("weight"))
     return settle(members.join(weights, "node"), "bucket-weights")
 
 
+# Steps through the signature, by level; they share no factor with its usual lengths.
+STRIDES = (37, 41, 43, 47, 53, 59, 61)
+
+
+def split_buckets(members: DataFrame, nodes: DataFrame, level: int, spec: Spec) -> DataFrame:
+    """Each bucket as ``split`` finer ones, by six further minima each (their eight bits in the signature)."""
+    size, stride = spec.bands * spec.rows, STRIDES[level % len(STRIDES)]
+    signed = members.drop("m", "comp").join(nodes.select("node", "signature"), "node")
+
+    def part(number: int):
+        places = [F.pmod(F.col("key") + stride * (spec.rows * number + k) + 1, F.lit(size)).cast("int") for k in range(spec.rows)]
+        return F.xxhash64("key", F.lit(number), *[F.substring(F.col("signature"), p + 1, F.lit(1)) for p in places])
+
+    keys = F.explode(F.array(*[part(number) for number in range(spec.split)])).alias("key")
+    return shared_buckets(signed.select("node", "n_shingles", "weight", keys))
+
+
 GROWTH = 8
 
 
 def slices(number: int) -> int:
-    """Places of the hash order that are done after a round."""
+    """Places of the hash order of a bucket's members that are done after a round."""
     return GROWTH**number - 1
 
 
@@ -234,36 +260,51 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
     members = bucket_members(nodes)
     wanted = settle(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash"), "wanted")
     texts = settle(texts_of(docs, wanted), "texts")
-    members = members.withColumn("comp", F.col("node"))
-    labels, tried, number = None, None, 0
-    while True:
-        pairs = candidates(members, number, spec.percent)
+    labels, tried = None, None
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    # Buckets to compare, and the round they are in.
+    turns = [(labelled(members), 0)]
+    level = 0
+    while turns:
+        pairs = turns[0][0].limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+        for rows, number in turns:
+            pairs = pairs.unionByName(candidates(rows, number, spec.percent))
+        pairs = pairs.distinct() if len(turns) > 1 else pairs
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.unionByName(pairs)
-            passed = settle(screen(pairs, nodes, spec), "screened")
-            links = settle(confirm(passed, texts, spec), "links")
+            links = settle(confirm(settle(screen(pairs, nodes, spec), "screened"), texts, spec), "links")
             if not links.isEmpty():
                 if labels is not None:
                     # Links between components, and what the components were made of.
                     links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-                found = connected(links)
-                labels = found.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        members = members.drop("comp")
-        if labels is not None:
-            members = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            members = members.withColumn("comp", F.col("node"))
-        # Buckets go on while they hold two components and members that were no centre yet.
-        open_ = members.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-        open_ = open_.where("_low <> _high").select("key")
-        left = members.where(F.col("m") > max(2, slices(number))).join(open_, "key", "left_semi")
-        members = settle(left, "open-buckets")
-        if members.isEmpty():
-            break
-        number += 1
+                labels = connected(links).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        left = []
+        for rows, number in turns:
+            # Buckets go on while they hold two components and members that were no centre yet.
+            rows = labelled(rows.drop("comp")).where(F.col("m") > max(2, slices(number)))
+            low, high = F.min("comp").alias("_low"), F.max("comp").alias("_high")
+            apart = rows.groupBy("key").agg(low, high).where("_low <> _high").select("key")
+            rows = settle(rows.join(apart, "key", "left_semi"), "open-buckets")
+            if rows.isEmpty():
+                continue
+            if number or level >= spec.levels:
+                left.append((rows, number + 1))
+                continue
+            # A first split leaves little but pairs near the threshold; of those, small buckets are finished at once.
+            small = slices(1) if level else 2
+            left.append((rows.where(F.col("m") <= small), 1))
+            parts = settle(split_buckets(rows.where(F.col("m") > small), nodes, level, spec), "split-buckets")
+            if not parts.isEmpty():
+                left.append((labelled(parts), 0))
+        turns, level = left, level + 1
     if labels is None:
         return nodes.select("node", F.col("node").alias("comp")).limit(0)
     return labels
@@ -274,6 +315,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
     ``first`` marks rows of the document that stands for its component.
     """
+    small_batches(docs.sparkSession)
     signed = settle(signatures(docs, spec), "signatures")
     nodes = settle(classes_of(signed), "classes")
     labels = link_components(docs, nodes, spec)
