@@ -127,6 +127,24 @@ def test_wrappers_by_host(spark):
     assert wrappers.main_texts(frame(spark, [], PAGES)).count() == 0
 
 
+def test_copies_of_a_page_keep_what_other_pages_lack(spark):
+    draw = random.Random(4)
+    prose = lambda n: " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(99)}" for _ in range(n))
+    own = "<h2>Summary</h2><p class=intro>Only here</p><blockquote class=q>Said once</blockquote><pre class=c>x = 1</pre>"
+    copied = page("T", f"{own}<p>{prose(20)}</p>")
+    rows = [(i, "http://copies.example/a", copied) for i in range(12)]
+    texts = [prose(20) for _ in range(20)]
+    rows += [(100 + i, "http://copies.example/b", page("T", f"<h3>Ingredients</h3><p>{t}</p><p class=mail>Mail this page</p>")) for i, t in enumerate(texts)]
+    links = "<div class=more><a href=/a>One long link</a> <a href=/b>and another</a></div>"
+    notes = "<div class=more>The note of this page</div>"
+    rows += [(200 + i, "http://lists.example/a", page("T", f"<p>{t}</p>{links if i else notes}")) for i, t in enumerate(texts)]
+    made = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame(spark, rows, PAGES)).collect()}
+    for i in range(12):
+        assert made[i].startswith("T Summary Only here Said once x = 1 ")
+    assert all(made[100 + i] == f"T Ingredients {t}" for i, t in enumerate(texts))
+    assert made[200] == f"T {texts[0]} The note of this page" and all(made[200 + i] == f"T {t}" for i, t in enumerate(texts) if i)
+
+
 def revisits(pages, least=1000):
     last = {}
     for page_id, _, html in pages:

@@ -11,7 +11,9 @@ host is one task's work and no page is left out.
 
 What the wrapper knows of a slot (place, names, text that varies over pages, share of
 links) decides which part is the article. These decisions are a short list of paths,
-joined back to the pages by host.
+joined back to the pages by host. A text that recurs is the template's only next to
+articles that differ, copies of a page count once; lists of links are left out page
+by page.
 
 Defined results: NULL and empty html give an empty text; pages without a host form a
 host of their own; a page that holds none of its host's article paths is decided on
@@ -21,6 +23,7 @@ result; columns beyond ``page_id``, ``url`` and ``html`` are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -59,6 +62,12 @@ OUTSIDE_NAMES = frozenset(
 )
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 INSIDE_NAMES = frozenset("article content story entry post body main text".split())
+# Elements that hold an article's own words even where they recur, those that do so without a name, and lists.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre".split())
+BODY_TEXT = frozenset("p li dt dd td th caption figcaption".split())
+LISTS = frozenset("ul ol div section".split())
+#: Digests of article texts that a node remembers. The root's are a sample of the host's different pages.
+SEEN = 16
 
 _TAG_REST = r"""(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
 _TOKEN = re.compile(
@@ -146,25 +155,26 @@ class Node:
 
     ``pages``: that hold it; ``many``: repeated somewhere; ``chars`` and ``links``: its
     own text on all pages; ``constant``: checksum of its text while all agree, else -1
-    (a slot), 0 without text. A group has an empty label.
+    (a slot), 0 without text; ``seen``: the smallest digests of the article texts it
+    stands next to, copies of a page count once. A group has an empty label.
     """
 
-    __slots__ = ("label", "pages", "many", "chars", "links", "constant", "children")
+    __slots__ = ("label", "pages", "many", "chars", "links", "constant", "children", "seen")
 
-    def __init__(self, label, pages, many, chars, links, constant, children):
+    def __init__(self, label, pages, many, chars, links, constant, children, seen=()):
         self.label, self.pages, self.many, self.chars = label, pages, many, chars
-        self.links, self.constant, self.children = links, constant, children
+        self.links, self.constant, self.children, self.seen = links, constant, children, seen
 
     def key(self) -> str:
         return self.label or "(" + " ".join(c.key() for c in self.children) + ")"
 
     def dump(self) -> list:
         kids = [c.dump() for c in self.children]
-        return [self.label, self.pages, int(self.many), self.chars, self.links, self.constant, kids]
+        return [self.label, self.pages, int(self.many), self.chars, self.links, self.constant, kids, self.seen]
 
     @classmethod
     def load(cls, made: list) -> Node:
-        return cls(*made[:2], bool(made[2]), *made[3:6], [cls.load(c) for c in made[6]])
+        return cls(*made[:2], bool(made[2]), *made[3:6], [cls.load(c) for c in made[6]], tuple(made[7]))
 
     def render(self) -> str:
         """The expression as text: ``?`` optional, ``+`` repeated, ``#`` a slot."""
@@ -184,6 +194,7 @@ def combine(a: Node, b: Node, siblings: bool = False) -> Node:
     pages = max(a.pages, b.pages) if siblings else a.pages + b.pages
     made = Node(a.label, pages, a.many or b.many, a.chars + b.chars, a.links + b.links, 0, [])
     made.constant = _constant(a.constant, b.constant)
+    made.seen = a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:SEEN])
     made.children = align(a.children, b.children, siblings)
     return made
 
@@ -211,7 +222,7 @@ def fold_repeats(nodes: list[Node]) -> list[Node]:
                 merged[0].many = True
                 out.append(merged[0])
             else:
-                out.append(Node("", max(n.pages for n in merged), True, 0, 0, 0, merged))
+                out.append(Node("", max(n.pages for n in merged), True, 0, 0, 0, merged, merged[0].seen))
             at += run * size
         nodes = out
     return nodes
@@ -241,12 +252,19 @@ def align(xs: list[Node], ys: list[Node], siblings: bool = False) -> list[Node]:
     return fold_repeats(out + xs[i:] + ys[j:])
 
 
-def tree_of(block: Block) -> Node:
-    """Wrapper of a single page."""
+def tree_of(block: Block, seen: tuple[int, ...] = ()) -> Node:
+    """Wrapper of a single page. ``seen``: the digest of its article text."""
     text = " ".join("".join(p if isinstance(p, str) else " " for p in block.parts).split())
-    children = fold_repeats([tree_of(p) for p in block.parts if not isinstance(p, str)])
+    children = fold_repeats([tree_of(p, seen) for p in block.parts if not isinstance(p, str)])
     mark = (zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1) if text else 0
-    return Node(block.label, 1, False, len(text), min(block.links, len(text)), mark, children)
+    return Node(block.label, 1, False, len(text), min(block.links, len(text)), mark, children, seen)
+
+
+def page_tree(page: str | None) -> Node:
+    """Wrapper of a single page, marked with the digest of the article text that the page alone gives."""
+    root = parse(page)
+    text = extract(root, decide(tree_of(root))) or ""
+    return tree_of(root, (int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest()),))
 
 
 def _names(label: str) -> set[str]:
@@ -317,26 +335,45 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
     barred = []
     for path, found in sorted(below.items()):
         label = path.rsplit(">", 1)[1]
-        links, chars = sum(_links(n) for n in found), sum(_chars(n) for n in found)
-        listed = re.split(r"[.#@]", label, maxsplit=1)[0] in ("ul", "ol", "div", "section") and chars and links > 0.7 * chars
-        title = label.startswith("h1")
-        fixed = varied and not title and all(n.constant > 0 and n.pages >= 5 and not n.children for n in found)
-        if outside(label, True) or listed or fixed:
+        if outside(label, True) or varied and _fixed(label, found, wrapper):
             barred.append(path)
     return {"in": best, "out": barred}
 
 
-def _chars(node: Node) -> int:
-    return node.chars + sum(map(_chars, node.children))
+def _fixed(label: str, found: list[Node], wrapper: Node) -> bool:
+    """Is a part the template's: one short text next to five different articles or more, on half of a host's different pages?"""
+    tag = re.split(r"[.#@]", label, maxsplit=1)[0]
+    if tag in HEADINGS or (tag in BODY_TEXT and tag == label):
+        return False
+    if not all(n.constant > 0 and not n.children for n in found):
+        return False
+    seen = {d for n in found for d in n.seen}
+    return len(seen) >= 5 and 2 * len(seen.intersection(wrapper.seen)) >= len(wrapper.seen)
 
 
-def _links(node: Node) -> int:
-    return node.links + sum(map(_links, node.children))
+def link_lists(root: Block) -> set[int]:
+    """Blocks (by ``id``) of a page that are nearly only links."""
+    found: set[int] = set()
+
+    def visit(block: Block) -> tuple[int, int]:
+        chars = len(" ".join("".join(p if isinstance(p, str) else " " for p in block.parts).split()))
+        links = min(block.links, chars)
+        for part in block.parts:
+            if not isinstance(part, str):
+                below = visit(part)
+                chars, links = chars + below[0], links + below[1]
+        if block.tag in LISTS and links > 0.7 * chars:
+            found.add(id(block))
+        return chars, links
+
+    visit(root)
+    return found
 
 
 def extract(root: Block, rules: dict[str, list[str]]) -> str | None:
     """Text below the containers without the barred parts; None if the page has no container."""
     containers, barred, pieces, met = set(rules["in"]), set(rules["out"]), [], False
+    listed = link_lists(root)
 
     def walk(block: Block, path: str, on: bool) -> None:
         nonlocal met
@@ -348,7 +385,7 @@ def extract(root: Block, rules: dict[str, list[str]]) -> str | None:
             here = f"{path}>{part.label}"
             take = on or here in containers
             met = met or take
-            if here in barred:
+            if here in barred or (on and id(part) in listed):
                 take = False
             pieces.append(" ")
             walk(part, here, take)
@@ -379,7 +416,7 @@ def infer(pages: DataFrame, buckets: int = 64) -> DataFrame:
         found: dict[str, Node] = {}
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"]):
-                tree = tree_of(parse(page))
+                tree = page_tree(page)
                 found[host] = combine(found[host], tree) if host in found else tree
         if found:
             yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(n.dump()) for n in found.values()]})
