@@ -145,6 +145,30 @@ def test_copies_of_a_page_keep_what_other_pages_lack(spark):
     assert made[200] == f"T {texts[0]} The note of this page" and all(made[200 + i] == f"T {t}" for i, t in enumerate(texts) if i)
 
 
+@pytest.mark.parametrize(
+    "around", ["<div class='has-sidebar'>", "<div class='content-no-comments'>", "<div class='header-fixed banner-off'>", "<form id='aspnetForm'>", "<div class=search-result-page><div class=ad-free>"]
+)
+@pytest.mark.parametrize("inner", ["<article>", "<main>", "<div class=story>", "<div class=x>"])
+def test_layout_around_an_article_does_not_bar_it(around, inner):
+    top = "<nav><a href=/>Home</a> menu</nav><div class=cookie-notice>We use cookies</div>"
+    comments = "<div class=comments><p>me too, and so on</p></div>"
+    body = f"<h1>Title</h1><p>{'some words of the text ' * 30}</p>"
+    plain = f"<html><body>{top}{around}{inner}{body}{comments}</div></body></html>"
+    assert wrappers.main_text(plain, None) == f"Title {'some words of the text ' * 30}".strip()
+    if inner not in ("<article>", "<main>"):
+        return
+    body = f"<h1>Title</h1><div class=no-sidebar><p>{'some words of the text ' * 30}</p></div>"
+    html = f"<html><body>{top}{around}{inner}{body}{comments}</div></body></html>"
+    wanted = f"Title {'some words of the text ' * 30}".strip()
+    assert wrappers.main_text(html, None) == wanted
+    # Comments that outgrow a free article are none of it.
+    long = f"<section id=comments><article class=comment><div class=text><p>{'me too ' * 400}</p></div></article></section>"
+    assert wrappers.main_text(f"<html><body>{top}<article>{body}</article>{long}</body></html>", None) == wanted
+    # A bar at a short article beside longer parts.
+    side = f"<div class=x>{'beside it ' * 100}</div>"
+    assert wanted in wrappers.main_text(f"<html><body>{around}<article>{body}</article>{'</div>' * 2}</form>{side}</body></html>", None)
+
+
 def revisits(pages, least=1000):
     last = {}
     for page_id, _, html in pages:

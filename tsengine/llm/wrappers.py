@@ -13,7 +13,8 @@ What the wrapper knows of a slot (place, names, text that varies over pages, sha
 links) decides which part is the article. These decisions are a short list of paths,
 joined back to the pages by host. A text that recurs is the template's only next to
 articles that differ, copies of a page count once; lists of links are left out page
-by page.
+by page. Names such as ``sidebar``, and forms, bar what they stand on unless that is
+the layout around the article.
 
 Defined results: NULL and empty html give an empty text; pages without a host form a
 host of their own; a page that holds none of its host's article paths is decided on
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
 import sys
 import zlib
@@ -271,15 +273,14 @@ def _names(label: str) -> set[str]:
     return {w.lower() for w in _NAME.findall(re.split(r"[.#@]", label, maxsplit=1)[1])} if re.search(r"[.#@]", label) else set()
 
 
-def outside(label: str, in_article: bool) -> bool:
-    """Is an element no part of an article by its kind or its names?"""
+def bar_of(label: str, in_article: bool) -> int:
+    """2 if an element is no part of an article by its kind, 1 if by its names or as a form, else 0."""
     tag = re.split(r"[.#@]", label, maxsplit=1)[0]
-    if tag in OUTSIDE and not (tag == "header" and in_article):
-        return True
-    names = _names(label)
+    if tag in OUTSIDE and tag != "form" and not (tag == "header" and in_article):
+        return 2
     if "@" in label and label.rsplit("@", 1)[1] in OUTSIDE_ROLES:
-        return True
-    return bool(names & OUTSIDE_NAMES) and not (tag in ("html", "body", "main"))
+        return 2
+    return int(tag == "form" or (bool(_names(label) & OUTSIDE_NAMES) and tag not in ("html", "body", "main")))
 
 
 def inside(label: str) -> int:
@@ -297,22 +298,41 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
     worth: dict[str, float] = {}
     marks: dict[str, int] = {}
     nodes: dict[str, list[Node]] = {}
+    texts: dict[int, float] = {}
+
+    def text_below(node: Node) -> float:
+        texts[id(node)] = max(0.0, node.chars - 2.0 * node.links) + sum(map(text_below, node.children))
+        return texts[id(node)]
+
+    def articles(node: Node) -> float:
+        """Text of the article and main elements under no bar."""
+        if node.label and bar_of(node.label, False):
+            return 0.0
+        return texts[id(node)] if inside(node.label) >= 2 else sum(map(articles, node.children))
+
+    whole = text_below(wrapper)
+    # Names and forms bar for good where an article lies free of them.
+    named_only = articles(wrapper) < 0.1 * whole
 
-    def visit(node: Node, path: str, barred: bool, article: bool) -> float:
+    def visit(node: Node, path: str, barred: int, article: bool, around: float) -> float:
         here = path
         if node.label:
             here = f"{path}>{node.label}"
-            barred = barred or outside(node.label, article)
-            article = article or inside(node.label) >= 2
+            own = bar_of(node.label, article)
+            if own == 1 and _wraps(node, texts[id(node)], around):
+                own = 0
+            sure = inside(node.label) >= 2
+            barred = 0 if sure and not own and barred == 1 and named_only else max(barred, own)
+            article, around = article or sure, texts[id(node)] if sure and not barred else around
             nodes.setdefault(here, []).append(node)
         value = 0.0 if barred else max(0.0, node.chars - 2.0 * node.links)
-        value += sum(visit(c, here, barred, article) for c in node.children)
+        value += sum(visit(c, here, barred, article, around) for c in node.children)
         if node.label and not barred:
             worth[here] = worth.get(here, 0.0) + value
             marks[here] = inside(node.label)
         return value
 
-    total = visit(wrapper, "", False, False)
+    total = visit(wrapper, "", 0, False, whole if named_only else math.inf)
     if not total:
         return {"in": [], "out": []}
     best: list[str] = []
@@ -335,11 +355,25 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
     barred = []
     for path, found in sorted(below.items()):
         label = path.rsplit(">", 1)[1]
-        if outside(label, True) or varied and _fixed(label, found, wrapper):
+        own, held = bar_of(label, True), max(sum(texts[id(n)] for n in nodes[b]) for b in best if path.startswith(b + ">"))
+        if own == 1 and any(_wraps(n, texts[id(n)], held) for n in found):
+            own = 0
+        if own or varied and _fixed(label, found, wrapper):
             barred.append(path)
     return {"in": best, "out": barred}
 
 
+def _wraps(node: Node, text: float, whole: float) -> bool:
+    """Does an element hold what it would bar: nearly all text, or most of it and what only an article has?"""
+
+    def holds(below: Node) -> bool:
+        if below is not node and below.label and bar_of(below.label, True):
+            return False
+        return bool(below.label) and (below.label.startswith("h1") or inside(below.label) > 0) or any(map(holds, below.children))
+
+    return text > 0 and (text >= 0.9 * whole or (text >= 0.5 * whole and holds(node)))
+
+
 def _fixed(label: str, found: list[Node], wrapper: Node) -> bool:
     """Is a part the template's: one short text next to five different articles or more, on half of a host's different pages?"""
     tag = re.split(r"[.#@]", label, maxsplit=1)[0]
