@@ -3,20 +3,14 @@
 A text is the byte string of its words (ASCII letters in lower case, separated by one
 blank, a line feed as the end); word sequences and these strings are one to one.
 
-A byte is six binary decisions for its class and one more step for the byte within
-the class. Every decision has a tree of contexts: the classes of up to ``depth``
-bytes before. A node predicts by the Krichevsky-Trofimov estimate of its counts; the
-weighted probability of a node is the mean of its own and of its children's product,
-which gives each node's weight against everything below it. A prediction mixes the
-estimates of all depths with these weights.
-
-The counts are those of all training documents. A context is a node of its own if
-it holds one part in ``2^share`` of the training bytes, so a depth has at most
-``2^share`` nodes whatever the corpus; the others of a parent are one child. That is
-the bound of what is broadcast. A first pass adds up contexts of each deep level in
-``2^(share + 2)`` hashed slots. A slot holds at least what each of its contexts does,
-so the second pass, which counts exactly, can leave out contexts whose slot is too
-small without losing a node.
+``language_scores`` takes the probabilities of ``byte_tree``: contexts are the bytes
+themselves, all eight bits of a byte are decided in the mixed tree, and a context is a
+node if it was met twice, whatever the size of the corpus. No part of it is broadcast.
+
+``Tree`` is the smaller model of before, for a text's byte classes: a byte is six
+binary decisions for its class and one more step for the byte within the class, and a
+context is a node if it holds one part in ``2^share`` of the training bytes. The
+queries don't use it.
 
 The baseline needs a count for each word of each text. The ``hot`` most frequent
 words (a fixed number) are looked up where the text is read; the rest, which are rare
@@ -42,6 +36,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from tsengine.llm import byte_tree
 from tsengine.llm.common import fold, lower_ascii, settle, small_batches, split_words
 
 # Task code travels with the job, so executors need not have the package installed.
@@ -455,42 +450,34 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 
 ROWS = (
-    "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_logs double, score double,"
+    "doc_id string, held_out boolean, n_tokens long, hot_known long, hot_logs double, score double,"
     " rare array<string>, rare_n array<int>"
 )
 
 
-def score_texts(texts: DataFrame, tree: Tree, hot: dict[bytes, int], ends: int, spec: Spec) -> DataFrame:
+def score_texts(texts: DataFrame, hot: dict[bytes, int], ends: int, spec: Spec) -> DataFrame:
     """A row per text: code length, baseline of the frequent words, and the rare words that remain to be counted."""
-    session = texts.sparkSession
-    shared = session.sparkContext.broadcast((tree.keys, tree.logs, tree.within, tree.depth, hot))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *parts, known = shared.value
-        model = Tree(*parts)
-        child, whole = model.children(), np.concatenate(model.logs)
-        logs = {word: math.log10(c + 0.5) for word, c in known.items()}
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows, scores = [], []
-            for data, texted in slabs(map(text_words, batch["text"]), spec.slab):
-                sizes = np.array([len(byte_string(w)) for w in texted], np.int64)
-                scores.append(np.add.reduceat(model.score(data, child, whole), np.cumsum(sizes) - sizes))
-                for words in texted:
-                    found = list(map(logs.get, words))
-                    rare = Counter(w for w, v in zip(words, found) if v is None)
-                    known_here = len(words) - sum(rare.values())
-                    total = math.fsum(v for v in found if v is not None) + math.log10(ends + 0.5)
-                    listed = [w.decode("utf-8", "replace") for w in rare]
-                    rows.append((len(words) + 1, known_here + (ends > 0), total, listed, list(rare.values())))
-            frame = pd.DataFrame(rows, columns=["n_tokens", "hot_known", "hot_logs", "rare", "rare_n"])
-            frame["doc_id"] = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-            frame["held_out"] = batch["held_out"].to_numpy(bool)
-            frame["score"] = np.concatenate(scores)
-            yield frame.astype({"doc_id": "Int64"})[[c.split()[0] for c in ROWS.split(", ")]]
-
-    return texts.select("doc_id", "held_out", "text").mapInPandas(run, ROWS)
+    shared = texts.sparkSession.sparkContext.broadcast({word: math.log10(c + 0.5) for word, c in hot.items()})
+
+    def rows_of(group: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        logs, rows = shared.value, []
+        for text in group["text"]:
+            words = text_words(text)
+            found = list(map(logs.get, words))
+            rare = Counter(w for w, v in zip(words, found) if v is None)
+            known_here = len(words) - sum(rare.values())
+            total = math.fsum(v for v in found if v is not None) + math.log10(ends + 0.5)
+            listed = [w.decode("utf-8", "replace") for w in rare]
+            rows.append((len(words) + 1, known_here + (ends > 0), total, listed, list(rare.values())))
+        frame = pd.DataFrame(rows, columns=["n_tokens", "hot_known", "hot_logs", "rare", "rare_n"])
+        frame["doc_id"], frame["held_out"] = group["doc_id"].to_numpy(object), group["held_out"].to_numpy(bool)
+        frame["score"] = scores
+        return frame[[c.split()[0] for c in ROWS.split(", ")]]
+
+    # The ids as strings: pandas has no whole numbers besides NULL.
+    narrow = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")
+    blocks = settle(byte_tree.byte_blocks(narrow), "byte-blocks")
+    return byte_tree.text_logs(blocks, lambda text: byte_string(text_words(text)), rows_of, ROWS, spec.depth)
 
 
 def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held: int = 1) -> DataFrame:
@@ -506,8 +493,7 @@ def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held
     n, v = totals["n"] + ends, totals["v"] + (1 if ends else 0)
     hot = frequent_words(counts, spec.hot)
 
-    tree = fit_tree(context_nodes(training, spec), spec)
-    rows = score_texts(texts, tree, hot, ends, spec).withColumn("row", F.monotonically_increasing_id())
+    rows = score_texts(texts, hot, ends, spec).withColumn("row", F.monotonically_increasing_id())
     rows = settle(rows, "scores")
 
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
@@ -522,7 +508,7 @@ def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held
     joined = rows.drop("rare", "rare_n").join(sums, "row", "left")
     logs = F.col("hot_logs") + F.coalesce("rare_logs", F.lit(0.0))
     return joined.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
