@@ -331,4 +331,4 @@ def text_logs(texts: DataFrame, string_of, rows_of, schema: str, depth: int, siz
         sizes = np.array([len(s) for s in strings])
         return rows_of(group, np.add.reduceat(logs[place], np.cumsum(sizes) - sizes))
 
-    return texts.groupBy("block").cogroup(settle(answers, "answers").groupBy("block")).applyInPandas(score, schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
