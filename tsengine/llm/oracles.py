@@ -200,10 +200,64 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM place
 """
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit (the reversed polynomial is a fixed value)."""
+    bits = "list_reduce(list_prepend(xor(crc, byte), range(8)::UBIGINT[]), lambda t, i: xor(t >> 1, 3988292384 * (t & 1)))"
+    chars = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {chars}), lambda crc, byte: {bits}), 4294967295)"
+
+
+def merkle(arity: int = 3) -> str:
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+    def levels(name: str, start: str) -> str:
+        return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT tree, level + 1, idx // {arity}, (any_value(n) + {arity - 1}) // {arity}, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, idx // {arity}
+), {name}_sides AS (
+  SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lefts,
+         coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rights
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.idx // {arity} = b.idx // {arity}
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.idx
+)"""
+
+    def climb(name: str, sides: str, start: str) -> str:
+        return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT c.rid, c.tree, c.level + 1, c.idx // {arity}, (c.n + {arity - 1}) // {arity}, sha256(s.lefts || c.digest || s.rights), c.proof || s.lefts || s.rights
+  FROM {name} c JOIN {sides} s ON c.tree = s.tree AND c.level = s.level AND c.idx = s.idx
+)"""
+
+    return f"""
+WITH RECURSIVE made AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS leaf,
+         CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS tampered
+  FROM documents
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM made
+), {levels("below", "SELECT tree, 0 AS level, idx, n, leaf AS digest FROM ordered")}, sources AS (
+  SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM below WHERE n = 1
+), {levels("above", "SELECT 'all' AS tree, 0 AS level, place AS idx, n, subroot AS digest FROM sources")},
+{climb("inner_", "below_sides", "SELECT rid, tree, 0 AS level, idx, n, tampered AS digest, '' AS proof FROM ordered")},
+{climb("outer_", "above_sides", "SELECT i.rid, 'all' AS tree, 0 AS level, s.place AS idx, s.n, i.digest, i.proof FROM inner_ i JOIN sources s ON i.tree = s.source WHERE i.n = 1")}
+SELECT o.doc_id, o.leaf, s.subroot, r.digest AS root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root, e.digest = r.digest AS verified
+FROM ordered o JOIN sources s ON o.tree = s.source JOIN outer_ e ON e.rid = o.rid AND e.n = 1
+CROSS JOIN (SELECT digest FROM above WHERE n = 1) r
+"""
+
+
 ORACLES = {
     "op1_decontaminate": decontaminate(),
     "op3_host_rules": host_rules(),
     "op4_near_duplicates": near_duplicates(),
     "op9_revisits": REVISITS,
     "op10_mix": mix(),
+    "op13_merkle": merkle(),
 }

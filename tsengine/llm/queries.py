@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tsengine.llm import context_tree, decontamination, host_rules, line_crf, mixing, near_duplicates, packing, toxicity, warc, wrappers
+from tsengine.llm import context_tree, decontamination, host_rules, line_crf, merkle, mixing, near_duplicates, packing, toxicity, warc, wrappers
 from tsengine.llm.common import fold
 from tsengine.llm.oracles import ORACLES
 from tsengine.session import scratch_path
@@ -71,6 +71,10 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(_table(spark, folder, "documents"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -82,4 +86,5 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_revisits": op9_revisits,
     "op10_mix": op10_mix,
+    "op13_merkle": op13_merkle,
 }
