@@ -7,6 +7,7 @@ from tsengine.llm.decontamination import Windows
 from tsengine.llm.host_rules import RULES, Limits
 from tsengine.llm.mixing import PRIMES, WEIGHTS, Plan
 from tsengine.llm.near_duplicates import Spec
+from tsengine.llm.url_filter import HOST_WORDS, RULES as URL_RULES, URL
 
 WORD = r"[^\x20\x09-\x0D]+"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -253,11 +254,32 @@ CROSS JOIN (SELECT digest FROM above WHERE n = 1) r
 """
 
 
+def url_filter() -> str:
+    rules = ", ".join(f"('{key}', '{verdict}')" for key, verdict in URL_RULES)
+    words = ", ".join(f"'{w}'" for w in HOST_WORDS)
+    return f"""
+WITH rules AS (
+  SELECT key, verdict, split_part(key, '/', 1) AS rule_host, substr(key, strpos(key, '/')) AS rule_path FROM (VALUES {rules}) t(key, verdict)
+), urls AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, '{URL}', 1), ''), '{UPPER}', '{LOWER}') AS host,
+         coalesce(regexp_extract(url, '{URL}', 2), '') AS path
+  FROM pages
+), best AS (
+  SELECT rid, arg_max(key, length(key)) AS rule, arg_max(verdict, length(key)) AS verdict
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN len(list_intersect(string_split(replace(host, '-', '.'), '.'), [{words}])) > 0
+       THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN best USING (rid)
+"""
+
+
 ORACLES = {
     "op1_decontaminate": decontaminate(),
     "op3_host_rules": host_rules(),
     "op4_near_duplicates": near_duplicates(),
     "op9_revisits": REVISITS,
     "op10_mix": mix(),
+    "op12_url_filter": url_filter(),
     "op13_merkle": merkle(),
 }
