@@ -16,7 +16,7 @@ from tsengine.llm.queries import ORACLES, QUERIES
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLES) <= set(entry.oracle_sql())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ORACLES)

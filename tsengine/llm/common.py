@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsengine.session import scratch_path
@@ -28,6 +30,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+@contextmanager
+def small_tasks(spark: SparkSession):
+    """Python tasks take texts in small batches while this is open; the session's setting is put back.
+
+    For jobs that run inside it: a plan that is only built here doesn't keep the setting.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

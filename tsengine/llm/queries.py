@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tsengine.llm import context_tree, decontamination, host_rules, line_crf, merkle, mixing, near_duplicates, packing, toxicity, url_filter, warc, wrappers
+from tsengine.llm import context_tree, decontamination, host_rules, line_crf, merkle, mixing, near_duplicates, packing, token_alignment, toxicity, url_filter, warc, wrappers
 from tsengine.llm.common import fold
 from tsengine.llm.oracles import ORACLES
 from tsengine.session import scratch_path
@@ -71,6 +71,10 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(_table(spark, folder, "documents"))
 
 
+def op11_align(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.counted(_table(spark, folder, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.verdicts(_table(spark, folder, "pages"), url_filter.default_list(spark))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_revisits": op9_revisits,
     "op10_mix": op10_mix,
+    "op11_align": op11_align,
     "op12_url_filter": op12_url_filter,
     "op13_merkle": op13_merkle,
 }
