@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,10 +34,19 @@ def build_session(app: str = "tsengine", master: str | None = None, **extra: str
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, local runs) is a
-    temporary folder made.
+    Only a local session without ``spark.checkpoint.dir`` (tests) gets a temporary
+    folder; on a cluster that would be each machine's own, so it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tsengine-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that a loop goes on from; a lost executor then costs a read, and plans stay short."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
