@@ -7,7 +7,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from tsengine.operators import forecasts, metrics, ridge
+from tsengine.operators import forecasts, gram, metrics, ridge
 from tsengine.plans import evaluate, experiment
 from tsengine.plans.catalog import fragments as sql
 from tsengine.plans.catalog.registry import query, r
@@ -248,3 +248,95 @@ def sample_paths(spark, folder):
     return drawn.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("draws"), r(F.avg(error)).alias("mean_error"), r(F.stddev_pop(error)).alias("spread")
     )
+
+
+_LAG = """lag AS (SELECT series_id, step, coalesce(regr_slope(truth, pred),0) AS a, coalesce(regr_intercept(truth, pred), avg(truth)) AS b
+                FROM pairs GROUP BY 1, 2),
+        spread AS (SELECT series_id, step, sqrt(avg(pow(truth-a*pred-b,2))) AS sd FROM pairs JOIN lag USING (series_id, step) GROUP BY 1, 2)"""
+
+
+@query(
+    "forecast_direct_per_series",
+    f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('train', 1, 12, name='pairs')}, {sql.steps('test', 24, 12)}, {_LAG},
+        f AS (SELECT series_id, step, truth, a*pred+b AS p, sd FROM w JOIN lag USING (series_id, step) JOIN spread USING (series_id, step))
+        SELECT series_id, step, round(any_value(sd),5)+0.0 AS sd, {_BY_SERIES} FROM f GROUP BY 1, 2""",
+)
+def forecast_direct_per_series(spark, folder):
+    """A regression of each series' own, here on one lag, and the spread of each step from the same sums."""
+    shape = gram.Shape(1, 12, normalised=False)
+    made = evaluate.per_series_forecasts(user_hourly(spark, folder), KEY, "v", "test", SPEC, shape, penalty=0.0)
+    p, t = F.col("pred"), F.col("true")
+    return made.groupBy("series_id", "step").agg(
+        r(F.max("sd"), 5).alias("sd"), r(metrics.mae(p, t), 5).alias("mae"), r(metrics.mse(p, t), 5).alias("mse")
+    )
+
+
+PENALTIES = (0.0, 100.0, 3_000.0, 100_000.0, 1_000_000.0)
+
+
+@query(
+    "select_ridge",
+    f"""WITH {sql.USERS}, {sql.SCALED}, {sql.steps('train', 1, 12, name='tr')}, {sql.steps('val', 1, 12, name='va')}, {sql.steps('test', 1, 12)},
+        sums AS (SELECT step, count(*) AS n, sum(pred) AS sx, sum(truth) AS sy, sum(pred*pred) AS sxx, sum(pred*truth) AS sxy FROM tr GROUP BY 1),
+        m AS (SELECT penalty, step, (sxy-sx*sy/n)/(sxx-sx*sx/n+penalty) AS a, sx/n AS mx, sy/n AS my
+              FROM sums, (SELECT unnest({list(PENALTIES)}) AS penalty)),
+        loss AS (SELECT penalty, avg(pow(truth-my-a*(pred-mx),2)) AS val_loss FROM va JOIN m USING (step) GROUP BY 1),
+        best AS (SELECT * FROM loss ORDER BY val_loss, penalty DESC LIMIT 1),
+        w2 AS (SELECT b.penalty, b.val_loss, w.truth, my+a*(w.pred-mx) AS pred FROM w JOIN m USING (step) JOIN best b ON b.penalty=m.penalty)
+        SELECT penalty::DOUBLE AS penalty, round(any_value(val_loss),6)+0.0 AS val_loss, {_ALL} FROM w2 GROUP BY 1""",
+)
+def select_ridge(spark, folder):
+    """Pooled regressions of five penalties from one set of sums; the best on the validation sums is tested."""
+    chosen = evaluate.select_ridge(user_hourly(spark, folder), KEY, ["v"], replace(SPEC, context=1, label=0), PENALTIES, normalised=False)
+    return chosen.select("penalty", r("val_loss").alias("val_loss"), *[r(m, 4).alias(m) for m in FIVE])
+
+
+_MEAN_LAST = "avg(pred) OVER (PARTITION BY series_id, window_id, step)"
+
+
+@query(
+    "score_multichannel",
+    f"""WITH {sql.HOURLY_LONG}, {sql.SCALED}, {sql.steps('test', 24, 12)},
+        placed AS (SELECT w.*, w.window_id+{sql.bounds('test', 24, 'k.')[0]}+23+w.step AS rn FROM w, (SELECT any_value(n) AS n FROM hourly) k),
+        f AS (SELECT channel, step, window_id, truth, {_MEAN_LAST} + 0.5*(hour(h.date)/23.0-0.5) AS p FROM placed JOIN (SELECT rn, date FROM hourly) h USING (rn))
+        SELECT channel, step, round(avg(p),5)+0.0 AS mean, round(avg(abs(p-truth)),5)+0.0 AS mae, round(avg((p-truth)*(p-truth)),5)+0.0 AS mse
+        FROM f GROUP BY 1, 2""",
+)
+def score_multichannel(spark, folder):
+    """A user's model: the channels' mean at the end of the decoder's label, plus half the hour of the step."""
+
+    def model(x: np.ndarray, x_mark: np.ndarray, dec: np.ndarray, y_mark: np.ndarray) -> np.ndarray:
+        level = dec[:, SPEC.label - 1].mean(axis=1)[:, None, None]
+        hours = 0.5 * y_mark[:, SPEC.label :, :1]
+        return np.broadcast_to(level + hours, (len(x), SPEC.horizon, x.shape[2]))
+
+    made = evaluate.model_forecasts(hourly_wide(spark, folder), KEY, EVENT_TYPES, "test", SPEC, model, ts="date")
+    p, t = F.col("pred"), F.col("true")
+    return made.groupBy("channel", "step").agg(
+        r(F.avg(p), 5).alias("mean"), r(metrics.mae(p, t), 5).alias("mae"), r(metrics.mse(p, t), 5).alias("mse")
+    )
+
+
+_HOUR = "(hour(date)/23.0-0.5)::DOUBLE"
+
+
+@query(
+    "forecast_with_marks",
+    f"""WITH RECURSIVE {sql.USERS}, {sql.SCALED}, marked AS (SELECT series_id, rn, n, v, {_HOUR} AS m FROM sc),
+        pairs AS (SELECT a.series_id, a.v AS x, b.m, b.v AS y FROM marked a JOIN marked b ON a.series_id=b.series_id AND b.rn=a.rn+1
+                  WHERE b.rn < {sql.NT.replace('n*', 'a.n*')}),
+        c AS (SELECT series_id, var_pop(x) AS xx, var_pop(m) AS mm, covar_pop(x,m) AS xm, covar_pop(x,y) AS xy, covar_pop(m,y) AS my,
+              avg(x) AS ax, avg(m) AS am, avg(y) AS ay FROM pairs GROUP BY 1),
+        ag AS (SELECT *, CASE WHEN xx*mm-xm*xm > 1e-12 THEN (xy*mm-my*xm)/(xx*mm-xm*xm) ELSE 0 END AS a,
+               CASE WHEN xx*mm-xm*xm > 1e-12 THEN (my*xx-xy*xm)/(xx*mm-xm*xm) WHEN mm > 1e-12 THEN my/mm ELSE 0 END AS g FROM c),
+        f AS (SELECT o.series_id, o.rn, 0 AS step, o.v AS pred FROM marked o
+              WHERE o.rn-23 >= {sql.bounds('test', 24, 'o.')[0]} AND o.rn+12 < o.n
+              UNION ALL
+              SELECT f.series_id, f.rn, f.step+1, ag.a*f.pred + ag.g*t.m + ag.ay-ag.a*ag.ax-ag.g*ag.am
+              FROM f JOIN ag USING (series_id) JOIN marked t ON t.series_id=f.series_id AND t.rn=f.rn+f.step+1 WHERE f.step < 12),
+        w AS (SELECT f.series_id, f.step, f.pred AS p, t.v AS truth FROM f JOIN marked t ON t.series_id=f.series_id AND t.rn=f.rn+f.step WHERE f.step > 0)
+        SELECT series_id, step, {_BY_SERIES} FROM w GROUP BY 1, 2""",
+)
+def forecast_with_marks(spark, folder):
+    """AR(1) with the hour of the day, per series, rolled out over the true hours ahead."""
+    return _score(evaluate.marked_forecasts(user_hourly(spark, folder), KEY, "v", "test", SPEC, "date"))

@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tsengine.functions.numeric import array_mean
-from tsengine.operators import chunks, forecasts, metrics, scaling, windows
-from tsengine.plans.prepare import Spec, split_chunks, split_windows
+from tsengine.operators import chunks, forecasts, gram, metrics, model_calls, ridge, scaling, windows
+from tsengine.plans.prepare import Spec, split_arrays, split_chunks, split_windows
 
 
 def last_value_forecasts(
@@ -142,3 +142,76 @@ def trend_season_forecasts(
         (F.col("trend") + season).alias("pred"),
         windows.at(spec.context, ahead=F.col("step")).alias("true"),
     )
+
+
+def per_series_forecasts(
+    panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec, shape: gram.Shape, penalty: float = 1.0
+) -> DataFrame:
+    """Direct forecasts by a regression of each series' own, with the spread of each step as ``sd``."""
+    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
+    own = replace(spec, context=shape.context, label=0, horizon=shape.horizon)
+    train = split_chunks(panel, keys, [channel], "train", own, stats=stats)
+    models = gram.fitted(gram.sums(train, shape, [*keys, "n"], size=spec.size), [*keys, "n"], shape, penalty)
+    seen = split_chunks(panel, keys, [channel], split, spec, stats=stats)
+    return gram.by_step(gram.forecast(seen, models, keys, shape, context=spec.context, keep=["channel"], size=spec.size))
+
+
+def marked_forecasts(
+    panel: DataFrame, keys: Sequence[str], channel: str, split: str, spec: Spec, ts: str, lags: int = 1, marks: int = 1, penalty: float = 0.0
+) -> DataFrame:
+    """A one-step model on ``lags`` values and the next row's first ``marks`` time marks, fitted per
+    series and rolled out over each window with the true marks of the steps ahead.
+    """
+    stats = scaling.fit(panel, keys, [channel], spec.train) if spec.scale else None
+    shape = gram.Shape(lags, 1, marks, normalised=False)
+    train = split_chunks(panel, keys, [channel], "train", replace(spec, context=lags, label=0, horizon=1), ts, stats)
+    models = gram.fitted(gram.sums(train, shape, [*keys, "n"], size=spec.size), [*keys, "n"], shape, penalty)
+    seen = split_chunks(panel, keys, [channel], split, spec, ts, stats)
+    made = gram.forecast(seen, models, keys, shape, spec.horizon, spec.context, ["channel"], size=spec.size)
+    return gram.by_step(made)
+
+
+def select_ridge(
+    panel: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    spec: Spec,
+    penalties: Sequence[float],
+    normalised: bool = True,
+) -> DataFrame:
+    """The pooled regression whose penalty has the least mean squared validation error; one row.
+
+    ``penalty``, ``val_loss`` and the test metrics. The training windows are read once and
+    the validation windows once, whatever the number of penalties.
+    """
+    stats = scaling.fit(panel, keys, channels, spec.train) if spec.scale else None
+    shape = gram.Shape(spec.context, spec.horizon, normalised=normalised)
+
+    def learnt(split: str, original: bool) -> gram.Sums:
+        parts = split_chunks(panel, keys, channels, split, spec, stats=stats)
+        return gram.collected(gram.sums(parts, shape, original=original, size=spec.size), shape)
+
+    best = gram.choose(learnt("train", False), learnt("val", True), penalties)
+    model = ridge.Ridge(spec.context, spec.horizon, best.weights, best.intercept, normalised)
+    test = split_chunks(panel, keys, channels, "test", spec, stats=stats)
+    tested = metrics.bundle(model.transform(test, [*keys, "channel"], first="first", size=spec.size))
+    return tested.select(F.lit(float(best.penalty)).alias("penalty"), F.lit(best.loss).alias("val_loss"), *tested.columns)
+
+
+def model_forecasts(
+    panel: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    split: str,
+    spec: Spec,
+    model: model_calls.Model,
+    ts: str | None = None,
+    outputs: Sequence[str] | None = None,
+) -> DataFrame:
+    """Long forecasts of a user's model that sees all channels, time marks and the decoder's input."""
+    stats = scaling.fit(panel, keys, channels, spec.train) if spec.scale else None
+    arrays = split_arrays(panel, keys, channels, split, spec, ts, stats)
+    scored = model_calls.score_windows(
+        arrays, model, channels, spec.context, spec.label, spec.horizon, keys, "marks" if ts else None, outputs, size=spec.size
+    )
+    return model_calls.unpack(scored, outputs or channels)

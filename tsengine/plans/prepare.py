@@ -34,7 +34,7 @@ class Spec:
         return windows.halo(self.context, self.horizon)
 
 
-def _split_arrays(
+def split_arrays(
     panel: DataFrame,
     keys: Sequence[str],
     channels: Sequence[str],
@@ -76,7 +76,7 @@ def split_chunks(
     ``panel`` has ``rn`` and ``n``. With ``ts``, an array of time marks per row
     comes along as ``marks``.
     """
-    return chunks.by_channel(_split_arrays(panel, keys, channels, split, spec, ts, stats), channels)
+    return chunks.by_channel(split_arrays(panel, keys, channels, split, spec, ts, stats), channels)
 
 
 def split_windows(
@@ -121,7 +121,7 @@ def prepare_matrix(
 
     The time marks come once per window and not once per channel.
     """
-    arrays = _split_arrays(panel, keys, channels, split, spec, ts, stats)
+    arrays = split_arrays(panel, keys, channels, split, spec, ts, stats)
     indexed = windows.starts(arrays, spec.length, spec.size, value=channels[0], first="first")
     skip, length = spec.context - spec.label, spec.label + spec.horizon
     cut = {
