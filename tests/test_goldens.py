@@ -322,9 +322,19 @@ def test_prepare_split_shapes(spark):
         assert r["x"][3:] == r["y"][:3]
 
 
-def test_shuffle_keeps_every_window(spark):
-    df = spark.range(100).select(F.lit("a").alias("series_id"), F.col("id").alias("window_id"))
-    order = [r["window_id"] for r in windows.shuffled(df, ["series_id"], 1).collect()]
-    again = [r["window_id"] for r in windows.shuffled(df.repartition(3), ["series_id"], 1).collect()]
-    other = [r["window_id"] for r in windows.shuffled(df, ["series_id"], 2).collect()]
-    assert order == again and sorted(order) == list(range(100)) and order != other and order != sorted(order)
+@pytest.mark.parametrize("count", [1, 2, 3, 5, 97, 100, 2503])
+def test_shuffle_is_a_permutation_of_each_epoch(spark, count):
+    df = spark.range(count).select(F.lit("a").alias("series_id"), F.col("id").alias("window_id"))
+    orders = {}
+    for seed, epoch in ((1, 0), (1, 1), (2, 0)):
+        made = windows.shuffled(df.repartition(3), ["series_id"], seed, F.lit(count).cast("bigint"), epoch, batch=32)
+        rows = sorted(tuple(r)[1:] for r in made.select("series_id", "window_id", "place", "batch_id").collect())
+        orders[seed, epoch] = [p for _, p, _ in rows]
+        assert sorted(orders[seed, epoch]) == list(range(count)) and all(b == p // 32 for _, p, b in rows)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Sort" not in plan
+    if count > 90:
+        assert len({tuple(o) for o in orders.values()}) == 3
+        for order in orders.values():
+            steps = {(b - a) % count for a, b in zip(order, order[1:])}
+            assert len(steps) > count / 3  # nothing like an arithmetic order

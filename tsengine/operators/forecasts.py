@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tsengine.functions.numeric import array_mean
+from tsengine.functions.permutation import uniform
 from tsengine.operators.chunks import SIZE, is_home, join_facts, with_halo
 from tsengine.operators.splits import part_sizes
 from tsengine.operators.windows import at, piece, steps
@@ -186,16 +187,12 @@ def trend_season(
 def sample_paths(forecasts: DataFrame, keys: Sequence[str], draws: int, seed: int, mu: str = "mu", logvar: str = "logvar") -> DataFrame:
     """``draws`` samples of N(mu, exp(logvar)) per row.
 
-    Each draw is a hash of seed, keys and draw number turned into a normal
-    variate, so a recomputed task gives the same sample; a seeded generator
+    Each draw is an MD5 digest of seed, keys and draw number turned into a normal variate,
+    so a recomputed task, and any other engine, gives the same sample; a seeded generator
     depends on how rows happen to be partitioned.
     """
     drawn = forecasts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     ids = [*[F.col(k) for k in keys], F.col("draw")]
-
-    def uniform(salt: int) -> Column:
-        bits = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *ids), F.lit(2**53))
-        return (bits.cast("double") + 0.5) / float(2**53)
-
-    normal = F.sqrt(F.ln(uniform(1)) * -2.0) * F.cos(uniform(2) * F.lit(2.0) * F.pi())
+    first, second = (uniform(F.lit(seed), F.lit(salt), *ids) for salt in (1, 2))
+    normal = F.sqrt(F.ln(first) * -2.0) * F.cos(second * F.lit(2.0) * F.pi())
     return drawn.withColumn("sample", F.col(mu) + normal * F.exp(F.col(logvar) / 2))

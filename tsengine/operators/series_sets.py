@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsengine.functions.numeric import coerce_number
+from tsengine.operators.chunks import row_index
 
 # Horizon and frequency of every group.
 GROUPS = [
@@ -109,6 +110,22 @@ def attach_info(series: DataFrame, info: DataFrame, key: str = "series_id") -> D
     )
 
 
+def output_order(joined: DataFrame, name: str = "position") -> DataFrame:
+    """Position (from 0) of each row of ``attach_info`` in the order of its ``ord``.
+
+    Rows are numbered inside a block of a file and shifted by the rows of earlier blocks
+    and files: no task sorts the whole table.
+    """
+    seen, known = F.col("ord")["first_seen"], F.col("ord")["info_ord"]
+    unknown = F.col("ord")["unknown"]
+    source = F.when(unknown, seen["file_ord"]).otherwise(F.lit(-1))
+    place = F.when(unknown, seen["row_ord"]).otherwise(known)
+    levels = [F.struct(unknown, source.alias("source"))]
+    levels.append(F.struct(unknown, source.alias("source"), place["file"].alias("file")))
+    levels.append(F.struct(unknown, source.alias("source"), place["file"].alias("file"), place["block"].alias("block")))
+    return row_index(joined, [], "ord", levels, rn=name, n="_n").drop("_n")
+
+
 def export_columns(df: DataFrame, values: str = "values", ids: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """Rectangle with one column per position, NULL on the right of short series.
 

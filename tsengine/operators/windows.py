@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tsengine.functions.permutation import permuted
 from tsengine.operators.chunks import SIZE, explode_range
 
 
@@ -115,10 +116,18 @@ def batch_id(size: int, window: str = "window_id") -> Column:
     return F.expr(f"`{window}` div {size}")
 
 
-def shuffled(windows: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Windows in a pseudo-random order that depends on ``seed`` and keys only."""
-    ids = [F.lit(seed), *[F.col(k) for k in keys], F.col("window_id")]
-    return windows.orderBy(F.xxhash64(*ids), *keys, "window_id")
+def shuffled(
+    windows: DataFrame, keys: Sequence[str], seed: int, count: Column, epoch: int | Column = 0, batch: int | None = None
+) -> DataFrame:
+    """Adds ``place``: the window's position in the order of that epoch, and with ``batch`` its batch.
+
+    ``count`` is the number of the series' windows. Place and batch are arithmetic on the
+    window's number, so nothing is sorted; another epoch or seed gives another order.
+    """
+    at = F.lit(epoch) if isinstance(epoch, int) else epoch
+    key = F.concat_ws("/", F.lit(str(seed)), at.cast("string"), *[F.col(k).cast("string") for k in keys])
+    placed = windows.withColumn("place", permuted(F.col("window_id"), count, key))
+    return placed.withColumn("batch_id", batch_id(batch, "place")) if batch else placed
 
 
 def plot_frames(

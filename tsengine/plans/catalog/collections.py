@@ -99,6 +99,24 @@ def info_series_join(spark, folder):
     return joined.select("series_id", "grp", "frequency", "horizon", *digest("values", SIX), F.col("ord")["unknown"].alias("unknown"))
 
 
+@query(
+    "info_output_order",
+    f"""WITH {_INFO}, ids AS (SELECT series_id, 0 AS part, CAST(substr(series_id, 2) AS BIGINT) AS k FROM info
+        UNION ALL SELECT 'S' || vec_id, 1, vec_id FROM embeddings WHERE vec_id % 10 = 9)
+        SELECT series_id, row_number() OVER (ORDER BY part, k) - 1 AS position FROM ids""",
+)
+def info_output_order(spark, folder):
+    """Ids of the info table in its order, then unknown ids in the order they were first read; several files of each."""
+    by_id = lambda c: F.substring(c, 2, 20).cast("bigint")
+    paths = []
+    for table, key in ((spark.read.option("header", True).csv(_land_info(spark, folder)), "M4id"), (series_file(spark, folder), "V1")):
+        path = scratch_path(spark, "ordered")
+        table.repartitionByRange(4, by_id(key)).sortWithinPartitions(by_id(key)).write.option("header", True).csv(path)
+        paths.append(path)
+    joined = series_sets.attach_info(readers.series_rows(spark, paths[1]), readers.info(spark, paths[0]))
+    return series_sets.output_order(joined).select("series_id", "position")
+
+
 @query(
     "group_meta_join",
     f"WITH {_RAGGED} SELECT DISTINCT series_id, grp, horizon AS grp_horizon, frequency AS grp_frequency FROM ragged",

@@ -239,7 +239,17 @@ def select_forecaster(spark, folder):
     return chosen.select("candidate", r("val_loss", 5).alias("val_loss"), *[r(m, 4).alias(m) for m in FIVE])
 
 
-@query("sample_paths")
+def _uniform(salt: int) -> str:
+    digits = f"substr(md5('11:{salt}:' || series_id || ':' || window_id || ':' || step || ':' || draw), 1, 15)"
+    return f"((('0x' || {digits})::BIGINT::DOUBLE + 0.5) / pow(2, 60))"
+
+
+@query(
+    "sample_paths",
+    f"""{_W}, d AS (SELECT series_id, window_id, step, unnest(range(1, 9)) AS draw FROM w),
+        e AS (SELECT series_id, sqrt(-2.0*ln({_uniform(1)})) * cos({_uniform(2)}*2.0*pi()) AS error FROM d)
+        SELECT series_id, count(*) AS draws, round(avg(error),6)+0.0 AS mean_error, round(stddev_pop(error),6)+0.0 AS spread FROM e GROUP BY 1""",
+)
 def sample_paths(spark, folder):
     """Eight draws around every last-value forecast; mean and spread per series."""
     made = naive(spark, folder).withColumns({"mu": F.col("pred"), "logvar": F.lit(0.0)})

@@ -62,14 +62,34 @@ def steps(split: str, context: int, horizon: int, source: str = "sc", name: str
       WHERE a.rn-{context}+1 >= {low} AND a.rn+{horizon} < {high})"""
 
 
-def single_steps(split: str, context: int, horizon: int, chosen: list[int], source: str = "sc", name: str = "w") -> str:
-    """``steps`` for a few steps: a join on equal positions."""
-    low, high = bounds(split, context, "a.")
+def leads(split: str, context: int, horizon: int, chosen: list[int], source: str = "sc", name: str = "w") -> str:
+    """``steps`` for chosen steps, without a join: each row looks ahead in its series."""
+    low, high = bounds(split, context)
+    ahead = ", ".join(f"struct_pack(step := {h}, truth := lead(v, {h}) OVER s)" for h in chosen)
     return f"""
-a AS (SELECT *, unnest({chosen}) AS step FROM {source}),
-{name} AS (SELECT a.series_id, a.channel, a.rn-{context}+1-{low} AS window_id, a.step::INT AS step, a.v AS pred, b.v AS truth
-      FROM a JOIN {source} b ON a.series_id=b.series_id AND a.channel=b.channel AND b.rn = a.rn+a.step
-      WHERE a.rn-{context}+1 >= {low} AND a.rn+{horizon} < {high})"""
+{name}_rows AS (SELECT series_id, channel, rn-{context}+1-{low} AS window_id, rn-{context}+1 >= {low} AND rn+{horizon} < {high} AS ok, v AS pred, [{ahead}] AS ahead
+      FROM {source} WINDOW s AS (PARTITION BY series_id, channel ORDER BY rn)),
+{name}_each AS (SELECT series_id, channel, window_id, pred, unnest(ahead) AS a FROM {name}_rows WHERE ok),
+{name} AS (SELECT series_id, channel, window_id, a.step::INT AS step, pred, a.truth AS truth FROM {name}_each)"""
+
+
+def stirred(x: str, a: str, b: str, key: str) -> tuple[list[str], str]:
+    """Nested selects that compute ``functions.permutation``: column lists, innermost first, and the result."""
+    number = lambda i, v: f"('0x' || substr(md5({key} || ':{i}:' || {v}), 1, 15))::BIGINT"
+    stages = [f"{x} // {b} AS l0, {x} % {b} AS r1"]
+    stages.append(f"(l0 + {number(0, 'r1')}) % {a} AS l2")
+    stages.append(f"(r1 + {number(1, 'l2')}) % {b} AS r3")
+    stages.append(f"(l2 + {number(2, 'r3')}) % {a} AS l4")
+    stages.append(f"(r3 + {number(3, 'l4')}) % {b} AS r5")
+    return stages, f"l4 * {b} + r5"
+
+
+def nested(stages: list[str], source: str) -> str:
+    """A select inside a select for each stage."""
+    made = source
+    for stage in stages:
+        made = f"(SELECT *, {stage} FROM {made})"
+    return made
 
 
 def cells(split: str, context: int, horizon: int, skip: int, length: int, source: str = "sc", name: str = "c") -> str:

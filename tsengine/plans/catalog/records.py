@@ -136,24 +136,28 @@ def pending_runs(spark, folder):
 
 @query(
     "save_forecasts",
-    f"WITH {sql.USERS}, {sql.SCALED}, {sql.single_steps('test', 24, 12, [1, 12])} SELECT 'user' || series_id AS run_id, "
+    f"WITH {sql.USERS}, {sql.SCALED}, {sql.leads('test', 24, 12, list(range(1, 13)))} SELECT 'user' || series_id AS run_id, "
     "window_id, step, round(pred,6)+0.0 AS pred, round(truth,6)+0.0 AS truth FROM w",
 )
 def save_forecasts(spark, folder):
-    """Written per run group, read back; the run id is the user, in 16 folders by hash."""
+    """All steps, written per run group and read back; the run id is the user, in 16 folders by hash.
+
+    Half of the groups are written twice, as by a rerun after a crash.
+    """
     path = scratch_path(spark, "forecasts")
-    made = naive(spark, folder).filter(F.col("step").isin(1, 12))
-    named = made.withColumn("member", F.concat(F.lit("user"), "series_id"))
-    writers.save_forecasts(named.withColumn("run_id", F.pmod(F.xxhash64("series_id"), F.lit(16))), path)
+    named = naive(spark, folder).withColumn("member", F.concat(F.lit("user"), "series_id"))
+    grouped = named.withColumn("run_id", F.pmod(F.xxhash64("series_id"), F.lit(16)))
+    writers.save_forecasts(grouped.filter("run_id < 8"), path)
+    writers.save_forecasts(grouped, path)
     back = writers.load_forecasts(spark, path)
     return back.select(F.col("member").alias("run_id"), "window_id", "step", r("pred").alias("pred"), r("true").alias("truth"))
 
 
 @query("append_results", f"{_W} SELECT 'user' || series_id || '_' || half AS run_id, {_ALL} FROM w, (SELECT unnest([1,2]) AS half) GROUP BY series_id, half")
 def append_results(spark, folder):
-    """Two batches of runs appended to one results table."""
+    """Two batches of runs written to one results table, the second one twice."""
     path = scratch_path(spark, "results")
     scored = metrics.bundle(naive(spark, folder), ["series_id"])
-    for half in (1, 2):
+    for half in (1, 2, 2):
         writers.append_results(scored.withColumn("run_id", F.concat(F.lit("user"), "series_id", F.lit(f"_{half}"))), path)
     return writers.load_results(spark, path).select("run_id", *[r(m, 4).alias(m) for m in FIVE])

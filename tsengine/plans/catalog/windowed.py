@@ -147,15 +147,29 @@ def assign_batches(spark, folder):
     )
 
 
+_STAGES, _PLACE = sql.stirred("x", "a", "b", "key")
+_FIELDS = "series_id, window_id, epoch, cnt, a, b, key"
+
+
 @query(
     "shuffle_windows",
-    f"WITH {sql.USERS}, {sql.single_steps('train', 24, 12, [1], 'plong')} SELECT series_id, window_id FROM w",
+    f"""WITH RECURSIVE {sql.USERS}, k AS (SELECT DISTINCT series_id, {sql.NT}-35 AS cnt FROM users WHERE {sql.NT} > 35),
+        sides AS (SELECT *, ceil(sqrt(cnt::DOUBLE))::BIGINT AS a FROM k),
+        start AS (SELECT series_id, unnest(range(0, cnt)) AS window_id, cnt, a, ceil(cnt / a)::BIGINT AS b FROM sides),
+        keyed AS (SELECT *, '7/' || epoch || '/' || series_id AS key FROM start, (SELECT unnest([0, 1]) AS epoch)),
+        walk AS (SELECT {_FIELDS}, {_PLACE} AS x, 1 AS times FROM {sql.nested(_STAGES, "(SELECT *, window_id AS x FROM keyed)")}
+                 UNION ALL
+                 SELECT {_FIELDS}, {_PLACE}, times + 1 FROM {sql.nested(_STAGES, "(SELECT * FROM walk WHERE x >= cnt)")})
+        SELECT series_id, window_id, epoch::INT AS epoch, x AS place, x // 32 AS batch_id FROM walk WHERE x < cnt""",
 )
 def shuffle_windows(spark, folder):
-    """The order is pseudo-random; the check sees that each window comes exactly once."""
+    """Two epochs: place and batch of every training window in each."""
     spec = Spec(context=24, label=12, horizon=12, scale=False)
-    made = split_windows(user_hourly(spark, folder), KEY, ["v"], "train", spec).select("series_id", "window_id")
-    return windows.shuffled(made, KEY, seed=7)
+    made = split_windows(user_hourly(spark, folder), KEY, ["v"], "train", spec).select("series_id", "window_id", "n")
+    epochs = made.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows, _, _ = splits.part_sizes(F.col("n"))
+    count = windows.count_windows(rows, spec.context, spec.horizon)
+    return windows.shuffled(epochs, KEY, 7, count, F.col("epoch"), spec.batch).drop("n")
 
 
 _EMB = "e AS (SELECT vec_id AS series_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1)-1 AS j FROM embeddings)"

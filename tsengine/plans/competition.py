@@ -24,11 +24,13 @@ def build_grouped(spark: SparkSession, sheets: Sequence[tuple[str, str]], out: s
         kept = series_sets.longer_than(known, "values", "grp_horizon")
         return series_sets.holdout(kept, horizon="grp_horizon").drop("grp_frequency")
 
-    fresh = not writers.table_exists(spark, cache)
     writers.cached_series(spark, cache, build)
-    if fresh and export:
+    if export:
         for part, training in (("train", True), ("test", False)):
-            writers.export_wide(writers.load_series_cache(spark, cache, training), f"{out}/{part}-csv")
+            folder = f"{out}/{part}-csv"
+            if not writers.committed(spark, folder):
+                writers.export_wide(writers.load_series_cache(spark, cache, training), folder)
+                writers.commit(spark, folder)
     return cache
 
 
@@ -40,13 +42,13 @@ def build_indexed(
     Ids come in info order, then unknown ones (see ``ord``). Returns the path of the cache.
     """
     cache = f"{out}/series"
-    if not writers.table_exists(spark, cache):
+    if not writers.committed(spark, cache):
         info = readers.info(spark, info_path)
         parts = [
             series_sets.attach_info(readers.series_files(spark, paths), info).withColumn("part", F.lit(part))
             for part, paths in (("train", train_paths), ("test", test_paths))
         ]
-        parts[0].unionByName(parts[1]).write.mode("errorifexists").partitionBy("part").parquet(cache)
+        writers.write_table(parts[0].unionByName(parts[1]), cache, "part")
     return cache
 
 

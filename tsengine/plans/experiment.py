@@ -87,7 +87,9 @@ def run(spark: SparkSession, path: str, config: Config, out: str, format: str =
     """Run one experiment unless its results exist; returns its row of the results table.
 
     Rows without a date and repeated dates are refused. Forecasts are written
-    once, and the metrics are read from that table.
+    once, and the metrics are read from that table. The results are written last and
+    both replace what an earlier try of the run has left, so a run that was broken off
+    anywhere can simply be run again.
     """
     results = f"{out}/results"
     mine = F.col("run_id") == config.run_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType, TimestampNTZType
 
 from tsengine.operators.series_sets import coerce_values
@@ -48,21 +48,43 @@ def wide_series(
     return df
 
 
-def series_rows(spark: SparkSession, path: str, file_ord: int = 0) -> DataFrame:
+BROKEN = "_broken_line"
+
+
+def _place() -> Column:
+    """Where a line stands: file (by path), block of the file, line order inside it.
+
+    Taken while reading; later shuffles lose it.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
+def series_rows(spark: SparkSession, path: str, file_ord: int = 0, columns: Sequence[str] | None = None) -> DataFrame:
     """One series per line: ``series_id``, numeric ``values``, and the place of the line.
 
-    The place (block of the file, line order inside it) is taken while reading;
-    later shuffles lose it.
+    ``path`` may be a folder of files; they follow each other by name. One file's header
+    (or ``columns``, for files of several widths) gives the width. A line with more cells
+    than that raises: its last values would be lost without a word.
     """
-    names = _header(spark, path)
-    schema = StructType([StructField(c, StringType()) for c in names])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    names = list(columns) if columns else _header(spark, path)
+    schema = StructType([StructField(c, StringType()) for c in [*names, BROKEN]])
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", BROKEN).csv(path)
+    cells = [F.col(f"`{c}`") for c in names]
+    # A line with fewer cells is broken to the parser too, and fine here: only what lies beyond the width is lost.
+    quoted = r'"(?:[^"\\]|\\.|"")*"'
+    bare = F.regexp_replace(F.col(BROKEN), quoted, "")
+    over = F.length(bare) - F.length(F.translate(bare, ",", "")) >= len(names)
+    message = F.concat(F.lit(f"a line has more than {len(names)} cells: "), F.substring(F.col(BROKEN), 1, 80))
+    values = coerce_values(F.array(*cells[1:]))
     return raw.select(
-        F.col(f"`{names[0]}`").alias("series_id"),
-        coerce_values(F.array(*[f"`{c}`" for c in names[1:]])).alias("values"),
+        cells[0].alias("series_id"),
+        F.when(F.coalesce(over, F.lit(False)), F.raise_error(message).cast("array<double>")).otherwise(values).alias("values"),
         F.lit(file_ord).alias("file_ord"),
-        place.alias("row_ord"),
+        _place().alias("row_ord"),
     )
 
 
@@ -89,7 +111,6 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     if lacking:
         raise ValueError(f"info table lacks {lacking}")
     schema = StructType([StructField(c, wanted.get(c, StringType())) for c in names])
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -99,7 +120,7 @@ def info(spark: SparkSession, path: str) -> DataFrame:
             F.col("SP").alias("grp"),
             F.col("Frequency").alias("frequency"),
             F.col("Horizon").alias("horizon"),
-            place.alias("info_ord"),
+            _place().alias("info_ord"),
         )
     )
 

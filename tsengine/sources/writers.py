@@ -1,4 +1,10 @@
-"""Writers and their readers."""
+"""Writers and their readers. What a job has written counts only once it is committed.
+
+A table of several jobs (forecasts, results) has a folder per run, and a run replaces
+its own folders: doing a run again after a crash leaves what doing it once leaves. A
+table of one job has a small table beside the data, written last, that says so; without
+it the data is half a table, and is built again.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tsengine.operators.series_sets import export_columns
 
+MARK = "_committed"
+
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -18,6 +26,25 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def commit(spark: SparkSession, path: str) -> None:
+    """Marks what is written below ``path`` as a whole table."""
+    spark.range(1).select(F.current_timestamp().cast("string").alias("at")).coalesce(1).write.mode("overwrite").json(f"{path}/{MARK}")
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a whole table is there; the mark itself may be half written too."""
+    try:
+        return not spark.read.schema("at string").json(f"{path}/{MARK}").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def write_table(df: DataFrame, path: str, *partitions: str) -> None:
+    """Replaces whatever is there, with its mark, and marks the new table once it is whole."""
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    commit(df.sparkSession, path)
+
+
 def save_series_cache(held_out: DataFrame, path: str) -> None:
     """Write ``train`` and ``test`` arrays as two partitions of one table."""
     rest = [c for c in held_out.columns if c not in ("train", "test")]
@@ -25,7 +52,7 @@ def save_series_cache(held_out: DataFrame, path: str) -> None:
         F.struct(F.lit("train").alias("part"), F.col("train").alias("values")),
         F.struct(F.lit("test").alias("part"), F.col("test").alias("values")),
     )
-    held_out.select(*rest, F.inline(parts)).write.mode("errorifexists").partitionBy("part").parquet(path)
+    write_table(held_out.select(*rest, F.inline(parts)), path, "part")
 
 
 def load_series_cache(spark: SparkSession, path: str, training: bool = True) -> DataFrame:
@@ -37,24 +64,30 @@ def load_series_cache(spark: SparkSession, path: str, training: bool = True) ->
 def cached_series(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], training: bool = True
 ) -> DataFrame:
-    """Load the cache, building it first unless it is already there."""
-    if not table_exists(spark, path):
+    """Load the cache, building it first unless a whole one is there."""
+    if not committed(spark, path):
         save_series_cache(build(), path)
     return load_series_cache(spark, path, training)
 
 
 def export_wide(df: DataFrame, path: str, values: str = "values", ids: tuple[str, ...] = (), prefix: str = "") -> None:
     """CSV with one column per position; short series are padded with empty cells."""
-    export_columns(df, values, ids, prefix).write.mode("errorifexists").option("header", True).csv(path)
+    export_columns(df, values, ids, prefix).write.mode("overwrite").option("header", True).csv(path)
+
+
+def _replace_runs(df: DataFrame, path: str) -> None:
+    """Replaces the folders of the runs that ``df`` holds and no others."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
 
 
 def save_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Predictions and truths in long form, one folder per run.
+    """Predictions and truths in long form, one folder per run; a run written again replaces its own.
 
     Rebalancing gathers the small runs and splits the big ones, so that neither
     many tiny files nor one hot task comes of it.
     """
-    forecasts.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    _replace_runs(forecasts.hint("rebalance", "run_id"), path)
 
 
 def load_forecasts(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
@@ -63,9 +96,11 @@ def load_forecasts(spark: SparkSession, path: str, run_id: str | None = None) ->
 
 
 def append_results(metrics: DataFrame, path: str) -> None:
-    """Add one row per run (run_id and the five metrics) to the results table."""
-    metrics.select("run_id", "mae", "mse", "rmse", "mape", "mspe").write.mode("append").parquet(path)
+    """Add one row per run (run_id and the five metrics) to the results table; a run again replaces its row."""
+    rows = metrics.select("run_id", "mae", "mse", "rmse", "mape", "mspe")
+    _replace_runs(rows.hint("rebalance", "run_id"), path)
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The results; run ids are text, whatever they look like."""
+    return spark.read.schema("mae double, mse double, rmse double, mape double, mspe double, run_id string").parquet(path)
