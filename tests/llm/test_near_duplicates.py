@@ -46,8 +46,8 @@ def test_components(spark, shingle):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-@pytest.mark.parametrize("levels", [0, 2])
-def test_large_buckets_of_documents_that_are_not_linked(spark, levels):
+@pytest.mark.parametrize("block", [16, 8192])
+def test_large_buckets_of_documents_that_are_not_linked(spark, block):
     """Short bands, so that texts with a shared passage meet in large buckets; they hold a few links as well."""
     draw = random.Random(9)
     fresh = lambda n: [f"v{draw.randrange(10**6)}" for _ in range(n)]
@@ -57,7 +57,7 @@ def test_large_buckets_of_documents_that_are_not_linked(spark, levels):
         texts.append(" ".join(base))
         if i % 10 == 0:
             texts += [" ".join(base[:-1] + fresh(1)), " ".join(fresh(2) + base[2:])]
-    spec = nd.Spec(bands=24, rows=2, levels=levels, screen=0.5)
+    spec = nd.Spec(bands=24, rows=2, block=block, screen=0.5)
     found = nd.near_duplicates(docs(spark, texts), spec).collect()
     wanted = brute.components(list(enumerate(texts)))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(wanted)

@@ -7,16 +7,18 @@
 3. In each bucket a centre, the member with the most company, is compared with the
    others: first by signature, then on the full shingle sets. Links are merged by
    alternating large-star and small-star. Buckets whose members are all connected
-   are done. Others, say of documents that share a passage and no more, are split by
-   further minima into finer buckets that overlap, and these begin at the centre
-   again. In small ones of those all members become centres, against members of other
-   components; large ones are split again. What is still large after ``levels`` splits
-   goes on in rounds, until every member has been a centre. So no bucket is capped,
-   and a group of copies is never expanded into its pairs.
-
-A pair at the threshold misses all bands with probability (1 - 0.8^6)^48 = 5e-7, and
-1e-5 where all its buckets are split twice; a link passes the signature test with an
-error of five standard deviations.
+   are done.
+4. The others, say of documents that share a passage and no more, are not taken apart: a
+   row of theirs carries a sketch (two bits of each minimum), and a task that has a whole
+   bucket compares sketches of members of different components and sizes that allow a
+   link, 72 bytes a member. Of the pairs that pass, a round sends on the best eight that a
+   member has in another component, the next round the best 64, and so on, until the
+   bucket is connected or has no pair left. Buckets of more than ``block`` members go to
+   several tasks, a pair of blocks each. So no bucket is capped, a group of copies is
+   never expanded into its pairs, and rows multiply only in buckets beyond ``block``.
+
+A pair at the threshold misses all bands with probability (1 - 0.8^6)^48 = 5e-7; a link
+passes the signature test and the sketch test with an error of five standard deviations.
 
 Defined results: NULL and empty texts, and texts of white space only, are linked
 with nothing and keep their own id; rows with the same id and text are one
@@ -43,12 +45,12 @@ from tsengine.llm.shingles import WordHashes, mix, shingle_set
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NODES = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary"
+NODES = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary, sketch binary"
 
 
 @dataclass(frozen=True)
 class Spec:
-    """``percent``: of the union that links share; ``screen``: estimate below which a pair isn't looked at again; ``split``: parts of a large bucket."""
+    """``percent``: of the union that links share; ``screen``: estimate below which a pair isn't looked at again; ``block``: members that one task compares."""
 
     shingle: int = 4
     percent: int = 80
@@ -56,8 +58,13 @@ class Spec:
     rows: int = 6
     screen: float = 0.68
     seed: int = 1
-    levels: int = 5
-    split: int = 8
+    block: int = 8192
+
+    @property
+    def differing(self) -> int:
+        """Places of a sketch in which the two texts of a link may differ: five deviations above the mean."""
+        share, size = (1 - self.percent / 100) * 0.75, self.bands * self.rows
+        return int(np.ceil(size * share + 5 * np.sqrt(size * share * (1 - share))))
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Multipliers (odd) and offsets of the universal hashes x -> a x + b mod 2^32."""
@@ -76,6 +83,14 @@ def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1024) -
     return least
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """The two lowest bits of every minimum, in whole words of 64 bits."""
+    bits = np.zeros(-(-len(least) // 32) * 32, np.uint8)
+    bits[: len(least)] = least & np.uint32(3)
+    quarter = bits.reshape(-1, 4)
+    return (quarter[:, 0] | quarter[:, 1] << 2 | quarter[:, 2] << 4 | quarter[:, 3] << 6).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """A row per document: size and key of its set, band keys, signature of 8 bits a hash."""
 
@@ -89,14 +104,14 @@ def signatures(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
             for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 values = shingle_set(text, spec.shingle, known)
                 if not len(values):
-                    rows.append((doc_id, text_hash, 0, None, None, None))
+                    rows.append((doc_id, text_hash, 0, None, None, None, None))
                     continue
                 least = minima(values, a, b)
                 keys = numbers
                 for column in least.reshape(spec.bands, spec.rows).T.astype(np.uint64):
                     keys = mix(keys, column)
                 set_key = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-                rows.append((doc_id, text_hash, len(values), set_key, keys.view(np.int64), least.astype(np.uint8).tobytes()))
+                rows.append((doc_id, text_hash, len(values), set_key, keys.view(np.int64), least.astype(np.uint8).tobytes(), sketch(least)))
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
             yield frame.astype({"doc_id": "Int64", "text_hash": "Int64"})
 
@@ -108,9 +123,9 @@ def classes_of(signed: DataFrame) -> DataFrame:
     """A row per distinct set: a node number, the document that stands for it, bands and signature."""
     document = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
     sets = signed.where("set_key IS NOT NULL").groupBy("set_key")
-    found = sets.agg(F.min(document).alias("d"), *[F.min(c).alias(c) for c in ("n_shingles", "signature", "bands")])
+    found = sets.agg(F.min(document).alias("d"), *[F.min(c).alias(c) for c in ("n_shingles", "signature", "sketch", "bands")])
     return found.select(
-        F.monotonically_increasing_id().alias("node"), "set_key", "d.doc_id", "d.text_hash", "n_shingles", "signature", "bands"
+        F.monotonically_increasing_id().alias("node"), "set_key", "d.doc_id", "d.text_hash", "n_shingles", "signature", "sketch", "bands"
     )
 
 
@@ -120,61 +135,123 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """A row per node and bucket of two nodes or more: ``key``, ``node``, ``n_shingles``, ``m``, ``weight``.
-
-    ``weight`` adds up the sizes of a node's buckets: the original of many edited
-    copies has the largest in each of its buckets.
-    """
-    members = settle(shared_buckets(nodes.select("node", "n_shingles", F.explode("bands").alias("key"))), "bucket-members")
-    weights = members.groupBy("node").agg(F.sum("m").alias("weight"))
-    return settle(members.join(weights, "node"), "bucket-weights")
+    """A row per node and bucket of two nodes or more: ``key``, ``node``, ``n_shingles``, ``m``; settled."""
+    return settle(shared_buckets(nodes.select("node", "n_shingles", F.explode("bands").alias("key"))), "bucket-members")
 
 
-# Steps through the signature, by level; they share no factor with its usual lengths.
-STRIDES = (37, 41, 43, 47, 53, 59, 61)
+def centre_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's centre and another member whose sizes allow a link.
 
-
-def split_buckets(members: DataFrame, nodes: DataFrame, level: int, spec: Spec) -> DataFrame:
-    """Each bucket as ``split`` finer ones, by six further minima each (their eight bits in the signature)."""
-    size, stride = spec.bands * spec.rows, STRIDES[level % len(STRIDES)]
-    signed = members.drop("m", "comp").join(nodes.select("node", "signature"), "node")
-
-    def part(number: int):
-        places = [F.pmod(F.col("key") + stride * (spec.rows * number + k) + 1, F.lit(size)).cast("int") for k in range(spec.rows)]
-        return F.xxhash64("key", F.lit(number), *[F.substring(F.col("signature"), p + 1, F.lit(1)) for p in places])
-
-    keys = F.explode(F.array(*[part(number) for number in range(spec.split)])).alias("key")
-    return shared_buckets(signed.select("node", "n_shingles", "weight", keys))
+    The centre is the member whose buckets are the largest in all: the original of many
+    edited copies is that of each of its buckets.
+    """
+    weights = members.groupBy("node").agg(F.sum("m").alias("weight"))
+    best = F.max(F.struct("weight", (-F.col("node")).alias("node"), "n_shingles")).alias("c")
+    heaviest = members.select("key", "node", "n_shingles").join(weights, "node").groupBy("key").agg(best)
+    centres = heaviest.select("key", (-F.col("c.node")).alias("centre"), F.col("c.n_shingles").alias("n_centre"))
+    small, large = F.least("n_shingles", "n_centre"), F.greatest("n_shingles", "n_centre")
+    pairs = members.join(centres, "key").where((F.col("node") != F.col("centre")) & (100 * small >= percent * large))
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+#: A round sends on this many times as many of a member's pairs as the round before.
 GROWTH = 8
+#: Pairs of sketches that are compared at once.
+AT_ONCE = 1 << 17
+ODD_BITS = np.uint64(0x5555555555555555)
 
 
-def slices(number: int) -> int:
-    """Places of the hash order of a bucket's members that are done after a round."""
-    return GROWTH**number - 1
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Buckets of more than ``block`` members as pairs of blocks, which have keys of their own.
 
+    ``side`` tells the two blocks of a pair apart; it is NULL where all members meet all.
+    """
+    columns = ["node", "n_shingles", "comp", "sketch"]
+    small = rows.where(F.col("m") <= block).select("key", F.lit(None).cast("boolean").alias("side"), *columns)
+    parts = F.ceil(2 * F.col("m") / block).cast("int")
+    large = rows.where(F.col("m") > block).withColumn("_own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    large = large.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    side = F.when(F.col("_own") != F.col("_other"), F.col("_own") > F.col("_other"))
+    return small.unionByName(large.select(F.xxhash64("key", low, high).alias("key"), side.alias("side"), *columns))
 
-def centres(members: DataFrame, number: int) -> DataFrame:
-    """Centres of a round: first the heaviest member, then slices of a hash order of the members."""
-    if number == 0:
-        best = F.max(F.struct("weight", (-F.col("node")).alias("node"), "n_shingles", "comp")).alias("c")
-        rows = members.groupBy("key").agg(best).select("key", (-F.col("c.node")).alias("node"), "c.n_shingles", "c.comp")
-    else:
-        place = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
-        low, high = slices(number - 1), slices(number)
-        rows = members.where((place >= low) & (place < high)).select("key", "node", "n_shingles", "comp")
-    return rows.select(
-        "key", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("comp").alias("comp_centre")
-    )
 
+def similar(n: np.ndarray, comp: np.ndarray, words: np.ndarray, side: np.ndarray, percent: int, differing: int):
+    """Pairs of a bucket that may be links: two places and the number of differing minima.
 
-def candidates(members: DataFrame, number: int, percent: int) -> DataFrame:
-    """Pairs of a centre and a member of another component whose sizes allow a link."""
-    pairs = members.join(centres(members, number), "key").where("comp <> comp_centre")
-    small, large = F.least("n_shingles", "n_centre"), F.greatest("n_shingles", "n_centre")
-    pairs = pairs.where(100 * small >= percent * large)
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    ``n`` ascends. ``side`` is -1 where all members meet all.
+    """
+    found = []
+    start = 0
+    while start < len(n):
+        ends = np.searchsorted(n, n[start : start + AT_ONCE] * 100 // percent, "right")
+        width = int(ends[0]) - start
+        stop = min(len(n), start + max(1, AT_ONCE // max(1, width)))
+        end = int(ends[stop - start - 1])
+        x = words[start:stop, None, :] ^ words[None, start:end, :]
+        apart = np.bitwise_count((x | x >> np.uint64(1)) & ODD_BITS).sum(axis=2, dtype=np.int32)
+        near = (apart <= differing) & (comp[start:stop, None] != comp[None, start:end])
+        near &= (side[start:stop, None] < 0) | (side[start:stop, None] != side[None, start:end])
+        i, j = np.nonzero(near)
+        later = (j > i) & (n[i + start] * 100 >= percent * n[j + start])
+        i, j = i[later], j[later]
+        found.append((i + start, j + start, apart[i, j]))
+        start = stop
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def ranked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each pair the better of its two ranks among a member's pairs into the other's component."""
+    asker, other, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+    order = np.lexsort((node[other], score, comp[other], asker))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(asker[order]) != 0) | (np.diff(comp[other[order]]) != 0)
+    starts = np.flatnonzero(new)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return np.minimum(rank[: len(i)], rank[len(i) :])
+
+
+def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
+    """Candidates of a round out of whole buckets; ``rows``: key, node, n_shingles, comp, m, sketch."""
+    low, high = (0 if number == 0 else GROWTH**number), GROWTH ** (number + 1)
+
+    def one(group: pd.DataFrame):
+        group = group.sort_values("n_shingles", kind="stable")
+        node, n, comp = (group[c].to_numpy(np.int64) for c in ("node", "n_shingles", "comp"))
+        words = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(len(group), -1)
+        side = group["side"].astype("float").fillna(-1).to_numpy(np.int64)
+        i, j, apart = similar(n, comp, words, side, spec.percent, spec.differing)
+        if len(group) > GROWTH and len(i):
+            rank = ranked(i, j, apart, comp, node)
+            keep = (rank >= low) & (rank < high)
+            i, j = i[keep], j[keep]
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows["key"].iloc[-1]
+            yield from pairs_of(rows[rows["key"] != last])
+            held = rows[rows["key"] == last]
+        if held is not None:
+            yield from pairs_of(held)
+
+    def pairs_of(rows: pd.DataFrame):
+        bounds = np.flatnonzero(np.diff(rows["key"].to_numpy(), prepend=0, append=0) != 0) if len(rows) else []
+        bounds = [0, *[int(v) for v in bounds if 0 < v < len(rows)], len(rows)]
+        made = [one(rows.iloc[x:y]) for x, y in zip(bounds, bounds[1:]) if y - x > 1]
+        if made:
+            a, b = (np.concatenate(v) for v in zip(*made))
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b})
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = in_blocks(rows, spec.block).repartition(tasks, "key").sortWithinPartitions("key")
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
 def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -260,54 +337,36 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
     members = bucket_members(nodes)
     wanted = settle(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash"), "wanted")
     texts = settle(texts_of(docs, wanted), "texts")
-    labels, tried = None, None
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("comp", F.col("node"))
-        return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    # Buckets to compare, and the round they are in.
-    turns = [(labelled(members), 0)]
-    level = 0
-    while turns:
-        pairs = turns[0][0].limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-        for rows, number in turns:
-            pairs = pairs.unionByName(candidates(rows, number, spec.percent))
-        pairs = pairs.distinct() if len(turns) > 1 else pairs
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
+    labels = nodes.select("node", F.col("node").alias("comp")).limit(0)
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        links = settle(confirm(pairs, texts, spec), "links")
+        if links.isEmpty():
+            return labels
+        # Links between components, and what the components were made of.
+        every = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        return connected(every).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Buckets that hold two components, with the component of each member."""
+        named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high")
+        return named.join(open_.select("key"), "key", "left_semi")
+
+    tried = settle(centre_pairs(members, spec.percent), "pairs")
+    labels = merged(settle(screen(tried, nodes, spec), "screened"))
+    rows = apart(members.where("m > 2").select("key", "node", "n_shingles", "m")).drop("comp")
+    rows = settle(rows.join(nodes.select("node", "sketch"), "node"), "open-buckets")
+    number = 0
+    while True:
+        left = settle(apart(rows.where(F.col("m") > (GROWTH**number if number else 2))), "open-round")
+        if left.isEmpty():
+            return labels
+        pairs = settle(bucket_pairs(left, spec, number).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            links = settle(confirm(settle(screen(pairs, nodes, spec), "screened"), texts, spec), "links")
-            if not links.isEmpty():
-                if labels is not None:
-                    # Links between components, and what the components were made of.
-                    links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-                labels = connected(links).select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        left = []
-        for rows, number in turns:
-            # Buckets go on while they hold two components and members that were no centre yet.
-            rows = labelled(rows.drop("comp")).where(F.col("m") > max(2, slices(number)))
-            low, high = F.min("comp").alias("_low"), F.max("comp").alias("_high")
-            apart = rows.groupBy("key").agg(low, high).where("_low <> _high").select("key")
-            rows = settle(rows.join(apart, "key", "left_semi"), "open-buckets")
-            if rows.isEmpty():
-                continue
-            if number or level >= spec.levels:
-                left.append((rows, number + 1))
-                continue
-            # A first split leaves little but pairs near the threshold; of those, small buckets are finished at once.
-            small = slices(1) if level else 2
-            left.append((rows.where(F.col("m") <= small), 1))
-            parts = settle(split_buckets(rows.where(F.col("m") > small), nodes, level, spec), "split-buckets")
-            if not parts.isEmpty():
-                left.append((labelled(parts), 0))
-        turns, level = left, level + 1
-    if labels is None:
-        return nodes.select("node", F.col("node").alias("comp")).limit(0)
-    return labels
+            tried = tried.unionByName(pairs)
+            labels = merged(pairs)
+        rows, number = left.drop("comp"), number + 1
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
