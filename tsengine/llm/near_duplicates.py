@@ -355,18 +355,16 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
 
     tried = settle(centre_pairs(members, spec.percent), "pairs")
     labels = merged(settle(screen(tried, nodes, spec), "screened"))
-    rows = apart(members.where("m > 2").select("key", "node", "n_shingles", "m")).drop("comp")
-    rows = settle(rows.join(nodes.select("node", "sketch"), "node"), "open-buckets")
-    number = 0
-    while True:
-        left = settle(apart(rows.where(F.col("m") > (GROWTH**number if number else 2))), "open-round")
-        if left.isEmpty():
-            return labels
-        pairs = settle(bucket_pairs(left, spec, number).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rows = apart(members.where("m > 2").select("key", "node", "n_shingles", "m"))
+    rows, number = settle(rows.join(nodes.select("node", "sketch"), "node"), "open-buckets"), 0
+    while not rows.isEmpty():
+        pairs = settle(bucket_pairs(rows, spec, number).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
             labels = merged(pairs)
-        rows, number = left.drop("comp"), number + 1
+        number += 1
+        rows = settle(apart(rows.drop("comp").where(F.col("m") > GROWTH**number)), "open-buckets")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
