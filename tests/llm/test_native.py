@@ -128,25 +128,51 @@ def test_draws_use_all_blocks_before_any_again(spark):
     rows = [(i, "s" if i % 2 else "t", 640) for i in range(400)]
     sizes = frame(spark, rows, "doc_id long, source string, size long")
     sources = mixing.targets(sizes)
-    draws = mixing.draw(sources, mixing.Plan(shard=256))
+    counts = mixing.shard_counts(sources, mixing.Plan(shard=256)).cache()
+    draws = mixing.draw(counts).cache()
     n = {r["source_no"]: (r["n_blocks"], r["n_draws"]) for r in sources.collect()}
     for source_no, (blocks, total) in n.items():
         used = [r["times"] for r in draws.where(F.col("source_no") == source_no).groupBy("index").agg(F.count("*").alias("times")).collect()]
         assert sum(used) == total and max(used) == -(-total // blocks) and (total < blocks or len(used) == blocks)
-    counts = mixing.shard_counts(draws).collect()
-    assert {r["shard"] for r in counts} == set(range(-(-sum(t for _, t in n.values()) // 256)))
+    # The draws are those of the shards' counts; every shard but the last is full.
+    shares = {(r["shard"], r["source_no"]): r["n"] for r in counts.collect()}
+    assert shares == {(r["shard"], r["source_no"]): r["count"] for r in draws.groupBy("shard", "source_no").count().collect()}
+    slots = sum(t for _, t in n.values())
+    shards = -(-slots // 256)
+    assert [sum(c for (k, _), c in shares.items() if k == shard) for shard in range(shards)] == [256] * (shards - 1) + [slots - 256 * (shards - 1)]
     for source_no, (_, total) in n.items():
-        shares = [r["n"] for r in counts if r["source_no"] == source_no]
-        mean = total / len({r["shard"] for r in counts})
-        assert all(abs(c - mean) < 6 * mean**0.5 for c in shares)
+        mine = [c for (k, s), c in shares.items() if s == source_no and k < shards - 1]
+        mean = 256 * total / slots
+        assert all(abs(c - mean) < 6 * mean**0.5 for c in mine) and len(set(mine)) > 1
+
+
+def test_draws_are_made_in_many_tasks(spark):
+    """One row a source: what comes of it is spread before it is made, and again before blocks are named."""
+    sources = mixing.targets(frame(spark, [(0, "a", 30_000_000), (1, "b", 900)], "doc_id long, source string, size long"))
+    tasks = mixing.draw(mixing.shard_counts(sources)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 0.7 * sum(r["count"] for r in tasks)
+
+
+def test_a_third_of_all_rows_the_same(spark):
+    same = [(7, "one two three four five", "en", "hot", 0)] * 5_000
+    rows = same + [(None, "x y", "en", "hot", 0)] * 300 + [(i, f"a{i} " * 9, "en", f"s{i % 3}", 0) for i in range(100, 4_000)]
+    table = frame(spark, rows)
+    taken = mixing.taken(table).collect()
+    assert len(taken) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in taken)
+    placed = mixing.place(mixing.sized(table), mixing.targets(mixing.sized(table)))
+    assert placed.count() == 2 + 3_900
+    words = sum(len(r["text"].split()) for r in mixing.mixed_documents(table).collect())
+    assert words == sum(r["taken"] for r in taken)
 
 
 def test_mixed_documents(spark):
     texts = [(i, "\n".join(f"d{i} w{j}  x" for j in range(n)), "en", s, 0) for i, (n, s) in enumerate([(200, "a"), (30, "b"), (400, "c"), (1, "b"), (0, "a")])]
     texts.append(texts[1])
-    table = clashing(frame(spark, texts), "_copy", "times")
+    names = ["_copy", "times", "copy", "row", "key", "mark", "size", "pieces", "chosen", "all_words", "mixed"]
+    table = clashing(frame(spark, texts), *names)
     mixed = mixing.mixed_documents(table)
     assert mixed.columns == table.columns
+    assert all(r[n] == "clash" for r in mixed.collect() for n in names)
     words = {}
     for r in mixed.collect():
         whole = texts[r["doc_id"]][1]

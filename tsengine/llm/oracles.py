@@ -5,8 +5,9 @@ from __future__ import annotations
 from tsengine.llm.common import LOWER, UPPER
 from tsengine.llm.decontamination import Windows
 from tsengine.llm.host_rules import RULES, Limits
-from tsengine.llm.mixing import PRIMES, WEIGHTS, Plan
+from tsengine.llm.mixing import WEIGHTS, Plan
 from tsengine.llm.near_duplicates import Spec
+from tsengine.plans.catalog.fragments import nested, stirred
 from tsengine.llm.url_filter import HOST_WORDS, RULES as URL_RULES, URL
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,13 +152,14 @@ FROM latest
 def mix(plan: Plan = Plan(), seed: int = 17) -> str:
     b = plan.block
     weights = "[" + ", ".join(map(str, WEIGHTS)) + "]"
-    primes = "[" + ", ".join(f"{p}::HUGEINT" for p in PRIMES) + "]"
-    number = "CAST('0x' || substr(md5({}), 1, {}) AS BIGINT)"
-    group_mark = number.format("concat_ws(':', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))", 8)
-    epoch_mark = number.format(f"concat_ws(':', '{seed}', CAST(source_no AS VARCHAR), CAST(epoch AS VARCHAR))", 15)
+    group_mark = "CAST('0x' || substr(mark, 1, 8) AS BIGINT)"
+    stages, place = stirred("x", "a", "b", "key")
+    fields = "source_no, n_blocks, a, b, key"
     return f"""
-WITH sized AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, len({_words("text")}) AS size FROM documents
+WITH RECURSIVE counted AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, len({_words("text")}) AS size, md5(text) AS text_md5 FROM documents
+), sized AS (
+  SELECT *, md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR), text_md5)) AS mark FROM counted
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), numbered AS (
@@ -180,16 +182,17 @@ WITH sized AS (
   SELECT d.*, s.* EXCLUDE (source), {group_mark} % greatest(1, ((SELECT count(*) FROM documents) + {plan.rows - 1}) // {plan.rows}) AS grp
   FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
 ), placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source_no ORDER BY grp, doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+  SELECT *, sum(size) OVER (PARTITION BY source_no ORDER BY grp, mark, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
   FROM grouped
 ), draws AS (
-  SELECT source_no, n_blocks, j % n_blocks AS j, j // n_blocks AS epoch
+  SELECT source_no, n_blocks, j % n_blocks AS x, '{seed}/' || source_no || '/' || (j // n_blocks) AS key, ceil(sqrt(n_blocks::DOUBLE))::BIGINT AS a
   FROM (SELECT source_no, n_blocks, unnest(range(0, n_draws)) AS j FROM sources)
-), marked AS (
-  SELECT *, {epoch_mark} AS mark FROM draws
+), walk AS (
+  SELECT {fields}, {place} AS x, 1 AS times FROM {nested(stages, "(SELECT *, ceil(n_blocks / a)::BIGINT AS b FROM draws)")}
+  UNION ALL
+  SELECT {fields}, {place}, times + 1 FROM {nested(stages, "(SELECT * FROM walk WHERE x >= n_blocks)")}
 ), used AS (
-  SELECT source_no, (j::HUGEINT * ({primes}[mark % {len(PRIMES)} + 1] % n_blocks) + (mark >> 7) % n_blocks) % n_blocks AS idx, count(*) AS times
-  FROM marked GROUP BY ALL
+  SELECT source_no, x AS idx, count(*) AS times FROM walk WHERE x < n_blocks GROUP BY ALL
 ), pieces AS (
   SELECT rid, source_no, idx, least(start + size, (idx + 1) * {b}) - greatest(start, idx * {b}) AS words
   FROM (SELECT rid, source_no, start, size, unnest(range((start // {b})::BIGINT, ((start + size - 1) // {b})::BIGINT + 1)) AS idx
