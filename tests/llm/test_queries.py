@@ -74,21 +74,23 @@ def test_stages(spark, tiny):
 
 
 def test_stages_on_awkward_rows(spark, tiny):
-    names = ["score", "n", "first", "size", "start", "_copy", "text_hash", "pos", "sequence"]
-    rows = [(i, t, "en", f"s{i % 2}", 0) for i, t in enumerate(awkward())]
-    rows += [rows[4]] * 2 + [(None, None, None, None, None), (None, "a text of its own that nothing else here is like", None, None, None)]
+    names = ["score", "n", "first", "size", "start", "_copy", "text_hash", "pos", "sequence", "row", "key", "mark", "_toxicity_score", "_dup_id", "_bad_hash", "_r_key"]
+    long = [(90, " ".join(f"word{i % 7_001}" for i in range(20_000)), "en", "s0", 0), (91, "x" * 1_000_000, "en", "s1", 0)]
+    rows = long + [(i, t, "en", f"s{i % 2}", 0) for i, t in enumerate(awkward())]
+    rows += [rows[len(long) + 4]] * 2 + [(None, None, None, None, None), (None, "a text of its own that nothing else here is like", None, None, None)]
     kept = {}
     for table in (frame(spark, rows), frame(spark, [])):
         full = clashing(table, *names)
         for name, stage in corpus_pipeline.STAGES:
             made = stage(spark, full, tiny)
+            kept[name, bool(table.count())] = [r.asDict() for r in made.collect()]
             if name != "packing":
                 assert made.columns == full.columns
-            kept[name, bool(table.count())] = [r.asDict() for r in made.collect()]
+                assert all(r[n] == "clash" for r in kept[name, bool(table.count())] for n in names)
     assert not any(v for (_, some), v in kept.items() if not some)
     assert len(kept["toxicity", True]) == len(kept["decontamination", True]) == len(rows)
     ids = [r["doc_id"] for r in kept["near_duplicates", True]]
-    assert sorted(i for i in ids if i is not None) == [i for i in range(len(awkward())) if i not in (5, 6)] and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == [i for i in range(len(awkward())) if i not in (5, 6)] + [90, 91] and ids.count(None) == 2
     texts = {i: t for i, t, *_ in rows}
     assert all(r["text"] and (r["doc_id"] is None or set(r["text"].split()) <= set(texts[r["doc_id"]].split())) for r in kept["mixing", True])
     assert sum(len(r["doc_ids"]) for r in kept["packing", True] if r) >= len(rows)

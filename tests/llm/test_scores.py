@@ -24,6 +24,32 @@ def test_folding():
     assert toxicity.folded("ｆｏｏ 2024 x2") == " foo x "
     assert toxicity.folded(None) == toxicity.folded(" \n") == "  "
     assert toxicity.folded("Été élan") == " été élan "
+    assert toxicity.folded("w0rthl355 idio7 sh|t !diot 8itch ba6!") == " worthless idiot shit idiot bitch bag "
+    assert toxicity.readings("1oser") == [" ioser ", " loser "] and toxicity.readings("c1own x") == [" ciown x ", " clown x "]
+    assert toxicity.readings("1 or 11, well!") == [" or well "]
+
+
+def test_hits_are_those_of_a_plain_scan():
+    """Every entry at every place of every reading, one by one."""
+    import random
+
+    draw = random.Random(6)
+    letters = "ab1l "
+    for _ in range(150):
+        lexicon = {" " + "".join(draw.choice("abl ") for _ in range(draw.randrange(1, 4))): float(draw.randrange(1, 9)) for _ in range(6)}
+        exceptions = [" " + "".join(draw.choice("abl") for _ in range(draw.randrange(2, 6))) for _ in range(2)]
+        exceptions = [e for e in exceptions if e not in lexicon]
+        match = toxicity.Matcher(toxicity.Model(lexicon, exceptions))
+        ways = toxicity.readings("".join(draw.choice(letters) for _ in range(40)))
+        wanted = {}
+        for way in ways:
+            spared = [(i, i + len(e) - 1) for e in exceptions for i in range(len(way)) if way.startswith(e, i)]
+            for entry, weight in lexicon.items():
+                for i in range(len(way)):
+                    last = i + len(entry) - 1
+                    if way.startswith(entry, i) and not any(a <= i and last <= b for a, b in spared):
+                        wanted[i] = max(wanted.get(i, 0.0), weight)
+        assert {first: weight for first, _, weight in match.hits(*ways)} == wanted
 
 
 def test_matcher_prefers_the_heaviest_and_spares_exceptions():

@@ -80,6 +80,23 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     return left.join(right, [*on, F.col("_salt") == F.col("_r_salt")], how).drop(*drop, "_salt", "_r_salt")
 
 
+def packed_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``row``, all of the user's columns as one, beside copies of those an operator reads.
+
+    What an operator adds can then have any name; ``unpacked_rows`` undoes it.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
+def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """Whether nothing may be learned from a row: its id has that remainder, or it has no id."""
+    return F.coalesce(fold(doc_id, modulus) == remainder, F.lit(True))
+
+
 def fold(text: Column, modulus: int) -> Column:
     """Remainder of the CRC-32 of an id written as text; NULL ids have none."""
     return F.pmod(F.crc32(text.cast("string").cast("binary")), F.lit(modulus))

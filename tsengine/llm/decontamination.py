@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tsengine.llm.common import join_checked, lower_ascii, settle, split_words
+from tsengine.llm.common import join_checked, lower_ascii, packed_rows, settle, split_words, unpacked_rows
 
 #: Separators of words: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -187,6 +187,6 @@ def contamination(docs: DataFrame, items: DataFrame, spec: Windows = Windows())
 def keep_clean(docs: DataFrame, items: DataFrame, spec: Windows = Windows()) -> DataFrame:
     """Rows of documents without a window of the benchmark, all columns."""
     found = contamination(docs, items, spec).where("contaminated").select(*KEY).distinct()
-    bad = settle(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")), "contaminated")
-    hashed = docs.withColumn("_bad_id", F.col("doc_id")).withColumn("_bad_hash", F.xxhash64("text"))
-    return join_checked(hashed, bad, ["_bad_id", "_bad_hash"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    bad = settle(found, "contaminated")
+    rows = packed_rows(docs, "doc_id", F.xxhash64("text").alias("text_hash"))
+    return unpacked_rows(join_checked(rows, bad, KEY, "left_anti"), docs.columns)

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from tsengine.llm.common import BROADCAST_ROWS, join_checked, settle, small_batches
+from tsengine.llm.common import BROADCAST_ROWS, join_checked, packed_rows, settle, small_batches, unpacked_rows
 from tsengine.llm.shingles import WordHashes, mix, shingle_set
 
 # Task code travels with the job, so executors need not have the package installed.
@@ -398,14 +398,13 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
 def keep_first(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """One row for each component of near duplicates, all columns."""
-    key = ["_dup_id", "_dup_hash"]
-    found = near_duplicates(docs, spec).select(F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1]), "first")
+    key = ["doc_id", "text_hash"]
+    found = near_duplicates(docs, spec).select(*key, "first")
     found = settle(found.groupBy(*key).agg(F.max("first").alias("first"), F.count("*").alias("n")), "dup-decisions")
     gone = settle(found.where("NOT first").select(*key), "dup-gone")
     again = settle(found.where("first AND n > 1").select(*key), "dup-again")
-    columns = [f"`{c}`" for c in docs.columns]
-    hashed = docs.withColumn(key[0], F.col("doc_id")).withColumn(key[1], F.xxhash64("text"))
-    left = join_checked(hashed, gone, key, "left_anti")
+    rows = packed_rows(docs, "doc_id", F.xxhash64("text").alias("text_hash"))
+    left = join_checked(rows, gone, key, "left_anti")
     single = join_checked(left, again, key, "left_anti")
     repeated = join_checked(left, again, key, "left_semi").dropDuplicates(key)
-    return single.select(*columns).unionByName(repeated.select(*columns))
+    return unpacked_rows(single.unionByName(repeated), docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tsengine.llm import context_tree, decontamination, host_rules, line_crf, merkle, mixing, near_duplicates, packing, token_alignment, toxicity, url_filter, warc, wrappers
-from tsengine.llm.common import fold
+from tsengine.llm.common import held_out
 from tsengine.llm.oracles import ORACLES
 from tsengine.session import scratch_path
 
@@ -24,7 +24,7 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, spec = _table(spark, folder, "documents"), line_crf.Spec()
     model = line_crf.learn(docs, _table(spark, folder, "labels"), spec, modulus=4, held=2)
-    scored = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), line_crf.score(F.col("text"), model, spec).alias("score"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), line_crf.score(F.col("text"), model, spec).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= spec.threshold).cast("int"))
 
 
@@ -43,7 +43,7 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, spec = _table(spark, folder, "documents"), toxicity.Spec()
     model = toxicity.learn(docs, _table(spark, folder, "labels"), spec, modulus=5, held=0)
-    scored = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= spec.threshold).cast("int"))
 
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tsengine.llm.common import fold, small_batches
+from tsengine.llm.common import fold, packed_rows, small_batches, unpacked_rows
 
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,13 +45,18 @@ LOOK_ALIKES = {
     "u": "υսｕ", "v": "ѵνｖ", "w": "ԝωｗ", "x": "хχｘ", "y": "уγｙ", "z": "ᴢｚ",
 }
 # Digits and signs that stand for letters, and characters that can't be seen.
-STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+STAND_INS = {
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i",
+}
+# Those that may stand for an l as well.
+TWO_WAYS = {"1": "l", "|": "l"}
 INVISIBLE = "­​‌‍⁠﻿"
 
 _FOLDED = str.maketrans({c: k for k, v in LOOK_ALIKES.items() for c in v} | dict.fromkeys(INVISIBLE))
 _FOREIGN = re.compile(f"[{''.join(LOOK_ALIKES.values())}{INVISIBLE}]")
-_STOOD_IN = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])|(?<![^\W])[013457@$]+(?=[^\W\d_])")
-_LETTERS = str.maketrans(STAND_INS)
+# After a letter to the word's end, or before a letter at its beginning; a mark such as "!" only before a letter.
+_STOOD_IN = re.compile(r"(?<=[^\W\d_])(?:[013456789@$!|]+(?=[^\W\d_])|[013456789@$]+)|(?<![^\W])[013456789@$!|]+(?=[^\W\d_])")
+_LETTERS, _OTHERS = str.maketrans(STAND_INS), str.maketrans(STAND_INS | TWO_WAYS)
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -76,13 +81,22 @@ class Model:
     coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
-def folded(text: str | None) -> str:
-    """Words of folded letters with a blank before and after each."""
+def readings(text: str | None) -> list[str]:
+    """Words of folded letters with a blank before and after each; two of them, equally long, where a sign can be read two ways."""
     low = (text or "").lower()
     if _FOREIGN.search(low):
         low = low.translate(_FOLDED)
-    low = _STOOD_IN.sub(lambda m: m[0].translate(_LETTERS), low)
-    return f" {_GAP.sub(' ', low).strip()} "
+    ways = [_STOOD_IN.sub(lambda m: m[0].translate(_LETTERS), low)]
+    if any(c in low for c in TWO_WAYS):
+        ways.append(_STOOD_IN.sub(lambda m: m[0].translate(_OTHERS), low))
+        if ways[0] == ways[1]:
+            ways.pop()
+    return [f" {_GAP.sub(' ', way).strip()} " for way in ways]
+
+
+def folded(text: str | None) -> str:
+    """The first reading of a text."""
+    return readings(text)[0]
 
 
 class Matcher:
@@ -97,28 +111,33 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """First and last position, and weight, of the heaviest entry at each place where entries begin."""
-        if not len(self.automaton):
-            return []
+    def hits(self, *texts: str) -> list[tuple[int, int, float]]:
+        """First and last position, and weight, of the heaviest entry at each place where entries begin, in any reading.
+
+        An entry inside an exception phrase of the same reading doesn't count.
+        """
         best: dict[int, tuple[int, float]] = {}
-        spared = []
-        for last, (size, weight) in self.automaton.iter(text):
-            first = last - size + 1
-            if not weight:
-                spared.append((first, last))
-            elif first not in best or weight > best[first][1]:
-                best[first] = (last, weight)
-        found = [(first, last, weight) for first, (last, weight) in best.items()]
-        if spared:
-            found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b in spared)]
-        return found
+        for text in texts if len(self.automaton) else ():
+            spared, found = [], []
+            for last, (size, weight) in self.automaton.iter(text):
+                (found if weight else spared).append((last - size + 1, last, weight))
+            spared.sort()
+            found.sort()
+            # Both ascend: the phrase that reaches furthest, of those that begin no later, is the one that can hold the entry.
+            at, reach = 0, -1
+            for first, last, weight in found:
+                while at < len(spared) and spared[at][0] <= first:
+                    reach = max(reach, spared[at][1])
+                    at += 1
+                if last > reach and (first not in best or weight > best[first][1]):
+                    best[first] = (last, weight)
+        return [(first, last, weight) for first, (last, weight) in best.items()]
 
     def facts(self, text: str | None) -> tuple[float, float]:
         """Log of the weight of all hits, and weight by the length of the text."""
-        low = folded(text)
-        weight = sum(h[2] for h in self.hits(low))
-        return math.log1p(weight), weight / math.sqrt(low.count(" "))
+        ways = readings(text)
+        weight = sum(h[2] for h in self.hits(*ways))
+        return math.log1p(weight), weight / math.sqrt(ways[0].count(" "))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int) -> DataFrame:
@@ -246,6 +265,5 @@ def score(text: Column, model: Model) -> Column:
 def keep_clean(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """Rows of documents that aren't toxic, all columns."""
     model = learn(docs, labels, spec)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    scored = docs.select(*kept, score(F.col("text"), model).alias("_toxicity_score"))
-    return scored.where(F.col("_toxicity_score") < spec.threshold).drop("_toxicity_score")
+    scored = packed_rows(docs, "text").withColumn("score", score(F.col("text"), model))
+    return unpacked_rows(scored.where(F.col("score") < spec.threshold), docs.columns)
