@@ -35,6 +35,7 @@ import pickle
 import re
 import sys
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -213,12 +214,19 @@ class Groups:
         return cls(*(np.concatenate(v) for v in zip(*(p.parts() for p in parts)))) if parts else cls(*(np.empty(0, np.int64) for _ in range(5)))
 
 
+def merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of two ascending arrays together, each once, and those that are in both."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    again = both[1:] == both[:-1]
+    return both[np.concatenate([[True], ~again])[: len(both)]], both[1:][again]
+
+
 def closed(run: Run, width: int) -> Groups:
     """Groups of a run that begins and ends at common ends; ``width`` is the number of B's ids."""
-    common = np.intersect1d(run.a_ends, run.b_ends, assume_unique=True)
+    ends, common = merged(run.a_ends, run.b_ends)
     a_sizes = np.diff(np.searchsorted(run.a_ends, common, "right"), prepend=0)
     b_sizes = np.diff(np.searchsorted(run.b_ends, common, "right"), prepend=0)
-    ends = np.union1d(run.a_ends, run.b_ends)
     links = run.a[np.searchsorted(run.a_ends, ends)] * width + run.b[np.searchsorted(run.b_ends, ends)]
     return Groups(run.a, run.b, a_sizes, b_sizes, links)
 
@@ -237,7 +245,7 @@ class Fragment:
 
 
 def fragment(run: Run, width: int) -> Fragment:
-    common = np.intersect1d(run.a_ends, run.b_ends, assume_unique=True)
+    _, common = merged(run.a_ends, run.b_ends)
     if not len(common):
         return Fragment(True, run, None, empty_run())
     first, last = int(common[0]), int(common[-1])
@@ -317,7 +325,7 @@ def _row(doc_id, groups: Groups | None, pair: Pair, spans: bool):
 def _ranges(ids: list[list[int]], sizes: np.ndarray):
     """Ids of several texts in one array, and where each text's ids begin and all end."""
     bounds = np.cumsum([0, *map(len, ids)])
-    flat = np.fromiter((i for v in ids for i in v), np.int64, bounds[-1])
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, bounds[-1])
     return flat, np.cumsum(sizes[flat]), bounds
 
 
@@ -330,10 +338,9 @@ def _batch(rows: list[tuple], pair: Pair, spans: bool):
         a, a_ends, a_bounds = _ranges([f[0] for f in good], pair.a_sizes)
         b, b_ends, b_bounds = _ranges([f[1] for f in good], pair.b_sizes)
         groups = closed(Run(a, a_ends, b, b_ends), len(pair.b.bytes))
-        a_done, links_done = np.cumsum(groups.a_sizes), np.union1d(a_ends, b_ends)
-        text_ends = a_ends[a_bounds[1:] - 1]
-        g = np.concatenate([[0], np.searchsorted(a_done, a_bounds[1:], "left") + 1])
-        links = np.concatenate([[0], np.searchsorted(links_done, text_ends, "right")])
+        g = np.concatenate([[0], np.searchsorted(np.cumsum(groups.a_sizes), a_bounds[1:], "left") + 1])
+        # A link ends wherever a token ends, and both end at once where a group does.
+        links = a_bounds + b_bounds - g
 
         def parts():
             for i in range(len(good)):
