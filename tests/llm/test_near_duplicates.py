@@ -108,3 +108,43 @@ def test_minima_are_those_of_the_hashes():
     x = [int(v ^ (v >> np.uint64(32))) & 0xFFFFFFFF for v in values]
     wanted = [min((int(m) * v + int(c)) % 2**32 for v in x) for m, c in zip(a.ravel(), b.ravel())]
     assert list(nd.minima(values, a, b, step=2)) == wanted
+
+
+def test_rounds_lose_no_pair():
+    """Every pair that passes the sketch is sent in some round, however components grow in between."""
+    draw = np.random.default_rng(3)
+    n = 60
+    node, comp = np.arange(n) * 7, draw.integers(0, 12, n)
+    i, j = (v for v in np.nonzero(np.triu(draw.random((n, n)) < 0.4, 1)))
+    apart = draw.integers(0, 9, len(i))
+    sent, number = set(), 0
+    while True:
+        open_ = comp[i] != comp[j]
+        rank = nd.ranked(i[open_], j[open_], apart[open_], comp, node)
+        most = nd.FIRST * nd.GROWTH**number
+        sent |= {(a, b) for a, b in zip(i[open_][rank < most], j[open_][rank < most])}
+        assert all(np.bincount(np.concatenate([i[open_][rank < most], j[open_][rank < most]]), minlength=n) <= n)
+        if not (rank >= most).any():
+            break
+        comp[comp == comp[i[0]]] = comp[j[0]]
+        number += 1
+    assert {(a, b) for a, b in zip(i, j) if comp[a] != comp[b]} <= sent
+
+
+def test_similar_is_all_pairs():
+    """Blocks, sizes and sides against a plain double loop."""
+    draw = np.random.default_rng(4)
+    for side_of in (lambda k: -1, lambda k: k % 2):
+        n = np.sort(draw.integers(5, 40, 90))
+        comp, side = draw.integers(0, 6, 90), np.array([side_of(k) for k in range(90)])
+        least = draw.integers(0, 4, (90, 64)).astype(np.uint32)
+        least[30:60] = least[0]
+        least[30:60, draw.integers(0, 64, 20)] ^= 1
+        words = np.frombuffer(b"".join(map(nd.sketch, least)), "<u8").reshape(90, -1)
+        i, j, apart = nd.similar(n, comp, words, side, 80, 20)
+        wanted = {
+            (a, b): int((least[a] != least[b]).sum())
+            for a in range(90) for b in range(a + 1, 90)
+            if comp[a] != comp[b] and 100 * n[a] >= 80 * n[b] and (side[a] < 0 or side[a] != side[b]) and (least[a] != least[b]).sum() <= 20
+        }
+        assert {(a, b): d for a, b, d in zip(i, j, apart)} == wanted and wanted

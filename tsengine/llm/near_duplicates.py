@@ -154,8 +154,8 @@ def centre_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-#: A round sends on this many times as many of a member's pairs as the round before.
-GROWTH = 8
+#: Pairs that a round sends on for each member of a bucket, and how many times as many the next one does.
+FIRST, GROWTH = 4, 8
 #: Pairs of sketches that are compared at once.
 AT_ONCE = 1 << 17
 ODD_BITS = np.uint64(0x5555555555555555)
@@ -166,7 +166,7 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
 
     ``side`` tells the two blocks of a pair apart; it is NULL where all members meet all.
     """
-    columns = ["node", "n_shingles", "comp", "sketch"]
+    columns = [F.col("key").alias("origin"), "node", "n_shingles", "comp", "sketch"]
     small = rows.where(F.col("m") <= block).select("key", F.lit(None).cast("boolean").alias("side"), *columns)
     parts = F.ceil(2 * F.col("m") / block).cast("int")
     large = rows.where(F.col("m") > block).withColumn("_own", F.pmod(F.xxhash64("node"), parts).cast("int"))
@@ -200,21 +200,32 @@ def similar(n: np.ndarray, comp: np.ndarray, words: np.ndarray, side: np.ndarray
     return tuple(np.concatenate(v) for v in zip(*found))
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Place of each element in its run of equal values."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([np.diff(c) != 0 for c in columns], axis=0)
+    starts = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(starts, np.diff(np.append(starts, len(new))))
+
+
 def ranked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """For each pair the better of its two ranks among a member's pairs into the other's component."""
+    """For each pair the better of its two ranks among a member's pairs: the best of each component first."""
     asker, other, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
     order = np.lexsort((node[other], score, comp[other], asker))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(asker[order]) != 0) | (np.diff(comp[other[order]]) != 0)
-    starts = np.flatnonzero(new)
+    within = np.empty(len(order), np.int64)
+    within[order] = _runs(asker[order], comp[other[order]])
+    order = np.lexsort((node[other], score, within, asker))
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    rank[order] = _runs(asker[order])
     return np.minimum(rank[: len(i)], rank[len(i) :])
 
 
 def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
-    """Candidates of a round out of whole buckets; ``rows``: key, node, n_shingles, comp, m, sketch."""
-    low, high = (0 if number == 0 else GROWTH**number), GROWTH ** (number + 1)
+    """Candidates ``a``, ``b`` of a round, and the ``key`` of buckets that have more to send.
+
+    ``rows``: key, node, n_shingles, comp, m, sketch. Pairs of earlier rounds come again.
+    """
+    most = FIRST * GROWTH**number
 
     def one(group: pd.DataFrame):
         group = group.sort_values("n_shingles", kind="stable")
@@ -222,11 +233,12 @@ def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
         words = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(len(group), -1)
         side = group["side"].astype("float").fillna(-1).to_numpy(np.int64)
         i, j, apart = similar(n, comp, words, side, spec.percent, spec.differing)
-        if len(group) > GROWTH and len(i):
-            rank = ranked(i, j, apart, comp, node)
-            keep = (rank >= low) & (rank < high)
+        more = False
+        if len(group) > most + 1 and len(i):
+            keep = ranked(i, j, apart, comp, node) < most
+            more = not keep.all()
             i, j = i[keep], j[keep]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -241,17 +253,21 @@ def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
             yield from pairs_of(held)
 
     def pairs_of(rows: pd.DataFrame):
-        bounds = np.flatnonzero(np.diff(rows["key"].to_numpy(), prepend=0, append=0) != 0) if len(rows) else []
-        bounds = [0, *[int(v) for v in bounds if 0 < v < len(rows)], len(rows)]
-        made = [one(rows.iloc[x:y]) for x, y in zip(bounds, bounds[1:]) if y - x > 1]
+        keys = rows["key"].to_numpy()
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(rows)]
+        made = [(*one(rows.iloc[x:y]), rows["origin"].iloc[x]) for x, y in zip(bounds, bounds[1:]) if y - x > 1]
         if made:
-            a, b = (np.concatenate(v) for v in zip(*made))
+            a, b = (np.concatenate([m[k] for m in made]) for k in (0, 1))
             if len(a):
-                yield pd.DataFrame({"a": a, "b": b})
+                yield pd.DataFrame({"a": a, "b": b, "key": pd.array([None] * len(a), "Int64")})
+            more = [m[3] for m in made if m[2]]
+            if more:
+                none = pd.array([None] * len(more), "Int64")
+                yield pd.DataFrame({"a": none, "b": none, "key": more})
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = in_blocks(rows, spec.block).repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    return dealt.mapInPandas(compare, "a long, b long, key long")
 
 
 def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -358,12 +374,15 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
     rows = apart(members.where("m > 2").select("key", "node", "n_shingles", "m"))
     rows, number = settle(rows.join(nodes.select("node", "sketch"), "node"), "open-buckets"), 0
     while not rows.isEmpty():
-        pairs = settle(bucket_pairs(rows, spec, number).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = settle(bucket_pairs(rows, spec, number), "found")
+        pairs = settle(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
             labels = merged(pairs)
-        number += 1
-        rows = settle(apart(rows.drop("comp").where(F.col("m") > GROWTH**number)), "open-buckets")
+        more = found.where("key is not null").select("key").distinct()
+        if more.isEmpty():
+            return labels
+        rows, number = settle(apart(rows.drop("comp").join(more, "key", "left_semi")), "open-buckets"), number + 1
     return labels
 
 
