@@ -114,21 +114,35 @@ def test_rounds_lose_no_pair():
     """Every pair that passes the sketch is sent in some round, however components grow in between."""
     draw = np.random.default_rng(3)
     n = 60
-    node, comp = np.arange(n) * 7, draw.integers(0, 12, n)
-    i, j = (v for v in np.nonzero(np.triu(draw.random((n, n)) < 0.4, 1)))
+    node, comp = np.arange(n) * 7, draw.integers(0, 4, n)
+    i, j = np.nonzero(np.triu(draw.random((n, n)) < 0.9, 1))
     apart = draw.integers(0, 9, len(i))
-    sent, number = set(), 0
+    sent, number = [], 0
     while True:
         open_ = comp[i] != comp[j]
         rank = nd.ranked(i[open_], j[open_], apart[open_], comp, node)
-        most = nd.FIRST * nd.GROWTH**number
-        sent |= {(a, b) for a, b in zip(i[open_][rank < most], j[open_][rank < most])}
-        assert all(np.bincount(np.concatenate([i[open_][rank < most], j[open_][rank < most]]), minlength=n) <= n)
-        if not (rank >= most).any():
+        low, high = nd.GROWTH**number if number else 0, nd.GROWTH ** (number + 1)
+        now = (rank >= low) & (rank < high)
+        sent += list(zip(i[open_][now], j[open_][now]))
+        if not (rank >= high).any():
             break
-        comp[comp == comp[i[0]]] = comp[j[0]]
+        comp[comp == 3] = 2
         number += 1
-    assert {(a, b) for a, b in zip(i, j) if comp[a] != comp[b]} <= sent
+    assert number
+    assert {(a, b) for a, b in zip(i, j) if comp[a] != comp[b]} <= set(sent)
+
+
+def test_a_pair_belongs_to_one_band():
+    draw = np.random.default_rng(5)
+    bands = draw.integers(0, 2, (40, 6))
+    i, j = np.nonzero(np.triu(np.ones((40, 40), bool), 1))
+    owned = {}
+    for band in range(6):
+        same = bands[i, band] == bands[j, band]
+        for pair in zip(i[same][nd.own_pairs(i[same], j[same], bands, band)], j[same][nd.own_pairs(i[same], j[same], bands, band)]):
+            owned.setdefault(pair, []).append(band)
+    assert all(len(v) == 1 for v in owned.values())
+    assert set(owned) == {(a, b) for a, b in zip(i, j) if (bands[a] == bands[b]).any()}
 
 
 def test_similar_is_all_pairs():

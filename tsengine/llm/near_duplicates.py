@@ -154,8 +154,8 @@ def centre_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-#: Pairs that a round sends on for each member of a bucket, and how many times as many the next one does.
-FIRST, GROWTH = 4, 8
+#: Pairs that the first round sends on for a member and another component; each round goes that many times as far.
+GROWTH = 8
 #: Pairs of sketches that are compared at once.
 AT_ONCE = 1 << 17
 ODD_BITS = np.uint64(0x5555555555555555)
@@ -166,7 +166,7 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
 
     ``side`` tells the two blocks of a pair apart; it is NULL where all members meet all.
     """
-    columns = [F.col("key").alias("origin"), "node", "n_shingles", "comp", "sketch"]
+    columns = [F.col("key").alias("origin"), "node", "n_shingles", "comp", "sketch", "bands"]
     small = rows.where(F.col("m") <= block).select("key", F.lit(None).cast("boolean").alias("side"), *columns)
     parts = F.ceil(2 * F.col("m") / block).cast("int")
     large = rows.where(F.col("m") > block).withColumn("_own", F.pmod(F.xxhash64("node"), parts).cast("int"))
@@ -209,23 +209,30 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def ranked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """For each pair the better of its two ranks among a member's pairs: the best of each component first."""
+    """For each pair the better of its two ranks among a member's pairs into the other's component.
+
+    As components grow a rank never falls, so what one round leaves out a later one finds;
+    it may rise, so a pair can come twice.
+    """
     asker, other, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
     order = np.lexsort((node[other], score, comp[other], asker))
-    within = np.empty(len(order), np.int64)
-    within[order] = _runs(asker[order], comp[other[order]])
-    order = np.lexsort((node[other], score, within, asker))
     rank = np.empty(len(order), np.int64)
-    rank[order] = _runs(asker[order])
+    rank[order] = _runs(asker[order], comp[other[order]])
     return np.minimum(rank[: len(i)], rank[len(i) :])
 
 
+def own_pairs(i: np.ndarray, j: np.ndarray, bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs agree in no band before ``band``."""
+    earlier = [(bands[i[at : at + AT_ONCE], :band] == bands[j[at : at + AT_ONCE], :band]).any(axis=1) for at in range(0, len(i), AT_ONCE)]
+    return ~np.concatenate(earlier) if earlier else np.ones(0, bool)
+
+
 def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
     """Candidates ``a``, ``b`` of a round, and the ``key`` of buckets that have more to send.
 
-    ``rows``: key, node, n_shingles, comp, m, sketch. Pairs of earlier rounds come again.
+    ``rows``: key, node, n_shingles, comp, m, sketch, bands.
     """
-    most = FIRST * GROWTH**number
+    low, high = GROWTH**number if number else 0, GROWTH ** (number + 1)
 
     def one(group: pd.DataFrame):
         group = group.sort_values("n_shingles", kind="stable")
@@ -234,9 +241,15 @@ def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
         side = group["side"].astype("float").fillna(-1).to_numpy(np.int64)
         i, j, apart = similar(n, comp, words, side, spec.percent, spec.differing)
         more = False
-        if len(group) > most + 1 and len(i):
-            keep = ranked(i, j, apart, comp, node) < most
-            more = not keep.all()
+        if len(i):
+            bands = np.stack(group["bands"].to_numpy())
+            band = int(np.argmax(bands[0] == group["origin"].iloc[0]))
+            own = own_pairs(i, j, bands, band)
+            i, j, apart = i[own], j[own], apart[own]
+        if len(i):
+            rank = ranked(i, j, apart, comp, node)
+            more = bool((rank >= high).any())
+            keep = (rank >= low) & (rank < high)
             i, j = i[keep], j[keep]
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more
 
@@ -363,26 +376,26 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
         every = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         return connected(every).select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
-    def apart(rows: DataFrame) -> DataFrame:
-        """Buckets that hold two components, with the component of each member."""
+    def apart(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """Buckets that hold two components (those of ``among``), with the component of each member."""
         named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high")
-        return named.join(open_.select("key"), "key", "left_semi")
+        open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
+        return named.join(open_ if among is None else open_.join(among, "key"), "key", "left_semi")
 
     tried = settle(centre_pairs(members, spec.percent), "pairs")
     labels = merged(settle(screen(tried, nodes, spec), "screened"))
     rows = apart(members.where("m > 2").select("key", "node", "n_shingles", "m"))
-    rows, number = settle(rows.join(nodes.select("node", "sketch"), "node"), "open-buckets"), 0
+    rows, number = settle(rows.join(nodes.select("node", "sketch", "bands"), "node"), "open-buckets"), 0
     while not rows.isEmpty():
         found = settle(bucket_pairs(rows, spec, number), "found")
-        pairs = settle(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = settle(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
             labels = merged(pairs)
         more = found.where("key is not null").select("key").distinct()
         if more.isEmpty():
-            return labels
-        rows, number = settle(apart(rows.drop("comp").join(more, "key", "left_semi")), "open-buckets"), number + 1
+            break
+        rows, number = settle(apart(rows.drop("comp"), more), "open-buckets"), number + 1
     return labels
 
 
