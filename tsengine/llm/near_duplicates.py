@@ -209,7 +209,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def ranked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """For each pair the better of its two ranks among a member's pairs into the other's component.
+    """For each pair the worse of its two ranks among a member's pairs into the other's component.
 
     As components grow a rank never falls, so what one round leaves out a later one finds;
     it may rise, so a pair can come twice.
@@ -218,7 +218,7 @@ def ranked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray, no
     order = np.lexsort((node[other], score, comp[other], asker))
     rank = np.empty(len(order), np.int64)
     rank[order] = _runs(asker[order], comp[other[order]])
-    return np.minimum(rank[: len(i)], rank[len(i) :])
+    return np.maximum(rank[: len(i)], rank[len(i) :])
 
 
 def own_pairs(i: np.ndarray, j: np.ndarray, bands: np.ndarray, band: int) -> np.ndarray:
