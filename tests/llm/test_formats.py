@@ -169,6 +169,43 @@ def test_layout_around_an_article_does_not_bar_it(around, inner):
     assert wanted in wrappers.main_text(f"<html><body>{around}<article>{body}</article>{'</div>' * 2}</form>{side}</body></html>", None)
 
 
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<h2>References</h2><ul><li><a href=/1>First title</a></li><li><a href=/2>Second title</a></li></ul>", "References First title Second title"),
+        ("<div><a href=/1>One study</a> and <a href=/2>another</a></div>", "One study and another"),
+        ("<ol class=footnotes><li><a href=/1>Source</a></li></ol>", "Source"),
+        ("<p class=teaser>The lead paragraph</p>", "The lead paragraph"),
+        ("<div class=legal>What the law says</div>", "What the law says"),
+        ("<div class=more-links><a href=/1>Read on</a> <a href=/2>and on</a></div>", ""),
+        ("<div class=newsletter>Sign up now</div><div class=related-posts><a href=/x>Other</a></div>", ""),
+    ],
+)
+def test_article_keeps_its_own_parts(spark, part, text):
+    draw = random.Random(9)
+    prose = [" ".join(f"w{draw.randrange(99)}" for _ in range(25)) for _ in range(12)]
+    rows = [(i, "http://own.example/a", page("T", f"<p>{t}</p>{part if i in (1, 3) else ''}")) for i, t in enumerate(prose)]
+    made = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame(spark, rows, PAGES)).collect()}
+    assert made == {i: " ".join(["T", t, text if i in (1, 3) else ""]).strip() for i, t in enumerate(prose)}
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    draw = random.Random(2)
+    for _ in range(200):
+        xs, ys = (["".join(draw.choice("abcd")) for _ in range(draw.randrange(9))] for _ in range(2))
+        table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        make = lambda labels, mark: [wrappers.Node(x, 1, False, 0, 0, 0, [], (mark, k)) for k, x in enumerate(labels)]
+        before, wrappers.fold_repeats = wrappers.fold_repeats, list
+        try:
+            made = wrappers.align(make(xs, 1), make(ys, 2))
+        finally:
+            wrappers.fold_repeats = before
+        assert sum(n.pages == 2 for n in made) == table[-1][-1] and len(made) == len(xs) + len(ys) - table[-1][-1]
+
+
 def revisits(pages, least=1000):
     last = {}
     for page_id, _, html in pages:

@@ -13,8 +13,10 @@ What the wrapper knows of a slot (place, names, text that varies over pages, sha
 links) decides which part is the article. These decisions are a short list of paths,
 joined back to the pages by host. A text that recurs is the template's only next to
 articles that differ, copies of a page count once; lists of links are left out page
-by page. Names such as ``sidebar``, and forms, bar what they stand on unless that is
-the layout around the article.
+by page, but inside an ``article`` only those with a name that doesn't tell of
+references. Names such as ``sidebar``, and forms, bar what they stand on unless that is
+the layout around the article; ``teaser``, ``legal`` and the like don't bar inside an
+``article``, where they mark its lead or its notes.
 
 Defined results: NULL and empty html give an empty text; pages without a host form a
 host of their own; a page that holds none of its host's article paths is decided on
@@ -42,7 +44,8 @@ from tsengine.llm.common import join_checked, settle, small_batches
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Elements that make a block, hold nothing, or are no part of an article by their kind.
+# Elements that make a block, hold nothing, or are no part of an article by their kind; names that
+# bar, those of them that don't inside an article, names of an article's lists of links.
 BLOCKS = frozenset(
     "html head body main article section div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6"
     " header footer nav aside form fieldset blockquote pre figure figcaption address details summary dialog menu hgroup"
@@ -63,6 +66,8 @@ OUTSIDE_NAMES = frozenset(
     " popup modal overlay toolbar pagination pager copyright legal skip teaser".split()
 )
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+ARTICLE_NAMES = frozenset("teaser legal search skip copyright alert".split())
+CITED_NAMES = frozenset("reference references ref refs reflist citation citations cite bibliography source sources footnote footnotes note notes".split())
 INSIDE_NAMES = frozenset("article content story entry post body main text".split())
 # Elements that hold an article's own words even where they recur, those that do so without a name, and lists.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre".split())
@@ -235,6 +240,13 @@ def align(xs: list[Node], ys: list[Node], siblings: bool = False) -> list[Node]:
     kx, ky = [n.key() for n in xs], [n.key() for n in ys]
     if kx == ky:
         return [combine(x, y, siblings) for x, y in zip(xs, ys)]
+    # What both begin and end with needs no table.
+    same = next((i for i, (x, y) in enumerate(zip(kx, ky)) if x != y), min(len(kx), len(ky)))
+    most = min(len(kx), len(ky)) - same
+    tail = next((i for i in range(most) if kx[-1 - i] != ky[-1 - i]), most)
+    first = [combine(x, y, siblings) for x, y in zip(xs[:same], ys[:same])]
+    last = [combine(x, y, siblings) for x, y in zip(xs[len(xs) - tail :], ys[len(ys) - tail :])]
+    xs, ys, kx, ky = (z[same : len(z) - tail] for z in (xs, ys, kx, ky))
     n, m = len(xs), len(ys)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -251,7 +263,7 @@ def align(xs: list[Node], ys: list[Node], siblings: bool = False) -> list[Node]:
         else:
             out.append(ys[j])
             j += 1
-    return fold_repeats(out + xs[i:] + ys[j:])
+    return fold_repeats(first + out + xs[i:] + ys[j:] + last)
 
 
 def tree_of(block: Block, seen: tuple[int, ...] = ()) -> Node:
@@ -273,14 +285,19 @@ def _names(label: str) -> set[str]:
     return {w.lower() for w in _NAME.findall(re.split(r"[.#@]", label, maxsplit=1)[1])} if re.search(r"[.#@]", label) else set()
 
 
-def bar_of(label: str, in_article: bool) -> int:
+#: Where an element stands: inside a container, inside an ``article``.
+CONTAINED, IN_ARTICLE = 1, 2
+
+
+def bar_of(label: str, place: int) -> int:
     """2 if an element is no part of an article by its kind, 1 if by its names or as a form, else 0."""
     tag = re.split(r"[.#@]", label, maxsplit=1)[0]
-    if tag in OUTSIDE and tag != "form" and not (tag == "header" and in_article):
+    if tag in OUTSIDE and tag != "form" and not (tag == "header" and place):
         return 2
     if "@" in label and label.rsplit("@", 1)[1] in OUTSIDE_ROLES:
         return 2
-    return int(tag == "form" or (bool(_names(label) & OUTSIDE_NAMES) and tag not in ("html", "body", "main")))
+    names = OUTSIDE_NAMES - ARTICLE_NAMES if place == IN_ARTICLE else OUTSIDE_NAMES
+    return int(tag == "form" or (bool(_names(label) & names) and tag not in ("html", "body", "main")))
 
 
 def inside(label: str) -> int:
@@ -306,7 +323,7 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
 
     def articles(node: Node) -> float:
         """Text of the article and main elements under no bar."""
-        if node.label and bar_of(node.label, False):
+        if node.label and bar_of(node.label, 0):
             return 0.0
         return texts[id(node)] if inside(node.label) >= 2 else sum(map(articles, node.children))
 
@@ -314,25 +331,26 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
     # Names and forms bar for good where an article lies free of them.
     named_only = articles(wrapper) < 0.1 * whole
 
-    def visit(node: Node, path: str, barred: int, article: bool, around: float) -> float:
+    def visit(node: Node, path: str, barred: int, place: int, around: float) -> float:
         here = path
         if node.label:
             here = f"{path}>{node.label}"
-            own = bar_of(node.label, article)
+            own = bar_of(node.label, place)
             if own == 1 and _wraps(node, texts[id(node)], around):
                 own = 0
             sure = inside(node.label) >= 2
             barred = 0 if sure and not own and barred == 1 and named_only else max(barred, own)
-            article, around = article or sure, texts[id(node)] if sure and not barred else around
+            place = max(place, IN_ARTICLE if inside(node.label) == 3 else CONTAINED if sure else 0)
+            around = texts[id(node)] if sure and not barred else around
             nodes.setdefault(here, []).append(node)
         value = 0.0 if barred else max(0.0, node.chars - 2.0 * node.links)
-        value += sum(visit(c, here, barred, article, around) for c in node.children)
+        value += sum(visit(c, here, barred, place, around) for c in node.children)
         if node.label and not barred:
             worth[here] = worth.get(here, 0.0) + value
             marks[here] = inside(node.label)
         return value
 
-    total = visit(wrapper, "", 0, False, whole if named_only else math.inf)
+    total = visit(wrapper, "", 0, 0, whole if named_only else math.inf)
     if not total:
         return {"in": [], "out": []}
     best: list[str] = []
@@ -355,7 +373,8 @@ def decide(wrapper: Node) -> dict[str, list[str]]:
     barred = []
     for path, found in sorted(below.items()):
         label = path.rsplit(">", 1)[1]
-        own, held = bar_of(label, True), max(sum(texts[id(n)] for n in nodes[b]) for b in best if path.startswith(b + ">"))
+        place = IN_ARTICLE if any(inside(x) == 3 for x in path.split(">")[1:-1]) else CONTAINED
+        own, held = bar_of(label, place), max(sum(texts[id(n)] for n in nodes[b]) for b in best if path.startswith(b + ">"))
         if own == 1 and any(_wraps(n, texts[id(n)], held) for n in found):
             own = 0
         if own or varied and _fixed(label, found, wrapper):
@@ -367,7 +386,7 @@ def _wraps(node: Node, text: float, whole: float) -> bool:
     """Does an element hold what it would bar: nearly all text, or most of it and what only an article has?"""
 
     def holds(below: Node) -> bool:
-        if below is not node and below.label and bar_of(below.label, True):
+        if below is not node and below.label and bar_of(below.label, CONTAINED):
             return False
         return bool(below.label) and (below.label.startswith("h1") or inside(below.label) > 0) or any(map(holds, below.children))
 
@@ -404,12 +423,17 @@ def link_lists(root: Block) -> set[int]:
     return found
 
 
+def _own_list(label: str) -> bool:
+    """May a list of links be an article's own: has it no name, or one that tells of references?"""
+    return not re.search(r"[.#@]", label) or bool(_names(label) & CITED_NAMES)
+
+
 def extract(root: Block, rules: dict[str, list[str]]) -> str | None:
     """Text below the containers without the barred parts; None if the page has no container."""
     containers, barred, pieces, met = set(rules["in"]), set(rules["out"]), [], False
     listed = link_lists(root)
 
-    def walk(block: Block, path: str, on: bool) -> None:
+    def walk(block: Block, path: str, on: bool, article: bool) -> None:
         nonlocal met
         for part in block.parts:
             if isinstance(part, str):
@@ -419,15 +443,15 @@ def extract(root: Block, rules: dict[str, list[str]]) -> str | None:
             here = f"{path}>{part.label}"
             take = on or here in containers
             met = met or take
-            if here in barred or (on and id(part) in listed):
+            if here in barred or (on and id(part) in listed and not (article and _own_list(part.label))):
                 take = False
             pieces.append(" ")
-            walk(part, here, take)
+            walk(part, here, take, take and (article or inside(part.label) == 3))
             pieces.append(" ")
 
     top = f">{root.label}"
     met = top in containers
-    walk(root, top, met)
+    walk(root, top, met, False)
     return " ".join("".join(pieces).split()) if met else None
 
 
