@@ -250,3 +250,15 @@ def test_records_and_empty_archives(spark):
     path = scratch_path(spark, "none")
     warc.write_archive(warc.resolve_revisits(warc.headers(frame(spark, [], PAGES))), path)
     assert warc.read_archive(spark, path).count() == 0
+
+
+def test_archives_hold_as_many_records_as_fit(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1_000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 2_000)
+    pages = [(i, f"http://a/{i}", f"{i:04}" + "x" * size) for i, size in enumerate([10] * 50 + [500] * 9 + [5_000] * 3 + [96, 97, 996, 997])]
+    path = scratch_path(spark, "rolled")
+    warc.write_archive(warc.resolve_revisits(warc.headers(frame(spark, pages, PAGES).coalesce(1))), path)
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path + "/*.gz").collect()]
+    sizes = [sum(int(fields["X-Payload-Length"]) for fields, _ in warc.parse_records(gzip.decompress(f))) for f in files]
+    assert len(files) == 3 + 6 + 4 and all(size <= 2_000 or size >= 5_000 for size in sizes)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read_archive(spark, path).collect()) == [(i, len(t)) for i, _, t in pages]

@@ -1,8 +1,11 @@
 """WARC archives with revisits instead of repeated payloads.
 
 Records are WARC/1.1, one after the other in gzip files that Spark's text writer
-makes: a record ends with CRLF CRLF, which is the writer's line separator. Reading
-goes by Content-Length, so payloads may hold anything.
+makes: a record ends with CRLF CRLF, which is the writer's line separator. A file
+holds as many records as fit ``FILE_BYTES`` at the greatest size of their class, so
+that files stay small whatever the pages' sizes; a greater record is alone in its
+file. Reading goes by Content-Length, so payloads may hold anything, and takes a file
+record by record.
 
 Defined results: NULL html is an empty payload; NULL page_id and url are kept (a
 record without them); payloads below ``least`` bytes are always stored; rows that
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import sys
 from collections.abc import Iterator
 
@@ -29,7 +33,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 END = "\r\n"
 HTTP = END.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "", ""])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 1_000
+#: Payload bytes of a file of several records, and up to which a record is of a class (the last class has no end).
+FILE_BYTES = 64 << 20
+CLASSES = (64 << 10, 4 << 20)
 SCHEMA = (
     "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 )
@@ -91,30 +97,37 @@ def write_archive(records: DataFrame, path: str, date: str | None = None) -> Non
         _line("Content-Length", F.octet_length("_block").cast("string")),
         F.lit(END),
     )
-    values = records.withColumn("_block", block).select(F.concat(head, F.col("_block")).alias("value"))
-    writer = values.write.option("lineSep", END * 2).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record."""
-    at, gap = 0, (END * 2).encode()
-    while at < len(data):
-        end = data.index(gap, at)
-        lines = data[at:end].decode().split(END)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        first = end + len(gap)
-        after = first + int(fields["Content-Length"])
-        if data[after : after + len(gap)] != gap:
-            raise ValueError(f"record at {at} doesn't end after its length")
-        yield fields, data[first:after]
-        at = after + len(gap)
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    for low, high in zip((-1, *CLASSES), (*CLASSES, None)):
+        if low >= largest:
+            break
+        of_class = (F.col("payload_bytes") > low) & (F.lit(high is None) | (F.col("payload_bytes") <= (high or 0)))
+        values = records.where(of_class).withColumn("_block", block).select(F.concat(head, F.col("_block")).alias("value"))
+        writer = values.write.mode("errorifexists" if low < 0 else "append").option("lineSep", END * 2).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", FILE_BYTES // high if high else 1).text(path)
+
+
+def parse_records(data: bytes | io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record, of bytes or of a stream."""
+    stream, gap = io.BytesIO(data) if isinstance(data, bytes) else data, (END * 2).encode()
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record at {stream.tell() - len(line)}")
+        fields = {}
+        while (line := stream.readline().decode()) != END:
+            if not line.endswith(END):
+                raise ValueError("a record's header doesn't end")
+            name, value = line.removesuffix(END).split(": ", 1)
+            fields[name] = value
+        size = int(fields["Content-Length"])
+        block = stream.read(size)
+        if len(block) != size or stream.read(len(gap)) != gap:
+            raise ValueError(f"record before {stream.tell()} doesn't end after its length")
+        yield fields, block
 
 
 def _read_file(data: bytes, with_payload: bool) -> Iterator[tuple]:
-    for fields, block in parse_records(gzip.decompress(data)):
+    for fields, block in parse_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)))):
         page, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
         size, digest, payload = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
         if fields["WARC-Type"] == "response":
