@@ -147,32 +147,6 @@ def test_quality_without_labels(spark):
     assert empty.select(line_crf.score(empty["text"], model)).count() == 0
 
 
-def levels_of(texts, depth, least):
-    """All grams, counted plainly."""
-    counts = [Counter() for _ in range(depth + 1)]
-    inner = Counter()
-    total = 0
-    for text in texts:
-        data = ct.byte_string(ct.text_words(text))
-        kinds = [0] * depth + [int(ct.CLASSES[b]) for b in data]
-        for i, b in enumerate(data):
-            total += 1
-            inner[((kinds[depth + i - 1] if depth + i else 0) << 8) | b] += 1
-            for d in range(depth + 1):
-                code = 0
-                for k in kinds[depth + i - d : depth + i + 1]:
-                    code = code << ct.BITS | k
-                counts[d][code] += 1
-    levels = []
-    for table in counts:
-        sums = Counter()
-        for code, n in table.items():
-            sums[code >> ct.BITS] += n
-        rows = [(c >> ct.BITS, c & 63, n) for c, n in table.items() if sums[c >> ct.BITS] >= least(total)]
-        levels.append(pd.DataFrame(rows, columns=["context", "symbol", "n"]))
-    return levels, pd.DataFrame(inner.items(), columns=["code", "n"])
-
-
 def prose(n=120, seed=3):
     draw = random.Random(seed)
     parts = ["th", "er", "an", "ing", "re", "é", "on"]
@@ -181,95 +155,11 @@ def prose(n=120, seed=3):
     return [" ".join(draw.choice(known) for _ in range(draw.randrange(1, 60))) for _ in range(n)] + awkward()
 
 
-def test_slots_lose_no_node(spark):
-    texts, spec = prose(), ct.Spec(depth=6, plain=2, share=9)
-    nodes = ct.context_nodes(docs(spark, texts), spec)
-    got = sorted(map(tuple, nodes.collect()))
-    wanted, inner = levels_of(texts, 6, lambda total: max(2.0, total / 2**9))
-    rows = [(d, *row) for d, level in enumerate(wanted) for row in level.to_numpy().tolist()]
-    assert got == sorted(rows + [(-1, code, 0, n) for code, n in inner.to_numpy().tolist()])
-    assert len(wanted[6]) > 50
-    tree, plain = ct.fit_tree(nodes, spec), ct.build_tree(wanted, inner, 6)
-    assert all(np.array_equal(a, b) for a, b in zip(tree.keys, plain.keys)) and np.array_equal(tree.within, plain.within)
-    assert all(np.allclose(a, b) for a, b in zip(tree.logs, plain.logs))
-
-
-def plain_tree(levels, depth):
-    """Predictions by the recursion itself, node by node, as probabilities of the 64 classes."""
-    nodes = [{c: g.set_index("symbol").n.to_dict() for c, g in level.groupby("context")} for level in levels]
-
-    def kt(zero, one):
-        return sum(math.lgamma(x + 0.5) for x in (zero, one)) - math.lgamma(zero + one + 1) - math.log(math.pi)
-
-    def outcome(symbols, bit, prefix):
-        ones = sum(n for s, n in symbols.items() if s >> (5 - bit) == prefix * 2 + 1)
-        return sum(n for s, n in symbols.items() if s >> (5 - bit) == prefix * 2), ones
-
-    def others(d, context):
-        rest = Counter(nodes[d][context])
-        children = [c for c in nodes[d + 1] if c & ((1 << (6 * d)) - 1) == context] if d < depth else []
-        for c in children:
-            rest.subtract(nodes[d + 1][c])
-        return rest, children
-
-    def weighted(d, context, bit, prefix):
-        own = kt(*outcome(nodes[d][context], bit, prefix))
-        if d == depth:
-            return own, 1.0
-        rest, children = others(d, context)
-        split = kt(*outcome(rest, bit, prefix)) + sum(weighted(d + 1, c, bit, prefix)[0] for c in children)
-        whole = math.log(0.5) + np.logaddexp(own, split)
-        return whole, math.exp(math.log(0.5) + own - whole)
-
-    def predict(d, context, path, bit, prefix):
-        zero, one = outcome(nodes[d][context], bit, prefix)
-        own = (one + 0.5) / (zero + one + 1)
-        if d == depth:
-            return own
-        share = weighted(d, context, bit, prefix)[1]
-        longer = path & ((1 << (6 * (d + 1))) - 1)
-        if longer in nodes[d + 1]:
-            below = predict(d + 1, longer, path, bit, prefix)
-        else:
-            zero, one = outcome(others(d, context)[0], bit, prefix)
-            below = (one + 0.5) / (zero + one + 1)
-        return share * own + (1 - share) * below
-
-    def probability(path, symbol):
-        p = 1.0
-        for bit in range(6):
-            one = predict(0, 0, path, bit, symbol >> (6 - bit))
-            p *= one if (symbol >> (5 - bit)) & 1 else 1 - one
-        return p
-
-    return probability
-
-
-def test_tree_is_the_weighted_mixture():
-    texts = prose(25)
-    levels, inner = levels_of(texts, 3, lambda total: 4)
-    tree = ct.build_tree(levels, inner, 3)
-    probability = plain_tree(levels, 3)
-    data = np.frombuffer(ct.byte_string(ct.text_words("there an éon qq zz")), np.uint8)
-    code, within = ct.gram_codes(data, 3)
-    wanted = [math.log10(probability(int(c) >> 6, int(c) & 63)) + tree.within.ravel()[w] for c, w in zip(code, within)]
-    logs = np.concatenate(tree.logs)
-    assert tree.score(data, tree.children(), logs) == pytest.approx(wanted, abs=1e-4)
-    assert np.power(10.0, logs).sum(axis=1) == pytest.approx(np.ones(len(logs)), abs=1e-3)
-
-
-def test_log_kt():
-    zeros, ones = np.array([0.0, 1, 5, 1e6]), np.array([0.0, 0, 7, 3e7])
-    wanted = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(zeros, ones)]
-    assert ct.log_kt(zeros, ones) == pytest.approx(wanted, abs=1e-6)
-    assert ct.log_kt(np.zeros(1), np.ones(1))[0] == pytest.approx(math.log(0.5))
-
-
 @pytest.mark.parametrize("hot", [3, 100_000])
 def test_language_scores(spark, hot):
     texts = prose()
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, "th an unseenword", None, None, None), (7, texts[7], "en", "s", 0)]
-    made = ct.language_scores(clashing(frame(spark, rows), "row", "word", "c"), ct.Spec(depth=5, share=12, hot=hot)).collect()
+    made = ct.language_scores(clashing(frame(spark, rows), "row", "word", "c"), ct.Spec(depth=5, hot=hot)).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 1
     counts = Counter()
     for i, text, *_ in rows:
@@ -287,6 +177,6 @@ def test_language_scores(spark, hot):
 
 
 def test_language_scores_without_training(spark):
-    made = ct.language_scores(frame(spark, [(None, "a b", None, None, None), (None, None, None, None, None)]), ct.Spec(depth=5, share=8)).collect()
+    made = ct.language_scores(frame(spark, [(None, "a b", None, None, None), (None, None, None, None, None)]), ct.Spec(depth=5)).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in made) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
-    assert ct.language_scores(frame(spark, []), ct.Spec(depth=5, share=8)).count() == 0
+    assert ct.language_scores(frame(spark, []), ct.Spec(depth=5)).count() == 0

@@ -7,11 +7,6 @@ blank, a line feed as the end); word sequences and these strings are one to one.
 themselves, all eight bits of a byte are decided in the mixed tree, and a context is a
 node if it was met twice, whatever the size of the corpus. No part of it is broadcast.
 
-``Tree`` is the smaller model of before, for a text's byte classes: a byte is six
-binary decisions for its class and one more step for the byte within the class, and a
-context is a node if it holds one part in ``2^share`` of the training bytes. The
-queries don't use it.
-
 The baseline needs a count for each word of each text. The ``hot`` most frequent
 words (a fixed number) are looked up where the text is read; the rest, which are rare
 by construction, are joined with all counts.
@@ -26,9 +21,7 @@ from __future__ import annotations
 
 import math
 import sys
-import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,36 +35,12 @@ from tsengine.llm.common import fold, lower_ascii, settle, small_batches, split_
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS = 6
-SYMBOLS = 1 << BITS
-# Signs with a class of their own.
-SIGNS = b",.-|#$%&*!'\"()/:;?"
-
-
 @dataclass(frozen=True)
 class Spec:
-    """``plain``: depth up to which all contexts are counted; ``slab``: bytes coded at once; ``hot``: words looked up without a join."""
+    """``depth``: bytes of the longest context; ``hot``: words looked up without a join."""
 
     depth: int = 8
-    plain: int = 4
-    share: int = 18
     hot: int = 200_000
-    slab: int = 4 << 20
-
-
-def _class_table() -> np.ndarray:
-    """Byte to class: 0 end, 1 other, 2 to 27 letters, 28 blank, 29 digits, 30 to 47 signs, 48 to 63 UTF-8 continuations."""
-    table = np.ones(256, np.uint8)
-    table[10] = 0
-    table[ord("a") : ord("z") + 1] = np.arange(2, 28)
-    table[32] = 28
-    table[ord("0") : ord("9") + 1] = 29
-    table[list(SIGNS)] = np.arange(30, 30 + len(SIGNS))
-    table[128:192] = 48 + (np.arange(128, 192) & 15)
-    return table
-
-
-CLASSES = _class_table()
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -82,354 +51,6 @@ def byte_string(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-def gram_codes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the classes of the ``depth`` bytes before it and its own, oldest first; and the class before and the byte.
-
-    An end separates texts: what comes before it is not seen, as if texts began with ends.
-    """
-    kind = CLASSES[data].astype(np.int64)
-    since = np.arange(len(data)) - np.maximum.accumulate(np.where(np.concatenate([[True], data[:-1] == 10]), np.arange(len(data)), 0))
-    code = kind.copy()
-    for back in range(1, depth + 1):
-        older = np.zeros_like(kind)
-        older[back:] = kind[:-back] if back <= len(kind) else 0
-        older[since < back] = 0
-        code |= older << (BITS * back)
-    before = np.zeros_like(kind)
-    before[1:] = kind[:-1]
-    return code, (before << 8) | data
-
-
-def slabs(texts: Iterable[list[bytes]], size: int) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
-    """Byte strings of runs of texts, and the runs."""
-    run, parts, held = [], [], 0
-    for words in texts:
-        run.append(words)
-        parts.append(byte_string(words))
-        held += len(parts[-1])
-        if held >= size:
-            yield np.frombuffer(b"".join(parts), np.uint8), run
-            run, parts, held = [], [], 0
-    if run:
-        yield np.frombuffer(b"".join(parts), np.uint8), run
-
-
-def slots(code: np.ndarray, depth: int, share: int) -> np.ndarray:
-    """Slot of the context of ``depth`` classes in each gram code."""
-    context = ((code >> BITS) & ((1 << (BITS * depth)) - 1)).astype(np.uint64)
-    return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62 - share)).astype(np.int64)
-
-
-CHUNKS = 64
-
-
-def context_slots(texts: DataFrame, spec: Spec) -> tuple[dict[int, np.ndarray], int]:
-    """By depth the slots that may hold a node, and the number of bytes."""
-    size = 1 << (spec.share + 2)
-    part = size // CHUNKS
-    depths = range(spec.plain + 1, spec.depth + 1)
-
-    def rows_of(tables: dict[int, np.ndarray], total: int) -> pd.DataFrame:
-        made = []
-        for depth, table in tables.items():
-            for chunk in range(CHUNKS):
-                piece = table[chunk * part : (chunk + 1) * part]
-                if piece.any():
-                    made.append((depth, chunk, zlib.compress(piece.astype("<i8").tobytes(), 1)))
-        made.append((0, 0, zlib.compress(np.array([total], "<i8").tobytes(), 1)))
-        return pd.DataFrame(made, columns=["depth", "chunk", "counts"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, total = {d: np.zeros(size, np.int64) for d in depths}, 0
-        for batch in batches:
-            for data, _ in slabs(map(text_words, batch["text"]), spec.slab):
-                code, _ = gram_codes(data, spec.depth)
-                total += len(data)
-                for depth in depths:
-                    tables[depth] += np.bincount(slots(code, depth, spec.share), minlength=size)
-        yield rows_of(tables, total)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for depth, chunk, counts in zip(batch["depth"], batch["chunk"], batch["counts"]):
-                found = np.frombuffer(zlib.decompress(counts), "<i8")
-                key = (int(depth), int(chunk))
-                sums[key] = sums[key] + found if key in sums else found
-        made = [(d, c, zlib.compress(v.tobytes(), 1)) for (d, c), v in sums.items()]
-        if made:
-            yield pd.DataFrame(made, columns=["depth", "chunk", "counts"])
-
-    schema = "depth int, chunk int, counts binary"
-    parts = texts.select("text").mapInPandas(count, schema).repartition("depth", "chunk")
-    # Sums of fixed size: 2^(share + 2) numbers a depth.
-    found = parts.mapInPandas(add, schema).collect()
-    total = sum(int(np.frombuffer(zlib.decompress(r["counts"]), "<i8")[0]) for r in found if r["depth"] == 0)
-    least = max(2.0, total / 2**spec.share)
-    marks = {d: np.zeros(size, bool) for d in depths}
-    for row in found:
-        if row["depth"]:
-            counts = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-            marks[row["depth"]][row["chunk"] * part : (row["chunk"] + 1) * part] = counts >= least
-    return marks, total
-
-
-class _Tally:
-    """Counts of codes, kept sorted and merged when they have doubled."""
-
-    def __init__(self):
-        self.codes, self.counts, self.parts, self.loose = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
-
-    def add(self, codes: np.ndarray) -> None:
-        found = np.unique(codes, return_counts=True)
-        self.parts.append(found)
-        self.loose += len(found[0])
-        if self.loose > max(2_000_000, len(self.codes)):
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.parts:
-            codes = np.concatenate([self.codes, *[p[0] for p in self.parts]])
-            counts = np.concatenate([self.counts, *[p[1] for p in self.parts]])
-            order = np.argsort(codes, kind="stable")
-            codes, counts = codes[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            self.codes, self.counts = codes[first], np.add.reduceat(counts, first)
-            self.parts, self.loose = [], 0
-        return self.codes, self.counts
-
-
-def gram_counts(texts: DataFrame, marks: dict[int, np.ndarray], spec: Spec) -> DataFrame:
-    """Counts of grams, each at the deepest context that may be a node (``kind``: its depth), and of bytes by the class before (-1)."""
-    shared = texts.sparkSession.sparkContext.broadcast({d: np.packbits(m) for d, m in marks.items()})
-    shift, gram_bits = 56, 56
-    assert BITS * (spec.depth + 1) <= gram_bits and spec.depth < 64
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        allowed = {d: np.unpackbits(m).astype(bool) for d, m in shared.value.items()}
-        grams, inner = _Tally(), np.zeros(SYMBOLS << 8, np.int64)
-
-        def frames(tally: _Tally, size: int = 100_000) -> Iterator[pd.DataFrame]:
-            codes, counts = tally.merge()
-            for at in range(0, len(codes), size):
-                keys = codes[at : at + size]
-                yield pd.DataFrame({"kind": keys >> shift, "code": keys & ((1 << shift) - 1), "n": counts[at : at + size]})
-
-        for batch in batches:
-            for data, _ in slabs(map(text_words, batch["text"]), spec.slab):
-                code, within = gram_codes(data, spec.depth)
-                depth = np.full(len(code), spec.plain, np.int64)
-                for d in range(spec.plain + 1, spec.depth + 1):
-                    depth[(depth == d - 1) & allowed[d][slots(code, d, spec.share)]] = d
-                masks = (np.int64(1) << (BITS * (np.arange(spec.depth + 1) + 1))) - 1
-                grams.add((code & masks[depth]) | (depth << shift))
-                inner += np.bincount(within, minlength=len(inner))
-            if len(grams.codes) > 4_000_000:
-                yield from frames(grams)
-                grams = _Tally()
-        yield from frames(grams)
-        seen = np.flatnonzero(inner)
-        yield pd.DataFrame({"kind": -1, "code": seen, "n": inner[seen]})
-
-    counted = texts.select("text").mapInPandas(count, "kind int, code long, n long")
-    return counted.groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-def context_nodes(texts: DataFrame, spec: Spec) -> DataFrame:
-    """Counts of the contexts that are nodes: ``kind`` (depth), ``context``, ``symbol``, ``n``; bytes within classes at -1."""
-    marks, total = context_slots(texts, spec)
-    least = max(2.0, total / 2**spec.share)
-    grams = settle(gram_counts(texts, marks, spec), "grams")
-    every = grams.where("kind >= 0").select(F.explode(F.sequence(F.lit(0), F.col("kind"))).alias("kind"), "code", "n")
-    ending = F.expr(f"code & (shiftleft(1L, {BITS} * (kind + 1)) - 1L)")
-    counts = every.groupBy("kind", ending.alias("code")).agg(F.sum("n").alias("n"))
-    symbol = F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol")
-    contexts = counts.select("kind", F.shiftright("code", BITS).alias("context"), F.struct(symbol, "n").alias("s"), "n")
-    contexts = contexts.groupBy("kind", "context").agg(F.sum("n").alias("all"), F.collect_list("s").alias("symbols"))
-    nodes = contexts.where(F.col("all") >= least).select("kind", "context", F.inline("symbols"))
-    inner = grams.where("kind = -1").select("kind", F.col("code").alias("context"), F.lit(0).alias("symbol"), "n")
-    return nodes.unionByName(inner)
-
-
-def fit_tree(nodes: DataFrame, spec: Spec) -> Tree:
-    """Weights and predictions, in one task: a depth has at most ``2^share`` contexts, by the threshold."""
-    depth = spec.depth
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b.astype({"symbol": np.uint8, "kind": np.int8}) for b in batches if len(b)]
-        if not rows:
-            return
-        table = pd.concat(rows)
-        levels = [table[table.kind == d] for d in range(depth + 1)]
-        keys, logs = weigh(levels, depth)
-        for d in range(depth + 1):
-            for part, at in enumerate(range(0, len(keys[d]), 2048)):
-                kept = slice(at, at + 2048)
-                yield pd.DataFrame({"kind": [d], "part": [part], "keys": [keys[d][kept].tobytes()], "logs": [logs[d][kept].tobytes()]})
-        inner = table[table.kind == -1].rename(columns={"context": "code"})
-        yield pd.DataFrame({"kind": [-1], "part": [0], "keys": [b""], "logs": [within_logs(inner).tobytes()]})
-
-    fitted = settle(nodes.repartition(1).mapInPandas(fit, "kind int, part int, keys binary, logs binary"), "tree")
-    found = fitted.toPandas().sort_values(["kind", "part"])
-    if not len(found):
-        empty = pd.DataFrame({"context": [], "symbol": [], "n": [], "code": []})
-        return build_tree([empty] * (depth + 1), empty, depth)
-    within = np.frombuffer(found[found.kind == -1].logs.iloc[0], np.float32).reshape(SYMBOLS, 256)
-    keys, logs = [], []
-    for d in range(depth + 1):
-        own = found[found.kind == d]
-        keys.append(np.frombuffer(b"".join(own["keys"]), np.int64))
-        logs.append(np.frombuffer(b"".join(own["logs"]), np.float32).reshape(-1, SYMBOLS))
-    return Tree(keys, logs, within, depth)
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """log gamma for x > 0: Stirling's series, shifted up by eight."""
-    z = x + 8.0
-    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
-    low = x.copy()
-    for k in range(1, 8):
-        low *= x + k
-    return series - np.log(low)
-
-
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
-
-
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of both outcomes of the 63 decisions, from the counts of 64 symbols."""
-    zeros, ones = [], []
-    for bit in range(BITS):
-        halves = counts.reshape(len(counts), 1 << bit, 2, -1).sum(axis=-1)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
-def symbol_logs(one: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of the 64 symbols, from the decisions' probabilities of a one."""
-    logs, at = np.zeros((len(one), SYMBOLS)), 0
-    for bit in range(BITS):
-        p = one[:, at : at + (1 << bit)]
-        at += 1 << bit
-        both = np.stack([np.log10(1 - p), np.log10(p)], axis=-1).reshape(len(one), -1)
-        logs += np.repeat(both, SYMBOLS >> (bit + 1), axis=1)
-    return logs
-
-
-@dataclass
-class Tree:
-    """By depth the sorted contexts and their log10 probabilities of the classes; ``within[class before, byte]``."""
-
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    within: np.ndarray
-    depth: int
-
-    def children(self) -> np.ndarray:
-        """``[node, older class]``: the node one class longer, 0 where there is none; nodes are numbered by depth."""
-        first = np.cumsum([0, *map(len, self.keys)])
-        child = np.zeros((first[-1], SYMBOLS), np.int32)
-        for d in range(1, self.depth + 1):
-            older = self.keys[d] >> (BITS * (d - 1))
-            child[first[d - 1] + parents_of(self.keys, d), older] = first[d] + np.arange(len(older))
-        return child
-
-    def score(self, data: np.ndarray, child: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """Log10 probability of each byte of texts that begin after an end. ``logs``: of all depths in one."""
-        code, within = gram_codes(data, self.depth)
-        node = np.zeros(len(data), np.int64)
-        alive = np.ones(len(data), bool)
-        for back in range(1, self.depth + 1):
-            older = (code >> (BITS * back)) & (SYMBOLS - 1)
-            found = child.ravel()[node * SYMBOLS + older]
-            alive &= found > 0
-            node = np.where(alive, found, node)
-        return logs.ravel()[node * SYMBOLS + (code & (SYMBOLS - 1))] + self.within.ravel()[within].astype(float)
-
-
-def parents_of(keys: list[np.ndarray], depth: int) -> np.ndarray:
-    """Place of each context's parent, the context without its oldest class."""
-    return np.searchsorted(keys[depth - 1], keys[depth] & ((1 << (BITS * (depth - 1))) - 1))
-
-
-def weigh(levels: list[pd.DataFrame], depth: int, block: int = 8_192) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Contexts by depth, and their mixed predictions: weights from the deepest up, mixtures from the root down."""
-    keys = [np.unique(level["context"].to_numpy(np.int64)) for level in levels]
-    if not len(keys[0]):
-        keys[0] = np.zeros(1, np.int64)
-
-    def counts_of(d: int) -> np.ndarray:
-        table = np.zeros((len(keys[d]), SYMBOLS), np.float32)
-        if len(levels[d]):
-            which = np.searchsorted(keys[d], levels[d]["context"].to_numpy(np.int64))
-            table[which, levels[d]["symbol"].to_numpy(int)] = levels[d]["n"].to_numpy()
-        return table
-
-    def rest_of(d: int, counts: np.ndarray) -> np.ndarray:
-        """What no child of its own holds."""
-        rest = counts.astype(np.float64)
-        if d < depth and len(keys[d + 1]):
-            np.add.at(rest, parents_of(keys, d + 1), -counts_of(d + 1).astype(np.float64))
-        return np.maximum(rest, 0)
-
-    own: list[np.ndarray] = [np.empty(0)] * (depth + 1)
-    below = np.empty((0, SYMBOLS - 1))  # log weighted probabilities of the level below
-    for d in range(depth, -1, -1):
-        counts = counts_of(d)
-        rest, children = rest_of(d, counts), np.zeros((len(counts), SYMBOLS - 1))
-        if len(below):
-            np.add.at(children, parents_of(keys, d + 1), below)
-        below = np.empty((len(counts), SYMBOLS - 1))
-        own[d] = np.ones((len(counts), SYMBOLS - 1), np.float32)
-        for at in range(0, len(counts), block):
-            rows = slice(at, at + block)
-            alone = log_kt(*decisions(counts[rows].astype(np.float64)))
-            if d == depth:
-                below[rows] = alone
-                continue
-            split = children[rows] + log_kt(*decisions(rest[rows]))
-            below[rows] = np.logaddexp(alone, split) + math.log(0.5)
-            own[d][rows] = np.exp(math.log(0.5) + alone - below[rows])
-
-    logs = []
-    # What the depths above have settled, and the weight they leave.
-    done, reach = np.zeros((1, SYMBOLS - 1), np.float32), np.ones((1, SYMBOLS - 1), np.float32)
-    for d in range(depth + 1):
-        counts = counts_of(d)
-        rest = rest_of(d, counts)
-        up = parents_of(keys, d) if d else np.zeros(len(counts), np.int64)
-        logs.append(np.empty((len(counts), SYMBOLS), np.float32))
-        done_here, reach_here = np.empty((len(counts), SYMBOLS - 1), np.float32), np.empty((len(counts), SYMBOLS - 1), np.float32)
-        for at in range(0, len(counts), block):
-            rows = slice(at, at + block)
-            zeros, ones = decisions(counts[rows].astype(np.float64))
-            estimate = (ones + 0.5) / (zeros + ones + 1)
-            zeros, ones = decisions(rest[rows])
-            others = (ones + 0.5) / (zeros + ones + 1) if d < depth else estimate
-            settled, left, share = done[up[rows]], reach[up[rows]], own[d][rows]
-            logs[d][rows] = symbol_logs(settled + left * (share * estimate + (1 - share) * others))
-            done_here[rows], reach_here[rows] = settled + left * share * estimate, left * (1 - share)
-        done, reach = done_here, reach_here
-    return keys, logs
-
-
-def within_logs(inner: pd.DataFrame) -> np.ndarray:
-    """Log10 probabilities of a byte, given its class and the class before."""
-    seen = np.zeros((SYMBOLS, 256))
-    seen.ravel()[inner["code"].to_numpy(int)] = inner["n"].to_numpy()
-    seen += 0.5
-    members = np.zeros((256, SYMBOLS))
-    members[np.arange(256), CLASSES] = 1
-    return np.log10(seen / (seen @ members)[:, CLASSES]).astype(np.float32)
-
-
-def build_tree(levels: list[pd.DataFrame], inner: pd.DataFrame, depth: int) -> Tree:
-    return Tree(*weigh(levels, depth), within_logs(inner), depth)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(split_words(lower_ascii(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
