@@ -123,3 +123,16 @@ def test_corr_is_one_shuffle_of_partials(spark):
     text = metrics.corr_by_step(df)._jdf.queryExecution().executedPlan().toString()
     below = text[: text.index("MapInPandas")]
     assert "Join" not in text and text[text.index("MapInPandas") :].count("Exchange") == 0 and "collect_list" in below
+
+
+def test_results_of_many_runs_need_few_folders(spark, tmp_path):
+    path, five = str(tmp_path / "r"), ["mae", "mse", "rmse", "mape", "mspe"]
+    runs = spark.range(300).select(F.col("id").alias("run_id"), *[F.col("id").cast("double").alias(m) for m in five])
+    writers.append_results(runs, path)
+    writers.append_results(runs.filter("run_id >= 290").withColumn("mae", F.lit(-1.0)).withColumn("run_id", F.nullif("run_id", F.lit(299))), path)
+    assert len([p for p in (tmp_path / "r").iterdir() if p.is_dir()]) == 2
+    # A NULL run id is a run too; a run written again has its last row only.
+    found = {r["run_id"]: r["mae"] for r in writers.load_results(spark, path).collect()}
+    assert found == {**{str(i): float(i) for i in range(290)}, **{str(i): -1.0 for i in range(290, 299)}, "299": 299.0, None: -1.0}
+    writers.append_results(runs.limit(0), path)
+    assert writers.load_results(spark, path).count() == 301
