@@ -180,6 +180,24 @@ def test_regular_panel_fills_gaps_of_each_series(spark, frame):
         np.testing.assert_allclose(g["v"], seen.reindex(hours).fillna(0.0), atol=1e-9)
 
 
+def test_regular_panel_shuffles_observed_steps_only(spark, monkeypatch):
+    """Gaps of many blocks, also before 1970 and in a series without key; no shuffle above the rows of the grid."""
+    monkeypatch.setattr(panel, "FAN_OUT", 7)
+    seen = [("a", "1969-12-31 05:10:00", 1.0), ("a", "1969-12-31 05:20:00", 2.0), ("a", "1970-01-03 00:00:00", 4.0), ("a", None, 9.0)]
+    seen += [(None, "2024-01-01 00:00:00", 5.0), (None, "2024-01-01 02:59:00", 5.0), ("b", "2024-01-01 00:30:00", None), ("c", None, 1.0)]
+    df = spark.createDataFrame(seen, "series_id string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = panel.regular_panel(df, KEYS, "ts", "hour", {"v": F.sum("v")}, fill=-1.0)
+    got = [tuple(r) for r in made.selectExpr("series_id", "cast(date AS string)", "rn", "n", "v").collect()]
+    hours = pd.date_range("1969-12-31 05:00", "1970-01-03 00:00", freq="h")
+    want = [("a", str(h), i, 68, {0: 3.0, 67: 4.0}.get(i, -1.0)) for i, h in enumerate(hours)] + [("b", "2024-01-01 00:00:00", 0, 1, -1.0)]
+    want += [(None, f"2024-01-01 0{i}:00:00", i, 3, -1.0) for i in range(3)]  # NULL matches nothing
+    assert sorted(got, key=str) == sorted(want, key=str)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join") and "Exchange" not in plan[: plan.index("Join")]
+    weeks = panel.regular_panel(df.filter("series_id = 'a'"), KEYS, "ts", "week", {"v": F.sum("v")}).collect()
+    assert [(r["rn"], r["n"], r["v"]) for r in weeks] == [(0, 1, 7.0)]
+
+
 def test_explode_range_has_every_number(spark, monkeypatch):
     monkeypatch.setattr(chunks, "FAN_OUT", 4)
     df = spark.createDataFrame([(0, 10), (5, 5), (3, 2), (7, 40)], "a long, b long")
