@@ -136,3 +136,14 @@ def test_results_of_many_runs_need_few_folders(spark, tmp_path):
     assert found == {**{str(i): float(i) for i in range(290)}, **{str(i): -1.0 for i in range(290, 299)}, "299": 299.0, None: -1.0}
     writers.append_results(runs.limit(0), path)
     assert writers.load_results(spark, path).count() == 301
+
+
+def test_a_task_writes_a_bounded_share_of_forecasts(spark, tmp_path, monkeypatch):
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    df = spark.range(400000).select(F.lit("r").alias("run_id"), F.rand(3).alias("pred"), F.rand(4).alias("true")).repartition(16)
+    monkeypatch.setattr(writers, "SHARE", "1m")
+    writers.save_forecasts(df, str(tmp_path / "f"))
+    assert len(list((tmp_path / "f" / "run_id=r").glob("*.parquet"))) >= 4  # some 6 MB; one file at the session's 64 MB
+    assert writers.load_forecasts(spark, str(tmp_path / "f")).count() == 400000
+    assert spark.conf.get(advisory) == before
