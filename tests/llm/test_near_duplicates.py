@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import awkward, clashing, docs, frame
 
@@ -162,3 +163,49 @@ def test_similar_is_all_pairs():
             if comp[a] != comp[b] and 100 * n[a] >= 80 * n[b] and (side[a] < 0 or side[a] != side[b]) and (least[a] != least[b]).sum() <= 20
         }
         assert {(a, b): d for a, b, d in zip(i, j, apart)} == wanted and wanted
+
+
+def bucket_of(texts, spec):
+    """A bucket as its task gets it: every text a component of its own."""
+    a, b = spec.hashes()
+    sets = [shingle_set(t, spec.shingle, WordHashes()) for t in texts]
+    least = [nd.minima(x, a, b) for x in sets]
+    rows = [
+        (7, None, i * 3, len(x), i * 3, nd.sketch(m), np.array([7] + [i] * (spec.bands - 1)), x.tobytes())
+        for i, (x, m) in enumerate(zip(sets, least))
+    ]
+    return pd.DataFrame(rows, columns=["origin", "side", "node", "n_shingles", "comp", "sketch", "bands", "shingles"])
+
+
+@pytest.mark.parametrize("most", [2, 9])
+def test_a_bucket_sends_fewer_links_than_it_has_members(most):
+    """Edited copies of one text, without it: most pairs are near the threshold, and were all sent on."""
+    draw = random.Random(6)
+    base = [f"v{draw.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(edited(draw, base, draw.randrange(1, most + 1))) for _ in range(120)]
+    links = nd.merging_links(bucket_of(texts, nd.Spec()), nd.Spec())
+    assert len(links) < len(texts)
+    wanted = {d: c for d, _, c in brute.components(list(enumerate(texts)))}
+    assert all(wanted[x // 3] == wanted[y // 3] for x, y in links)
+    assert len(links) == len(texts) - len(set(wanted.values())) > 0
+
+
+def test_sharing_is_the_share_of_the_union(monkeypatch):
+    monkeypatch.setattr(nd, "AT_ONCE", 40)
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 40, draw.integers(1, 60)).astype(np.uint64)) for _ in range(30)]
+    i, j = (draw.integers(0, 30, 300) for _ in range(2))
+    whole = [set(x.tolist()) for x in sets]
+    wanted = [100 * len(whole[a] & whole[b]) >= 50 * len(whole[a] | whole[b]) for a, b in zip(i, j)]
+    assert nd.sharing(i, j, sets, 50).tolist() == wanted and 0 < sum(wanted) < 300
+
+
+def test_buckets_of_many_shingles_are_blocks_too(spark):
+    rows = [(5, i, 100, i, 40, 4000) for i in range(40)] + [(6, i, 10, i, 3, 30) for i in range(3)]
+    table = spark.createDataFrame(rows, "key long, node long, n_shingles long, comp long, m long, volume long")
+    made = nd.in_blocks(table, 100, 1000).toPandas()
+    assert len(made[made["origin"] == 6]) == 3
+    large = made[made["origin"] == 5]
+    assert large.groupby("key")["n_shingles"].sum().max() < 4000
+    met = {tuple(sorted(p)) for _, g in large.groupby("key") for p in ((x, y) for x in g["node"] for y in g["node"] if x != y)}
+    assert len(met) == 40 * 39 // 2

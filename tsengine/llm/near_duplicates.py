@@ -9,13 +9,14 @@
    alternating large-star and small-star. Buckets whose members are all connected
    are done.
 4. The others, say of documents that share a passage and no more, are not taken apart: a
-   row of theirs carries a sketch (two bits of each minimum), and a task that has a whole
-   bucket compares sketches of members of different components and sizes that allow a
-   link, 72 bytes a member. Of the pairs that pass, a round sends on the best eight that a
-   member has in another component, the next round the best 64, and so on, until the
-   bucket is connected or has no pair left. Buckets of more than ``block`` members go to
-   several tasks, a pair of blocks each. So no bucket is capped, a group of copies is
-   never expanded into its pairs, and rows multiply only in buckets beyond ``block``.
+   row of theirs carries a sketch (two bits of each minimum) and its whole shingle set,
+   and the task that has the bucket compares sketches of members of different components
+   and sizes that allow a link, then the sets of the pairs that pass, each member's best
+   pairs first. A link merges two components at once, and only such links leave the task:
+   fewer than the bucket has members, however many pairs it has. Buckets of more than
+   ``block`` members or ``SHINGLES`` shingles go to several tasks, a pair of blocks each.
+   So no bucket is capped, a group of copies is never expanded into its pairs, and rows
+   multiply only in buckets beyond those sizes.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^6)^48 = 5e-7; a link
 passes the signature test and the sketch test with an error of five standard deviations.
@@ -130,12 +131,13 @@ def classes_of(signed: DataFrame) -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of buckets of two nodes or more, with the size ``m`` of the bucket."""
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    """Rows of buckets of two nodes or more, with the size ``m`` of the bucket and its shingles ``volume``."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("volume"))
+    return rows.join(sizes.where("m > 1"), "key")
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """A row per node and bucket of two nodes or more: ``key``, ``node``, ``n_shingles``, ``m``; settled."""
+    """A row per node and bucket of two nodes or more: ``key``, ``node``, ``n_shingles``, ``m``, ``volume``; settled."""
     return settle(shared_buckets(nodes.select("node", "n_shingles", F.explode("bands").alias("key"))), "bucket-members")
 
 
@@ -154,34 +156,36 @@ def centre_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-#: Pairs that the first round sends on for a member and another component; each round goes that many times as far.
+#: Pairs that are looked at first for a member and another component; each round goes that many times as far.
 GROWTH = 8
+#: Shingles of the members that one task compares.
+SHINGLES = 1 << 22
 #: Pairs of sketches that are compared at once.
 AT_ONCE = 1 << 17
 ODD_BITS = np.uint64(0x5555555555555555)
 
 
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Buckets of more than ``block`` members as pairs of blocks, which have keys of their own.
+def in_blocks(rows: DataFrame, block: int, shingles: int = SHINGLES) -> DataFrame:
+    """Buckets of more than ``block`` members or ``shingles`` shingles as pairs of blocks, which have keys of their own.
 
     ``side`` tells the two blocks of a pair apart; it is NULL where all members meet all.
     """
-    columns = [F.col("key").alias("origin"), "node", "n_shingles", "comp", "sketch", "bands"]
-    small = rows.where(F.col("m") <= block).select("key", F.lit(None).cast("boolean").alias("side"), *columns)
-    parts = F.ceil(2 * F.col("m") / block).cast("int")
-    large = rows.where(F.col("m") > block).withColumn("_own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    columns = [F.col("key").alias("origin"), "node", "n_shingles", "comp"]
+    fits = (F.col("m") <= block) & (F.col("volume") <= shingles)
+    small = rows.where(fits).select("key", F.lit(None).cast("boolean").alias("side"), *columns)
+    parts = F.ceil(2 * F.greatest(F.col("m") / block, F.col("volume") / shingles)).cast("int")
+    large = rows.where(~fits).withColumn("_own", F.pmod(F.xxhash64("node"), parts).cast("int"))
     large = large.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(F.col("_own") != F.col("_other"), F.col("_own") > F.col("_other"))
     return small.unionByName(large.select(F.xxhash64("key", low, high).alias("key"), side.alias("side"), *columns))
 
 
-def similar(n: np.ndarray, comp: np.ndarray, words: np.ndarray, side: np.ndarray, percent: int, differing: int):
-    """Pairs of a bucket that may be links: two places and the number of differing minima.
+def similar_parts(n: np.ndarray, comp: np.ndarray, words: np.ndarray, side: np.ndarray, percent: int, differing: int):
+    """Pairs of a bucket that may be links, a part at a time: two places and the number of differing minima.
 
-    ``n`` ascends. ``side`` is -1 where all members meet all.
+    ``n`` ascends. ``side`` is -1 where all members meet all. Each part heeds what ``comp`` is by then.
     """
-    found = []
     start = 0
     while start < len(n):
         ends = np.searchsorted(n, n[start : start + AT_ONCE] * 100 // percent, "right")
@@ -195,9 +199,13 @@ def similar(n: np.ndarray, comp: np.ndarray, words: np.ndarray, side: np.ndarray
         i, j = np.nonzero(near)
         later = (j > i) & (n[i + start] * 100 >= percent * n[j + start])
         i, j = i[later], j[later]
-        found.append((i + start, j + start, apart[i, j]))
+        yield i + start, j + start, apart[i, j]
         start = stop
-    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def similar(n: np.ndarray, comp: np.ndarray, words: np.ndarray, side: np.ndarray, percent: int, differing: int):
+    """The parts of ``similar_parts`` as one."""
+    return tuple(np.concatenate(v) for v in zip(*similar_parts(n, comp, words, side, percent, differing)))
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -209,11 +217,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def ranked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """For each pair the worse of its two ranks among a member's pairs into the other's component.
-
-    As components grow a rank never falls, so what one round leaves out a later one finds;
-    it may rise, so a pair can come twice.
-    """
+    """For each pair the worse of its two ranks among a member's pairs into the other's component."""
     asker, other, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
     order = np.lexsort((node[other], score, comp[other], asker))
     rank = np.empty(len(order), np.int64)
@@ -227,60 +231,81 @@ def own_pairs(i: np.ndarray, j: np.ndarray, bands: np.ndarray, band: int) -> np.
     return ~np.concatenate(earlier) if earlier else np.ones(0, bool)
 
 
-def bucket_pairs(rows: DataFrame, spec: Spec, number: int) -> DataFrame:
-    """Candidates ``a``, ``b`` of a round, and the ``key`` of buckets that have more to send.
-
-    ``rows``: key, node, n_shingles, comp, m, sketch, bands.
+def sharing(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of places have sets that share ``percent`` of their union."""
+    linked = np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    cuts = np.flatnonzero(np.diff(i[order], prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:]):
+        own = sets[i[order[a]]]
+        at = a
+        while at < b:
+            others, held = [], 0
+            while at + len(others) < b and held < AT_ONCE:
+                others.append(sets[j[order[at + len(others)]]])
+                held += len(others[-1])
+            sizes, values = np.array([len(x) for x in others]), np.concatenate(others)
+            met = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+            common = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes) - sizes)
+            linked[order[at : at + len(others)]] = 100 * common >= percent * (len(own) + sizes - common)
+            at += len(others)
+    return linked
+
+
+def merging_links(group: pd.DataFrame, spec: Spec) -> list[tuple[int, int]]:
+    """Links that merge all components of a bucket that its links connect, each a merger of two.
+
+    ``group``: origin, side, node, n_shingles, comp, sketch, bands, shingles.
+    """
+    group = group.sort_values("n_shingles", kind="stable")
+    node, n, comp = (group[c].to_numpy(np.int64) for c in ("node", "n_shingles", "comp"))
+    comp = comp.copy()
+    words = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(len(group), -1)
+    side = group["side"].astype("float").fillna(-1).to_numpy(np.int64)
+    bands = np.stack(group["bands"].to_numpy())
+    band = int(np.argmax(bands[0] == group["origin"].iloc[0]))
+    sets = [np.frombuffer(x, "<u8") for x in group["shingles"]]
+    links = []
+    for i, j, apart in similar_parts(n, comp, words, side, spec.percent, spec.differing):
+        own = own_pairs(i, j, bands, band)
+        i, j, apart, high = i[own], j[own], apart[own], GROWTH
+        while len(i):
+            now = ranked(i, j, apart, comp, node) < high
+            found = sharing(i[now], j[now], sets, spec.percent)
+            for x, y in zip(i[now][found], j[now][found]):
+                if comp[x] != comp[y]:
+                    comp[comp == comp[y]] = comp[x]
+                    links.append((int(node[x]), int(node[y])))
+            left = ~now & (comp[i] != comp[j])
+            i, j, apart, high = i[left], j[left], apart[left], high * GROWTH
+    return links
+
+
+def bucket_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """Links ``a``, ``b`` between the components of buckets, fewer than a bucket (or pair of blocks) has members.
+
+    ``rows``: key, node, n_shingles, comp, m, volume; ``sets``: node, shingles.
     """
-    low, high = GROWTH**number if number else 0, GROWTH ** (number + 1)
-
-    def one(group: pd.DataFrame):
-        group = group.sort_values("n_shingles", kind="stable")
-        node, n, comp = (group[c].to_numpy(np.int64) for c in ("node", "n_shingles", "comp"))
-        words = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(len(group), -1)
-        side = group["side"].astype("float").fillna(-1).to_numpy(np.int64)
-        i, j, apart = similar(n, comp, words, side, spec.percent, spec.differing)
-        more = False
-        if len(i):
-            bands = np.stack(group["bands"].to_numpy())
-            band = int(np.argmax(bands[0] == group["origin"].iloc[0]))
-            own = own_pairs(i, j, bands, band)
-            i, j, apart = i[own], j[own], apart[own]
-        if len(i):
-            rank = ranked(i, j, apart, comp, node)
-            more = bool((rank >= high).any())
-            keep = (rank >= low) & (rank < high)
-            i, j = i[keep], j[keep]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, last = [], None
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows["key"].iloc[-1]
-            yield from pairs_of(rows[rows["key"] != last])
-            held = rows[rows["key"] == last]
-        if held is not None:
-            yield from pairs_of(held)
-
-    def pairs_of(rows: pd.DataFrame):
-        keys = rows["key"].to_numpy()
-        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(rows)]
-        made = [(*one(rows.iloc[x:y]), rows["origin"].iloc[x]) for x, y in zip(bounds, bounds[1:]) if y - x > 1]
-        if made:
-            a, b = (np.concatenate([m[k] for m in made]) for k in (0, 1))
-            if len(a):
-                yield pd.DataFrame({"a": a, "b": b, "key": pd.array([None] * len(a), "Int64")})
-            more = [m[3] for m in made if m[2]]
-            if more:
-                none = pd.array([None] * len(more), "Int64")
-                yield pd.DataFrame({"a": none, "b": none, "key": more})
+            for key, rows in batch.groupby("key", sort=False):
+                if key != last and held:
+                    yield links_of(held)
+                    held = []
+                held.append(rows)
+                last = key
+        if held:
+            yield links_of(held)
+
+    def links_of(held: list[pd.DataFrame]) -> pd.DataFrame:
+        group = pd.concat(held, ignore_index=True)
+        return pd.DataFrame(merging_links(group, spec) if len(group) > 1 else [], columns=["a", "b"], dtype="int64")
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = in_blocks(rows, spec.block).repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(compare, "a long, b long, key long")
+    whole = in_blocks(rows, spec.block).join(nodes.select("node", "sketch", "bands").join(sets, "node"), "node")
+    return whole.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
 
 
 def _attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -324,6 +349,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     return _attach(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
 
 
+def sets_of(texts: DataFrame, spec: Spec) -> DataFrame:
+    """The shingle sets of texts: ``node``, ``shingles``."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, spec.shingle, known).tobytes() for t in batch["text"]]})
+
+    return texts.mapInPandas(build, "node long, shingles binary")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbourhood. ``edges``: ``u`` > ``v``."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -368,35 +404,24 @@ def link_components(docs: DataFrame, nodes: DataFrame, spec: Spec = Spec()) -> D
     texts = settle(texts_of(docs, wanted), "texts")
     labels = nodes.select("node", F.col("node").alias("comp")).limit(0)
 
-    def merged(pairs: DataFrame) -> DataFrame:
-        links = settle(confirm(pairs, texts, spec), "links")
+    def merged(links: DataFrame) -> DataFrame:
         if links.isEmpty():
             return labels
         # Links between components, and what the components were made of.
         every = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         return connected(every).select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
-    def apart(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
-        """Buckets that hold two components (those of ``among``), with the component of each member."""
-        named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
-        return named.join(open_ if among is None else open_.join(among, "key"), "key", "left_semi")
-
     tried = settle(centre_pairs(members, spec.percent), "pairs")
-    labels = merged(settle(screen(tried, nodes, spec), "screened"))
-    rows = apart(members.where("m > 2").select("key", "node", "n_shingles", "m"))
-    rows, number = settle(rows.join(nodes.select("node", "sketch", "bands"), "node"), "open-buckets"), 0
-    while not rows.isEmpty():
-        found = settle(bucket_pairs(rows, spec, number), "found")
-        pairs = settle(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            labels = merged(pairs)
-        more = found.where("key is not null").select("key").distinct()
-        if more.isEmpty():
-            break
-        rows, number = settle(apart(rows.drop("comp"), more), "open-buckets"), number + 1
-    return labels
+    labels = merged(settle(confirm(settle(screen(tried, nodes, spec), "screened"), texts, spec), "links"))
+
+    # Buckets that hold two components, with the component of each member.
+    named = members.where("m > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
+    rows = settle(named.join(open_, "key", "left_semi"), "open-buckets")
+    if rows.isEmpty():
+        return labels
+    sets = settle(sets_of(texts.join(rows.select("node").distinct(), "node", "left_semi"), spec), "sets")
+    return merged(settle(bucket_links(rows, nodes, sets, spec), "links"))
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
