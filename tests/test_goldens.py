@@ -1,5 +1,6 @@
 """Hand-computed values for single operators."""
 
+import hashlib
 import math
 
 import pytest
@@ -309,6 +310,24 @@ def test_sampling_is_reproducible_and_normal(spark):
     assert abs(mean - 3) < 0.05 and abs(std - 2) < 0.05
 
 
+def test_draws_of_one_partition_are_spread_and_those_of_the_digests(spark):
+    rows = [(k, w, 1.0, 0.5) for k in ("a", "", None) for w in [None, *range(40)]]
+    base = spark.createDataFrame(rows, "k string, w long, mu double, logvar double").coalesce(1)
+    made = forecasts.sample_paths(base, ["k", "w"], 3, seed=5)
+    assert made.columns == [*base.columns, "draw", "sample"]
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+
+    def uniform(salt, *parts):
+        text = ":".join(str(p) for p in (5, salt, *parts) if p is not None)
+        return (int(hashlib.md5(text.encode()).hexdigest()[:15], 16) + 0.5) / 2**60
+
+    found = made.collect()
+    assert len(found) == 3 * len(rows)
+    for r in found:
+        first, second = (uniform(salt, r["k"], r["w"], r["draw"]) for salt in (1, 2))
+        assert r["sample"] == pytest.approx(1 + math.sqrt(-2 * math.log(first)) * math.cos(2 * math.pi * second) * math.exp(0.25))
+
+
 def test_prepare_split_shapes(spark):
     rows = [("a", i, 60, float(i), f"2024-01-01 {i % 24:02d}:00:00") for i in range(60)]
     df = spark.createDataFrame(rows, "series_id string, rn long, n long, v double, d string")
