@@ -105,3 +105,49 @@ def test_rare_contexts_count_beside_many_others(spark):
     rows += [(1000 + i, "zqkjvb", "en", "s", 0) for i in range(15)] + [(a, "zqkjvb", "en", "s", 0), (b, "zqkvjb", "en", "s", 0)]
     made = {r["doc_id"]: r["score"] for r in ct.language_scores(frame(spark, rows)).collect()}
     assert made[a] > made[b] + 3
+
+
+@pytest.mark.parametrize("depth", [8, 3])
+def test_logs_over_many_spans(spark, depth):
+    """Rows are dealt by their hash into spans of 48 bytes, and come out once each, rows that are alike too."""
+    rows = [(str(i % 25), t, i % 5 == 1) for i, t in enumerate(TEXTS * 2)]
+    made = bt.text_logs(
+        spark.createDataFrame(rows, "doc_id string, text string, held_out boolean").repartition(3),
+        lambda t: ct.byte_string(ct.text_words(t)),
+        lambda group, scores: group[["doc_id"]].assign(score=scores),
+        "doc_id string, score double",
+        depth,
+        8,
+    ).collect()
+    wanted = plain_logs([r[1] for r in rows], [not r[2] for r in rows], depth)
+    got, wanted = sorted((r["doc_id"], r["score"]) for r in made), sorted((r[0], w) for r, w in zip(rows, wanted))
+    assert [g[0] for g in got] == [w[0] for w in wanted]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in wanted], abs=1e-3)
+
+
+def test_only_scores_are_written(spark, monkeypatch):
+    """Texts and grams are shuffled once and not kept as tables; the grams alone went beyond the disk there is."""
+    written, settle = [], ct.settle
+    for module in (bt, ct):
+        monkeypatch.setattr(module, "settle", lambda df, name: written.append(name) or settle(df, name))
+    made = ct.language_scores(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(TEXTS)]), ct.Spec(depth=3))
+    assert made.count() == len(TEXTS) and written == ["scores"]
+
+
+def test_packed_grams():
+    """Grams of a span come back as they were, in less than the 17 bytes that each has."""
+    draw = random.Random(4)
+    strings = [ct.byte_string([draw.choice([b"the", b"cat", b"\xd0\xb9", b"hats"]) for _ in range(draw.randrange(0, 40))]) for _ in range(200)]
+    span, seen = bt.Span(strings, 8), Counter()
+    for _, (ctx, symbol, n) in bt.counted_grams(span, 150, 3, 4):
+        back = bt.unpack_grams(packed := bt.pack_grams(ctx, symbol, n, 8), 8)
+        assert all((a == b).all() for a, b in zip(back, (ctx, symbol, n))) and sum(map(len, packed)) < 12 * len(ctx) + 100
+        keys = list(zip(ctx.tolist(), symbol.tolist()))
+        assert keys == sorted(set(keys))
+        seen.update(dict(zip(keys, n.tolist())))
+    plain = Counter()
+    for k, s in enumerate(strings):
+        for i, b in enumerate(s):
+            before = (b"\n" * 8 + s)[i : i + 8]
+            plain[int.from_bytes(before, "little"), b] += k < 150
+    assert seen == plain and set(seen) == set(plain)

@@ -7,9 +7,9 @@ blank, a line feed as the end); word sequences and these strings are one to one.
 themselves, all eight bits of a byte are decided in the mixed tree, and a context is a
 node if it was met twice, whatever the size of the corpus. No part of it is broadcast.
 
-The baseline needs a count for each word of each text. The ``hot`` most frequent
-words (a fixed number) are looked up where the text is read; the rest, which are rare
-by construction, are joined with all counts.
+The baseline needs a count for each word of each text. Words go the way of the grams: the
+different words of a span are counted, dealt by their hash and come back with the counts
+of the corpus, at most ``hot`` in a message.
 
 Defined results: NULL and empty texts are the end alone; without training documents
 all decisions are even and all counts 0; repeated rows count and are scored one by
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +29,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tsengine.llm import byte_tree
-from tsengine.llm.common import fold, lower_ascii, settle, small_batches, split_words
+from tsengine.llm.common import fold, settle, small_batches
 
 # Task code travels with the job, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass(frozen=True)
 class Spec:
-    """``depth``: bytes of the longest context; ``hot``: words looked up without a join."""
+    """``depth``: bytes of the longest context; ``hot``: most different words in a message."""
 
     depth: int = 8
     hot: int = 200_000
@@ -51,54 +50,20 @@ def byte_string(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    return texts.select(F.explode(split_words(lower_ascii(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-
-
-def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent words, at most ``most``: all above the count that as many reach."""
-    step = F.floor(F.log2("c") * 16).cast("int")
-    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # sixteen rows per power of two
-    kept, least = 0, None
-    for row in sorted(sizes, key=lambda r: -r["step"]):
-        if kept + row["n"] > most:
-            break
-        kept, least = kept + row["n"], row["step"]
-    if least is None:
-        return {}
-    top = counts.where(step >= least).toPandas()
-    return {w.encode("utf-8", "surrogatepass"): c for w, c in zip(top["word"], top["c"])}
-
-
-ROWS = (
-    "doc_id string, held_out boolean, n_tokens long, hot_known long, hot_logs double, score double,"
-    " rare array<string>, rare_n array<int>"
-)
-
-
-def score_texts(texts: DataFrame, hot: dict[bytes, int], ends: int, spec: Spec) -> DataFrame:
-    """A row per text: code length, baseline of the frequent words, and the rare words that remain to be counted."""
-    shared = texts.sparkSession.sparkContext.broadcast({word: math.log10(c + 0.5) for word, c in hot.items()})
-
-    def rows_of(group: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
-        logs, rows = shared.value, []
-        for text in group["text"]:
-            words = text_words(text)
-            found = list(map(logs.get, words))
-            rare = Counter(w for w, v in zip(words, found) if v is None)
-            known_here = len(words) - sum(rare.values())
-            total = math.fsum(v for v in found if v is not None) + math.log10(ends + 0.5)
-            listed = [w.decode("utf-8", "replace") for w in rare]
-            rows.append((len(words) + 1, known_here + (ends > 0), total, listed, list(rare.values())))
-        frame = pd.DataFrame(rows, columns=["n_tokens", "hot_known", "hot_logs", "rare", "rare_n"])
-        frame["doc_id"], frame["held_out"] = group["doc_id"].to_numpy(object), group["held_out"].to_numpy(bool)
-        frame["score"] = scores
-        return frame[[c.split()[0] for c in ROWS.split(", ")]]
+ROWS = "doc_id string, held_out boolean, n_tokens long, n_known long, logs double, score double"
+
+
+def score_texts(texts: DataFrame, spec: Spec) -> tuple[DataFrame, tuple[int, int, int]]:
+    """A row per text: code length, words that are known, log10 of all words' counts; and the totals of the counts."""
+    def rows_of(group: pd.DataFrame, scores: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+        of = np.repeat(np.arange(len(group)), sizes)
+        known, logs = np.bincount(of[counts > 0], minlength=len(group)), np.bincount(of, weights=np.log10(counts + 0.5), minlength=len(group))
+        return group[["doc_id", "held_out"]].assign(n_tokens=sizes + 1, n_known=known, logs=logs, score=scores)
 
     # The ids as strings: pandas has no whole numbers besides NULL.
     narrow = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")
-    blocks = settle(byte_tree.byte_blocks(narrow), "byte-blocks")
-    return byte_tree.text_logs(blocks, lambda text: byte_string(text_words(text)), rows_of, ROWS, spec.depth)
+    string_of = lambda text: byte_string(text_words(text))
+    return byte_tree.scored(narrow, string_of, rows_of, ROWS, spec.depth, most=spec.hot)
 
 
 def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held: int = 1) -> DataFrame:
@@ -106,34 +71,15 @@ def language_scores(docs: DataFrame, spec: Spec = Spec(), modulus: int = 5, held
     small_batches(docs.sparkSession)
     remainder = fold(F.col("doc_id"), modulus)
     texts = docs.select("doc_id", "text", F.coalesce(remainder == held, F.lit(True)).alias("held_out"))
-    training = texts.where("NOT held_out")
-
-    counts = settle(word_counts(training), "word-counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
-    n, v = totals["n"] + ends, totals["v"] + (1 if ends else 0)
-    hot = frequent_words(counts, spec.hot)
-
-    rows = score_texts(texts, hot, ends, spec).withColumn("row", F.monotonically_increasing_id())
-    rows = settle(rows, "scores")
-
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
-        "row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times")
-    )
-    counted = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = counted.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("rare_logs"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-    )
+    rows, (words, different, ends) = score_texts(texts, spec)
+    n, v = words + ends, different + (1 if ends else 0)
     whole = math.log10(n + 0.5 * (v + 1))
-    joined = rows.drop("rare", "rare_n").join(sums, "row", "left")
-    logs = F.col("hot_logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return joined.select(
+    return settle(rows, "scores").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "held_out",
         "n_tokens",
-        (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_known") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("logs") + math.log10(ends + 0.5) - F.col("n_tokens") * whole).alias("base_score"),
         "score",
     )
