@@ -7,8 +7,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import awkward, clashing, docs, frame
+from pyspark.sql import functions as F
 
-from tsengine.llm import near_duplicates as nd
+from tsengine.llm import common, near_duplicates as nd
 from tsengine.llm.shingles import WordHashes, shingle_set
 
 
@@ -76,6 +77,30 @@ def test_keep_first(spark):
     assert sorted(i for i in ids if i is not None) == wanted and ids.count(None) == 2
 
 
+def test_keep_first_joins_tables_too_large_to_broadcast(spark, monkeypatch):
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, same if i % 3 else f"{i} other words {i} that no other row {i} has", "en", "s", 0) for i in range(12)]
+    rows += [rows[0]] * 2 + [(None, same, "en", "s", 0), (None, None, None, None, None)]
+    table = clashing(frame(spark, rows), "_salt").withColumns({"m": F.create_map(F.lit("a"), "doc_id"), "a": F.array(F.struct("lang"))})
+    wanted = sorted(map(str, nd.keep_first(table).collect()))
+    assert len(wanted) == 6
+    for module in (common, nd):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, nd.keep_first(table).collect())) == wanted
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_checked_beyond_broadcasts(spark, monkeypatch, how):
+    big = spark.createDataFrame([(None if i % 5 == 0 else i % 5, f"t{i}", {"a": i}) for i in range(60)], "k long, v string, m map<string,long>")
+    small = spark.createDataFrame([(None, "none"), (1, "one"), (7, "seven")], "k long, name string").repartition(2)
+    small = small.select("k") if how in ("left_semi", "left_anti") else small
+    wanted = sorted(map(str, common.join_checked(big, small, ["k"], how).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    joined = common.join_checked(big, small, ["k"], how)
+    assert sorted(map(str, joined.collect())) == wanted
+    assert len(wanted) == {"inner": 24, "left": 60, "left_semi": 24, "left_anti": 36}[how]
+
+
 def test_empty(spark):
     assert nd.near_duplicates(frame(spark, [])).count() == 0
     alone = nd.near_duplicates(docs(spark, ["only one text here that is long enough", None])).collect()

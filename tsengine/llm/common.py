@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tsengine.session import scratch_path
 
@@ -75,11 +76,30 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     drop = [f"_r_{k}" for k in keys]
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(right), on, how).drop(*drop)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)))
-    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed_columns(big)), F.lit(SALTS)))
+    # A generator can't stand inside a cast.
+    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return left.join(right, [*on, F.col("_salt") == F.col("_r_salt")], how).drop(*drop, "_salt", "_r_salt")
 
 
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def hashed_columns(df: DataFrame) -> list[Column]:
+    """The columns that Spark can hash: no maps; of a struct with such a field its others."""
+    found = []
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if _hashable(field.dataType):
+            found.append(column)
+        elif isinstance(field.dataType, StructType):
+            found += [column[f.name] for f in field.dataType if _hashable(f.dataType)]
+    return found
+
+
 def packed_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """``row``, all of the user's columns as one, beside copies of those an operator reads.
 
